@@ -39,12 +39,13 @@ def source_label(c: Column) -> Column:
 
 def allot(available: dict[str, int], targets: dict[str, tuple[float, int]], budget: int | None = None) -> dict[str, float]:
     """Tokens for each source: weight times budget, at most tokens times max_repeats; what capped sources can't take
-    goes to the others in proportion to their weights. The default budget is the tokens of all targeted sources."""
+    goes to the others in proportion to their weights. The default budget is the largest at which every source that has
+    tokens can hold its share; a larger one uses more data and lets the shares of the scarce sources fall."""
     cap = {s: float(available.get(s, 0)) * max(0, r) for s, (w, r) in targets.items()}
-    total = float(sum(available.get(s, 0) for s in targets) if budget is None else budget)
     given = dict.fromkeys(targets, 0.0)
     free = {s for s, (w, _) in targets.items() if w > 0 and cap[s] > 0}
-    left = total
+    present = sum(targets[s][0] for s in free)
+    left = min((cap[s] * present / targets[s][0] for s in free), default=0.0) if budget is None else float(budget)
     while free and left > EPS:
         weight = sum(targets[s][0] for s in free)
         full = {s for s in free if left * targets[s][0] / weight >= cap[s]}
@@ -98,13 +99,14 @@ def pivotal_rounding(rows: DataFrame, bucket: int = BUCKET, seed: int = SEED) ->
         n_buckets = F.create_map(*[x for s, n in counts.items() for x in (F.lit(s), F.lit(-(-n // bucket)))]) if counts else None
         if n_buckets is None:
             break
+        final = last
         b = F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit(level)), n_buckets[F.col("source")])
 
-        def run(pdf: pd.DataFrame, last: bool = last) -> pd.DataFrame:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
             # Neighbours of like size are paired, so little mass moves; ties go by id.
             pdf = pdf.sort_values(["size", "doc_id"], kind="stable").reset_index(drop=True)
             p = pivot(pdf["p"].to_numpy(), pdf["size"].to_numpy(dtype=float), pdf["u"].to_numpy())
-            if last:
+            if final:
                 open_ = (p > 0) & (p < 1)
                 p[open_] = (pdf["u"].to_numpy()[::-1][open_[::-1]] < p[open_]).astype(float)
             return pd.DataFrame({"source": pdf["source"], "doc_id": pdf["doc_id"], "size": pdf["size"], "p": p})

@@ -32,8 +32,10 @@ CODE = 256
 SAMPLE = 40_000
 LISTS_MAX = 4_096
 LIST_MAX = 4_096
-PROBES = 24
-KEEP = 24
+PROBES = 32
+PROBE_SHARE = 0.25
+"""Lists probed: this share of all lists, and PROBES at least."""
+KEEP = 32
 K = 10
 
 
@@ -98,12 +100,13 @@ def top_k(vectors: DataFrame, id_col: str = "id", vector_col: str = "vector", k:
         return spark.createDataFrame([], "id long, rank int, neighbour long, cosine double")
     members = _members(vectors, id_col, vector_col, dim, direction, rows.filter("n > 1").select("d", "rep"), k)
 
-    lists = int(min(LISTS_MAX, max(1, round(2 * n**0.5))))
+    lists = int(min(LISTS_MAX, max(1, round(n**0.5))))
     part = min(1.0, 1.2 * sample / n)
     picked = rows.filter(F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(1_000_000)) < int(part * 1_000_000)).select("v").limit(sample).toPandas()
     base = np.stack(picked["v"].to_numpy()) if len(picked) else np.stack(rows.select("v").limit(sample).toPandas()["v"].to_numpy())
     centroids, books = train(base.astype("f4"), lists, m)
     lists = len(centroids)
+    probes = max(probes, round(PROBE_SHARE * lists))
     model = spark.sparkContext.broadcast((centroids, books))  # at most LISTS_MAX + M * CODE rows of floats: about 1 MB
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,12 +129,13 @@ def top_k(vectors: DataFrame, id_col: str = "id", vector_col: str = "vector", k:
     block = lambda salt, size: F.pmod(F.xxhash64("rep", F.lit(salt)), F.ceil(F.col(size) / list_max)).cast("int")
     # Blocks of queries of a list, and of candidates: each (list, query block, candidate block group) is one group.
     q = coded.join(F.broadcast(sizes), "list").select(F.col("list").alias("at"), block(1, "size").alias("qb"), "rep", "v")
-    c = coded.select("rep", "list", "code").join(F.broadcast(pairs), "list")
+    c = coded.select(F.col("rep").alias("other"), "list", "code").join(F.broadcast(pairs), "list")
     load = c.groupBy("at").agg(F.count(F.lit(1)).alias("load"))
     q_blocks = sizes.select(F.col("list").alias("at"), F.ceil(F.col("size") / list_max).cast("int").alias("n_qb"))
     per_list = load.join(q_blocks, "at").withColumn("n_cb", F.ceil(F.col("load") / F.lit(probes * list_max)).cast("int"))  # at most LISTS_MAX rows
-    c = c.join(F.broadcast(per_list.select("at", "n_qb", "n_cb")), "at").withColumn("cb", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("n_cb")).cast("int"))
-    c = c.select("at", "cb", F.explode(F.sequence(F.lit(0), F.col("n_qb") - 1)).alias("qb"), "list", "rep", "code")
+    c = c.join(F.broadcast(per_list.select("at", "n_qb", "n_cb")), "at").withColumn("cb", F.pmod(F.xxhash64("other", F.lit(2)), F.col("n_cb")).cast("int"))
+    c = c.select("at", "cb", F.explode(F.sequence(F.lit(0), F.col("n_qb") - 1)).alias("qb"), "list", "other", "code")
+    c = c.select(*[F.col(x).alias(f"c_{x}") for x in c.columns])  # a cogroup of tables of one origin needs names of its own
     q = q.join(F.broadcast(per_list.select("at", "n_cb")), "at").select("at", F.explode(F.sequence(F.lit(0), F.col("n_cb") - 1)).alias("cb"), "qb", "rep", "v")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -139,8 +143,8 @@ def top_k(vectors: DataFrame, id_col: str = "id", vector_col: str = "vector", k:
         if not len(left) or not len(right):
             return pd.DataFrame({"id": np.zeros(0, "i8"), "other": np.zeros(0, "i8"), "score": np.zeros(0, "f4")})
         ids, x = left["rep"].to_numpy(), np.stack(left["v"].to_numpy()).astype("f4")
-        others, lst = right["rep"].to_numpy(), right["list"].to_numpy()
-        codes = np.frombuffer(b"".join(right["code"]), "u1").reshape(len(right), -1)
+        others, lst = right["c_other"].to_numpy(), right["c_list"].to_numpy()
+        codes = np.frombuffer(b"".join(right["c_code"]), "u1").reshape(len(right), -1)
         d = x.shape[1] // b.shape[0]
         # q.c ~ q.centroid + sum of the tables' entries
         out = []
@@ -159,7 +163,7 @@ def top_k(vectors: DataFrame, id_col: str = "id", vector_col: str = "vector", k:
         return pd.DataFrame({"id": i[ok], "other": o[ok], "score": g[ok]})
 
     keys = ["at", "qb", "cb"]
-    hits = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(search, "id long, other long, score float")
+    hits = q.groupBy(*keys).cogroup(c.groupBy(*[f"c_{x}" for x in keys])).applyInPandas(search, "id long, other long, score float")
     best = Window.partitionBy("id").orderBy(F.desc("score"), "other")
     hits = hits.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= keep)
     # Exact rerank: each unordered pair is compared once.
