@@ -9,8 +9,9 @@
    an Aho-Corasick automaton, and the texts that hold passages of the shard are streamed through it, in salted groups of
    bounded size, to locate every occurrence.
 5. Occurrences of a passage, with ``LEAST - PHRASE`` characters on both sides, meet by passage; each ``LEAST``-character
-   window that stands in two or more texts is confirmed character by character. A passage with more than ``HOT``
-   occurrences is confirmed by grouping its windows by digest instead, so no group is unbounded.
+   window that stands in two or more texts is confirmed character by character: the characters that two occurrences have
+   in common are counted out on both sides. A passage with more than ``HOT`` occurrences is confirmed by grouping its
+   windows by digest instead, so no group is unbounded and none is compared pair by pair.
 
 The confirmed windows of a text, merged, are exactly its characters that are shared in spans of ``LEAST`` or more.
 
@@ -36,7 +37,7 @@ PHRASE = 50
 SEGMENT = 1 << 20
 PER_SHARD = 20_000
 GROUP_CHARS = 16_000_000
-HOT = 5_000
+HOT = 500
 
 _BASE = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
@@ -134,19 +135,20 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _occurrences(docs: DataFrame, prints: DataFrame, phrase: int, margin: int, per_shard: int, group_chars: int) -> DataFrame:
     """(h, id, pos, lead, context): every occurrence of every recurring passage, with up to ``margin`` characters before
     and after it; ``lead`` is how many stand before."""
-    seen = prints.groupBy("h").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last"))
-    recurring = cut(seen.filter(F.col("first.id") < F.col("last")).select("h", F.col("first.id").alias("src"), F.col("first.pos").alias("pos")))
+    seen = prints.groupBy("h").agg(F.min("id").alias("src"), F.max("id").alias("last"))
+    recurring = cut(seen.filter("src < last").select("h", "src"))
     n = recurring.count()
     shards = max(1, -(-n // per_shard))
-    recurring = recurring.withColumn("shard", F.pmod(F.xxhash64("src"), F.lit(shards)).cast("int"))
-    routes = cut(prints.join(recurring.select("h", "shard"), "h").groupBy("id", "shard").agg(F.first("n").alias("n")))
-    salts = routes.groupBy("shard").agg(F.ceil(F.sum("n") / F.lit(group_chars)).cast("int").alias("salts"))  # one row per shard
-    spans = recurring.groupBy("src", "shard").agg(F.collect_list("pos").alias("ps"))  # the fingerprints of one text
-    phrases = docs.join(spans, docs["id"] == spans["src"]).select("shard", "text", F.explode("ps").alias("p"))
+    hits = prints.join(recurring, "h").withColumn("shard", F.pmod(F.xxhash64("src"), F.lit(shards)).cast("int"))
+    hits = cut(hits.groupBy("id", "shard").agg(F.first("n").alias("n"), F.collect_list(F.when(F.col("src") == F.col("id"), F.col("pos"))).alias("ps")))  # at most the fingerprints of one text
+    salts = hits.groupBy("shard").agg(F.ceil(F.sum("n") / F.lit(group_chars)).cast("int").alias("salts"))  # one row per shard
+    # The texts are joined once: to the shards they are streamed through and to the places of the passages they give.
+    held = cut(docs.join(hits.groupBy("id").agg(F.collect_list(F.struct("shard", "ps")).alias("to")), "id").select("id", "text", F.explode("to").alias("to")).select("id", "text", "to.shard", "to.ps"))
+    phrases = held.filter(F.size("ps") > 0).select("shard", "text", F.explode("ps").alias("p"))
     phrases = phrases.select("shard", F.substring("text", (F.col("p") + 1).cast("int"), F.lit(phrase)).alias("phrase")).distinct()
     phrases = phrases.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "phrase")
-    routed = routes.join(salts, "shard").select("id", "shard", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
-    streams = docs.join(routed, "id").select("shard", "salt", "id", "text")
+    streams = held.join(salts, "shard").select("shard", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), "id", "text")
+    streams = streams.select(*[F.col(c).alias(f"s_{c}") for c in streams.columns])
 
     def locate(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         import ahocorasick
@@ -158,7 +160,7 @@ def _occurrences(docs: DataFrame, prints: DataFrame, phrase: int, margin: int, p
         out: list[tuple] = []
         if names:
             auto.make_automaton()
-            for i, text in zip(left["id"], left["text"]):
+            for i, text in zip(left["s_id"], left["s_text"]):
                 for end, j in auto.iter(text):
                     at = end - phrase + 1
                     lead = min(at, margin)
@@ -166,38 +168,42 @@ def _occurrences(docs: DataFrame, prints: DataFrame, phrase: int, margin: int, p
         return pd.DataFrame(out, columns=["phrase", "id", "pos", "lead", "context"])
 
     keys = ["shard", "salt"]
-    return streams.groupBy(*keys).cogroup(phrases.groupBy(*keys)).applyInPandas(locate, "phrase string, id long, pos long, lead int, context string")
-
-
-def _windows(g: list[tuple], phrase: int, least: int) -> tuple[list[tuple], set[tuple]]:
-    """Confirmed (id, start, end) and pairs of the occurrences (id, pos, lead, context) of one passage."""
-    where = defaultdict(list)
-    for i, pos, lead, context in g:
-        for o in range(len(context) - least + 1):
-            where[context[o : o + least]].append((i, pos - lead + o))
-    spans: dict[tuple, list] = defaultdict(list)
-    pairs: set[tuple] = set()
-    sets: set[frozenset] = set()
-    for at in where.values():
-        ids = frozenset(i for i, _ in at)
-        if len(ids) > 1:
-            sets.add(ids)
-            for i, s in at:
-                spans[i].append(s)
-    for ids in sets:
-        s = sorted(ids)
-        pairs.update((a, b) for k, a in enumerate(s) for b in s[k + 1 :])
-    out = []
-    for i, starts in spans.items():
-        starts = sorted(set(starts))
-        a = z = starts[0]
-        for s in starts[1:]:
-            if s > z + least:
-                out.append((i, a, z + least))
-                a = s
-            z = s
-        out.append((i, a, z + least))
-    return out, pairs
+    return streams.groupBy(*[f"s_{k}" for k in keys]).cogroup(phrases.groupBy(*keys)).applyInPandas(locate, "phrase string, id long, pos long, lead int, context string")
+
+
+def _common(a: str, b: str) -> int:
+    """Length of the longest common prefix."""
+    if a == b:
+        return len(a)
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
+
+
+def confirm(ids: list, at: list, leads: list, contexts: list, phrase: int, least: int) -> tuple[set[tuple], set[tuple]]:
+    """Spans (id, start, end) and pairs (a, b) of the occurrences of one passage: the characters two texts have in common
+    around it are counted out, and kept where they make ``least``. Equal surroundings are compared once."""
+    kinds: dict[tuple, list] = defaultdict(list)
+    for i, pos, lead, context in zip(ids, at, leads, contexts):
+        kinds[lead, context].append((i, pos))
+    spans: set[tuple] = set()
+    sets: dict[tuple, tuple] = {}
+    sides = [(c[:lead][::-1], c[lead + phrase :], where, tuple(sorted({i for i, _ in where}))) for (lead, c), where in kinds.items()]
+    for k, (l1, r1, w1, s1) in enumerate(sides):
+        if len(s1) > 1 and len(l1) + phrase + len(r1) >= least:
+            sets[s1, s1] = ()
+            spans.update((i, p - len(l1), p + phrase + len(r1)) for i, p in w1)
+        for l2, r2, w2, s2 in sides[k + 1 :]:
+            before, after = _common(l1, l2), _common(r1, r2)
+            if before + phrase + after >= least and not (len(s1) == len(s2) == 1 and s1 == s2):
+                sets[s1, s2] = ()
+                spans.update((i, p - before, p + phrase + after) for i, p in w1 + w2)
+    return spans, {(min(a, b), max(a, b)) for x, y in sets for a in x for b in y if a != b}
 
 
 def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, phrase: int = PHRASE, per_shard: int = PER_SHARD, group_chars: int = GROUP_CHARS, hot: int = HOT, segment: int = SEGMENT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -210,18 +216,23 @@ def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     heavy = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > hot).select("phrase")
     light = found.join(heavy, "phrase", "left_anti")
 
-    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
-        spans, pairs = _windows(list(zip(pdf["id"], pdf["pos"], pdf["lead"], pdf["context"])), phrase, least)
-        rows = [(i, a, z, None) for i, a, z in spans] + [(a, None, None, b) for a, b in pairs]
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Many passages in one call, told apart by sorting."""
+        pdf = pdf.sort_values("phrase", kind="stable")
+        cols = [pdf[c].tolist() for c in ("id", "pos", "lead", "context")]
+        names = pdf["phrase"].to_numpy()
+        ends = [*(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+        rows, a = [], 0
+        for z in ends:
+            if z - a > 1:
+                spans, pairs = confirm(*[c[a:z] for c in cols], phrase, least)
+                rows += [(i, s, e, None) for i, s, e in spans] + [(x, None, None, y) for x, y in pairs]
+            a = z
         return pd.DataFrame(rows, columns=["id", "start", "end", "other"]).astype({"id": "i8", "start": "Int64", "end": "Int64", "other": "Int64"})
 
-    # Many passages per Python call: a key of hashed passages, the passages told apart inside.
-    def confirm_many(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([confirm(g) for _, g in pdf.groupby("phrase", sort=False)], ignore_index=True)
-
     groups = max(1, found.count() // 2_000)
     by = light.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(groups)))
-    confirmed = by.groupBy("part").applyInPandas(confirm_many, "id long, start long, end long, other long")
+    confirmed = by.groupBy("part").applyInPandas(run, "id long, start long, end long, other long")
     exploded = found.join(heavy, "phrase").select("id", "context", F.explode(F.sequence(F.lit(0), F.length("context") - least)).alias("o"), (F.col("pos") - F.col("lead")).alias("base")).filter(F.col("o") >= 0)
     windows = exploded.select(F.sha2(F.substring("context", F.col("o") + 1, F.lit(least)), 256).alias("w"), "id", (F.col("base") + F.col("o")).alias("start")).distinct()
     twice = windows.groupBy("w").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count_distinct("id").alias("ids"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s")).filter("x < y")
