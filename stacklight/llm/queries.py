@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stacklight.llm import cooccurrence, mixing, nearest, spans, splitting, tokenize
+from stacklight.llm import cooccurrence, mixing, nearest, scanned, spans, splitting, tokenize
 from stacklight.sources.tables import table
 
 
@@ -35,6 +35,18 @@ def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("g").alias("library_id"), F.col("a").alias("concept_a"), F.col("b").alias("concept_b"), "n_ab", "n_a", "n_b", F.col("n").alias("n_papers"), F.round("lift", 6).alias("lift"), F.round("conviction", 6).alias("conviction"))
 
 
+def _noise(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return scanned.noise(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "items"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.found_noise(_noise(spark, sf_dir))
+
+
+def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.repaired(table(spark, sf_dir, "chunks"), _noise(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.near_pairs(nearest.top_k(table(spark, sf_dir, "vectors_f32")))
 
