@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stacklight.llm import cooccurrence, mixing, nearest, scanned, spans, splitting, tokenize
+from stacklight.llm import canonical, cooccurrence, mixing, nearest, scanned, spans, splitting, tokenize
 from stacklight.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs, terms = table(spark, sf_dir, "wiki_concept_inputs"), table(spark, sf_dir, "wiki_concept_terms")
+    mapped = canonical.map_names(inputs, terms)
+    return mapped.join(canonical.asked(inputs, terms), "input_id", "left_semi").select("input_id", "concept_id")
+
+
+def p1_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.map_names(table(spark, sf_dir, "wiki_concept_inputs"), table(spark, sf_dir, "wiki_concept_terms"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.oversized(table(spark, sf_dir, "chunks"))
 
