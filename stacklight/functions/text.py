@@ -73,7 +73,7 @@ def index_tokens(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, r"[ \t\n\f\r]+", " "))
 
 
 def cut_evidence(text: Column, limit: int = 220) -> Column:
@@ -142,7 +142,7 @@ def reference_list(text: Column) -> Column:
 def clean_for_index(text: Column) -> Column:
     """Line ends, spaces, control characters and blank lines made regular."""
     t = F.regexp_replace(text, r"\r\n|\r", "\n")
-    t = F.regexp_replace(t, "[\\t  -​]", " ")
+    t = F.regexp_replace(t, "[\\t\\u00a0\\u2000-\\u200b]", " ")
     t = F.regexp_replace(t, r" {3,}", "  ")
     t = F.regexp_replace(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
     t = F.regexp_replace(t, r"(?m)^[ \t]+$", "")
@@ -181,7 +181,7 @@ def html_to_text(html: Column) -> Column:
 
 def pdf_clean(text: Column) -> Column:
     """Hyphenated line ends joined, single line ends unwrapped, odd spaces made plain."""
-    t = F.regexp_replace(text, "[  -​]", " ")
+    t = F.regexp_replace(text, "[\\u00a0\\u2000-\\u200b]", " ")
     t = F.regexp_replace(t, r"(\w)-\n(\w)", "$1$2")
     t = F.regexp_replace(t, r"([^\n])\n([^\n])", "$1 $2")
     return F.trim(F.regexp_replace(t, r"[ \t]+", " "))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stacklight.plans import lexical, vectors
+from stacklight.plans import fusion, lexical, structured, textprep, vectors
 
-MODULES = (lexical, vectors)
+MODULES = (lexical, vectors, fusion, structured, textprep)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
