@@ -110,7 +110,10 @@ def text_hash(text: Column) -> Column:
 
 
 def char_bigrams(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2))))
+    """Distinct pairs of neighbouring characters; the text is cut into characters once."""
+    c = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    n = F.greatest(F.size(c) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(2), n), lambda x, y: F.concat(x, y)))
 
 
 def bigram_overlap(a: Column, b: Column) -> Column:
