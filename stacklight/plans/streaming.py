@@ -13,8 +13,8 @@ from stacklight.streaming import refresh as R
 
 
 def _log(spark, d):
-    batch = table(spark, d, "events")
-    s = R.mutation_log(spark, f"{d}/events.parquet", batch.schema, "ts")
+    batch = table(spark, d, "events")  # its schema only; the pattern below reads a single file as well as a folder
+    s = R.mutation_log(spark, f"{d}/event[s].parquet", batch.schema, "ts")
     return s.withColumn("op", F.when(F.col("event_type") == "error", "delete").otherwise("refresh"))
 
 
