@@ -47,7 +47,9 @@ def solid(token: Column) -> Column:
 def variants(token: Column) -> Column:
     """The token, its solid form, and both with Greek letters written out; indexable ones, once each."""
     s = spelled(token)
-    return F.array_distinct(F.filter(F.array(token, solid(token), s, solid(s)), indexable))
+    full = F.array_distinct(F.filter(F.array(token, solid(token), s, solid(s)), indexable))
+    # Most tokens have neither a separator nor a Greek letter: their only form is themselves.
+    return F.when(F.rlike(token, F.lit("[-_./Ͱ-Ͽ]")), full).otherwise(F.array(token))
 
 
 def latin_tokens(folded: Column) -> Column:
@@ -116,6 +118,13 @@ def char_bigrams(text: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(2), n), lambda x, y: F.concat(x, y)))
 
 
+def bigram_codes(text: Column) -> Column:
+    """``char_bigrams`` as numbers, one to one: small enough to be made once per text and joined."""
+    c = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda x: F.ascii(x).cast("long"))
+    n = F.greatest(F.size(c) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(2), n), lambda x, y: x * F.lit(1 << 21) + y))
+
+
 def bigram_overlap(a: Column, b: Column) -> Column:
     """1 where b contains a; else the share of a's distinct character pairs that b has."""
     x = char_bigrams(a)

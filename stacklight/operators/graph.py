@@ -214,9 +214,15 @@ def document_groups(members: DataFrame, doc: list[str], claim: str) -> DataFrame
 def relocate(excerpts: DataFrame, chunks: DataFrame, doc: list[str], least: float = 0.72) -> DataFrame:
     """excerpts(key, doc, excerpt) -> (key, row_id, overlap, how): the chunk with the same hash, else the one of the same
     document that overlaps most, if by ``least``."""
-    e, c = excerpts.withColumn("h", T.text_hash(F.col("excerpt"))), chunks.withColumn("h", T.text_hash(F.col("text")))
+    # Spaces are made regular and character pairs taken once per text, not once per pair of texts.
+    e = excerpts.withColumn("excerpt", T.squeeze(F.col("excerpt"))).withColumn("h", F.sha2("excerpt", 256))
+    c = chunks.select(*doc, "row_id", T.squeeze(F.col("text")).alias("text")).withColumn("h", F.sha2("text", 256))
     same = e.join(c.select(*doc, "h", "row_id"), [*doc, "h"]).groupBy("key").agg(F.min("row_id").alias("row_id")).select("key", "row_id", F.lit(1.0).alias("overlap"), F.lit("hash").alias("how"))
-    rest = e.join(same, "key", "left_anti").join(c.select(*doc, "row_id", "text"), doc).withColumn("overlap", F.round(T.bigram_overlap(T.squeeze(F.col("excerpt")), T.squeeze(F.col("text"))), 6))
+    left = e.join(same, "key", "left_anti").drop("h").withColumn("x", T.bigram_codes(F.col("excerpt")))
+    pairs = left.join(c.drop("h").withColumn("y", T.bigram_codes(F.col("text"))), doc)
+    inside = (F.length("excerpt") > 0) & F.contains("text", F.col("excerpt"))
+    share = F.when(inside, F.lit(1.0)).when(F.length("excerpt") < 2, F.lit(0.0)).otherwise(F.size(F.array_intersect("x", "y")) / F.size("x"))
+    rest = pairs.select("key", "row_id", F.round(share, 6).alias("overlap"))
     near = rest.filter(F.col("overlap") >= least).groupBy("key").agg(F.max(F.struct("overlap", (-F.col("row_id")).alias("m"))).alias("b")).select("key", (-F.col("b.m")).alias("row_id"), "b.overlap", F.lit("overlap").alias("how"))
     return same.unionByName(near)
 

@@ -152,11 +152,16 @@ def bm25f(texts: DataFrame, probes: list[tuple[str, float]]) -> DataFrame:
     Averages and N are of the whole input, never of the matches; documents that match in the body only take part."""
     spark = texts.sparkSession
     place = [*KEY, "field", "chunk_id"]
-    posted = postings(texts, *place)
-    found = verified(conjunction(posted, plans(spark, probes), *place), texts, *place)
+    planned = plans(spark, probes)
+    terms = sorted({t for k, _ in probes[:MAX_PROBES] for _, ts, _, _ in plan(k) for t in ts})
+    # One pass over the texts: the number of tokens, and the few that the query asks for; nothing else is exploded or shuffled.
+    tokens = T.index_tokens(F.col("text"))
+    base = texts.select(*place, F.size(tokens).alias("size"), F.filter(tokens, lambda t: t.isin(terms)).alias("asked")).persist()
+    posted = base.select(*place, F.explode("asked").alias("term")).groupBy(*place, "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = verified(conjunction(posted, planned, *place), texts, *place)
     per_field = found.groupBy(*KEY, "field", "probe", "weight").agg(F.sum("tf").alias("tf"))
-    size = lengths(posted, *KEY, "field")
-    n = texts.agg(F.count_distinct(*KEY).alias("n"), F.count_distinct(*[F.when(F.col("field") == "body", F.col(k)) for k in KEY]).alias("n_body"))
+    size = base.groupBy(*KEY, "field").agg(F.sum("size").alias("len"))
+    n = base.agg(F.count_distinct(*KEY).alias("n"), F.count_distinct(*[F.when(F.col("field") == "body", F.col(k)) for k in KEY]).alias("n_body"))
     mean = size.groupBy("field").agg(F.sum("len").alias("total")).join(n).select("field", (F.col("total") / F.col("n")).alias("mean"))  # one row per field
     params = spark.createDataFrame(list(FIELDS), "field string, boost double, b double")
     known = params.join(mean, "field")  # as many rows as fields

@@ -14,7 +14,7 @@ PROBES = [("viscosity", 1.0), ("heat-treated", 0.9), ("surface diffusion", 0.8),
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
-    return L.field_texts(table(spark, d, "items"), table(spark, d, "chunks"))
+    return L.field_texts(table(spark, d, "items"), spread(table(spark, d, "chunks"), "row_id"))
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
