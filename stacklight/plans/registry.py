@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stacklight.plans import fusion, graph, lexical, maintenance, streaming, structured, textprep, vectors
+from stacklight.plans import fusion, graph, lexical, maintenance, notes, streaming, structured, textprep, vectors
 
-MODULES = (lexical, vectors, fusion, structured, textprep, graph, maintenance, streaming)
+MODULES = (lexical, vectors, fusion, structured, textprep, graph, notes, maintenance, streaming)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
