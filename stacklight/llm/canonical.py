@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from stacklight.llm.common import cut, keep_columns
 
 LEAST = 0.45
+MAX_READINGS = 24
+"""Parts of one entered string; an entry with more wrappers than that isn't a name."""
 BAND = 0.75
 """Candidates of at least this part of the best similarity go on to the exact check."""
 MAX_LIST = 200_000
@@ -92,26 +94,37 @@ def _stripped(s: str) -> list[str]:
     return out
 
 
+def _taken_apart(s: str) -> list[str]:
+    """The sides of a bracket, alone and turned round; the sides of a semicolon; a name turned round at a comma or slash."""
+    out = []
+    m = re.match(r"^(.+?)\s*[(\[（【]\s*([^()\[\]（）【】]+?)\s*[)\]）】]?\W*$", s)
+    if m:
+        out += [m[1], m[2], f"{m[2]} {m[1]}"]
+    if re.search(r"[;；]", s):
+        out += re.split(r"[;；]", s)
+    m = re.match(r"^([^,，/]+?)\s*(?:,|，|/)\s*([^,，/]+)$", s)
+    if m:
+        out.append(f"{m[2]} {m[1]}")
+    return [q.strip() for q in out]
+
+
 def readings(raw: str, lexicon: Lexicon) -> tuple[list[str], list[str]]:
     """(compact names, abbreviations) that an entered string can stand for."""
     s = plain(raw)
     if s in FILLERS:
         return [], []
-    parts = [s]
-    m = re.match(r"^(.+?)\s*[(\[（【]\s*(.+?)\s*[)\]）】]\W*$", s)
-    if m:
-        parts = [m[1], m[2], f"{m[2]} {m[1]}"]
-    elif re.search(r"[;；]", s):
-        parts = [p for p in re.split(r"[;；]", s) if p.strip()]
-    else:
-        m = re.match(r"^(.+?)\s*(?:,|，|\s/\s)\s*(.+)$", s)
-        if m:
-            parts = [f"{m[2]} {m[1]}", s]
+    # Wrappers can be nested: every part is taken apart again until nothing new comes out.
+    parts = [s.replace("_", " ")]
+    for p in parts:
+        if len(parts) >= MAX_READINGS:
+            break
+        for q in [*_stripped(p)[1:], *_taken_apart(p)]:
+            if q.strip() and q not in parts:
+                parts.append(q)
     names: list[str] = []
     for p in parts:
-        for q in _stripped(p):
-            for full in lexicon.spelled_out(q):
-                c = compact(full)
+        for full in lexicon.spelled_out(p):
+            if (c := compact(full)) not in names:
                 names.append(c)
                 if _han.search(c) and "的" in c:
                     names.append(c.replace("的", ""))
@@ -127,7 +140,7 @@ def readings(raw: str, lexicon: Lexicon) -> tuple[list[str], list[str]]:
                     b = b.replace(" ", "")
                     if c.startswith(b) and len(c) > len(b) + 6:
                         names.append(c[len(b) :])
-    short = [initials(p) for p in ([raw] if len(parts) == 1 else re.split(r"[()\[\]（）【】;；]", raw))]
+    short = [initials(p) for p in re.split(r"[()\[\]（）【】;；]", raw)]
     return [n for n in dict.fromkeys(names) if len(n) > 1], [a for a in dict.fromkeys(short) if 1 < len(a) <= 10 and a.isalnum()]
 
 
@@ -231,7 +244,7 @@ class Lexicon:
             stem = compact(w)
             full = [x for x in self.words if w.endswith(".") and len(stem) > 1 and compact(x).startswith(stem) and compact(x) != stem]
             if w.endswith(".") and len(stem) > 3 and not full:  # misspelt and cut short
-                full = [x for x in self.words if distance(compact(x)[: len(stem)], stem) <= 1]
+                full = [x for x in self.words if min(distance(compact(x)[:k], stem) for k in (len(stem) - 1, len(stem), len(stem) + 1)) <= 1]
             out = [f"{a} {x}" for a in out for x in (full or [w])]
             if len(out) > most:
                 return [s]

@@ -121,15 +121,21 @@ def top_k(vectors: DataFrame, id_col: str = "id", vector_col: str = "vector", k:
                 yield pd.DataFrame({"rep": pdf["rep"], "list": own.astype("i4"), "code": [x.tobytes() for x in codes], "v": pdf["v"]})
 
     coded = cut(rows.select("rep", "v").mapInPandas(encode, "rep long, list int, code binary, v array<float>"))
-    # The lists near each list: its queries probe these. One small row per pair of lists.
-    near = np.argsort(-(centroids @ centroids.T - (centroids**2).sum(1) / 2), 1, kind="stable")[:, : min(probes, lists)]
-    near = [np.unique(np.append(r[:probes], i)) for i, r in enumerate(near)]
-    pairs = spark.createDataFrame([(int(b), int(a)) for a, r in enumerate(near) for b in r], "list int, at int")
+    # The lists near each list: its queries probe these. Made in parallel, a row of probes per list.
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c, _ = model.value
+        for pdf in batches:
+            at = pdf["id"].to_numpy()
+            near = np.argsort(-(c[at] @ c.T - (c**2).sum(1) / 2), 1, kind="stable")[:, :probes]
+            near[~(near == at[:, None]).any(1), -1] = at[~(near == at[:, None]).any(1)]
+            yield pd.DataFrame({"list": near.ravel().astype("i4"), "at": np.repeat(at, near.shape[1]).astype("i4")})
+
+    pairs = spark.range(lists).mapInPandas(reach, "list int, at int")
     sizes = coded.groupBy("list").agg(F.count(F.lit(1)).alias("size"))
     block = lambda salt, size: F.pmod(F.xxhash64("rep", F.lit(salt)), F.ceil(F.col(size) / list_max)).cast("int")
     # Blocks of queries of a list, and of candidates: each (list, query block, candidate block group) is one group.
     q = coded.join(F.broadcast(sizes), "list").select(F.col("list").alias("at"), block(1, "size").alias("qb"), "rep", "v")
-    c = coded.select(F.col("rep").alias("other"), "list", "code").join(F.broadcast(pairs), "list")
+    c = coded.select(F.col("rep").alias("other"), "list", "code").join(pairs, "list")
     load = c.groupBy("at").agg(F.count(F.lit(1)).alias("load"))
     q_blocks = sizes.select(F.col("list").alias("at"), F.ceil(F.col("size") / list_max).cast("int").alias("n_qb"))
     per_list = load.join(q_blocks, "at").withColumn("n_cb", F.ceil(F.col("load") / F.lit(probes * list_max)).cast("int"))  # at most LISTS_MAX rows
