@@ -329,3 +329,10 @@ def test_spans(spark, hot, per_shard, chars, segment):
     assert {i: rep[i]["shared_chars"] for i in docs} == shared and rep[100]["shared_chars"] == 0 and rep[11]["class_id"] == 10
     own, pairs, _ = spans.shared_spans(df.limit(0))
     assert spans.found_pairs(own, pairs).count() == 0
+
+
+def test_context_chooses_between_frequent_forms(spark):
+    texts = ["the solar cell works"] * 20 + ["use the ceil function"] * 20 + ["a solar ce1l here", "that ce1l function"]
+    chunks = spark.createDataFrame([(i, 1, "K", t) for i, t in enumerate(texts)], "row_id long, library_id long, item_key string, text string")
+    groups = scanned.word_groups(scanned.facts(chunks))
+    assert {r["row_id"]: r["meant"] for r in scanned.misread_words(chunks, groups).collect()} == {40: "cell", 41: "ceil"}
