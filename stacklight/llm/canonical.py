@@ -32,8 +32,9 @@ from stacklight.llm.common import cut, keep_columns
 LEAST = 0.45
 MAX_READINGS = 24
 """Parts of one entered string; an entry with more wrappers than that isn't a name."""
+CLOSE = 0.8
 BAND = 0.75
-"""Candidates of at least this part of the best similarity go on to the exact check."""
+"""CLOSE: similarity of the first round. BAND: candidates of at least this part of the best similarity go on to the exact check."""
 MAX_LIST = 200_000
 """Names of the list; its word groups are sent to every task, so a larger list is refused rather than broadcast."""
 
@@ -354,10 +355,6 @@ def map_names(inputs: DataFrame, terms: DataFrame, least: float = LEAST) -> Data
     read_ = cut(strings.mapInPandas(read, "s string, k int, v string, short string"))
     v = read_.filter("v is not null").select("v").distinct()
     names = spark.createDataFrame([(n,) for n in sorted(lexicon.names)], "name string")
-    near = similar(v, names, least)
-    top = F.max("jaccard").over(Window.partitionBy("v"))
-    near = near.withColumn("top", top).filter(F.col("jaccard") >= BAND * F.col("top")).select("v", "name", "jaccard")
-
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex = known.value
         for pdf in batches:
@@ -368,7 +365,16 @@ def map_names(inputs: DataFrame, terms: DataFrame, least: float = LEAST) -> Data
                     out += [(a, c, d, j) for c in lex.names[b]]
             yield pd.DataFrame(out, columns=["v", "concept_id", "cost", "jaccard"])
 
-    checked = near.mapInPandas(verify, "v string, concept_id long, cost int, jaccard double")
+    def best(rows: DataFrame, bar: float) -> DataFrame:
+        near = similar(rows, names, bar)
+        top = F.max("jaccard").over(Window.partitionBy("v"))
+        near = near.withColumn("top", top).filter(F.col("jaccard") >= BAND * F.col("top")).select("v", "name", "jaccard")
+        return near.mapInPandas(verify, "v string, concept_id long, cost int, jaccard double")
+
+    # The best candidate is asked for: readings with a confirmed one above CLOSE have found theirs through short prefixes, and
+    # only the others go on to the long prefixes of ``least``. Both joins are exact.
+    close = cut(best(v, max(CLOSE, least)))
+    checked = close.unionByName(best(v.join(close.select("v").distinct(), "v", "left_anti"), least))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Readings that are made of the list's word groups but aren't listed."""
