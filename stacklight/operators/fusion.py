@@ -7,10 +7,11 @@ import json
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stacklight.functions import text as T
+from stacklight.operators.ranking import ranked, score_bucket
 
 # Constant of reciprocal ranks; floors of the branches; page sizes.
 RRF_K = 60
@@ -23,8 +24,8 @@ def admitted(branch: DataFrame, keys: list[str], floor: float, requested: float
     ranks run from 1 among admitted rows only."""
     bar = max(floor, requested) if requested is not None else floor
     one = branch.filter(F.col("score") >= bar).groupBy(*keys).agg(F.max("score").alias("score"))
-    # A global rank needs one order; only the admitted keys and scores take part.
-    return one.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), *keys)))
+    one = one.persist()  # keys and scores, read by the counts and by the rows
+    return ranked(one, score_bucket(F.col("score")), F.desc("score"), *keys)
 
 
 def rrf(branches: dict[str, tuple[DataFrame, float]], keys: list[str], k: int = RRF_K) -> DataFrame:
@@ -38,7 +39,8 @@ def rrf(branches: dict[str, tuple[DataFrame, float]], keys: list[str], k: int =
         F.min("rank").alias("best_rank"),
         F.array_join(F.array_sort(F.collect_set("branch")), "+").alias("matched_by"),
     )
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("rrf"), F.desc("sources"), "best_rank", *keys)))
+    out = out.persist()
+    return ranked(out, score_bucket(F.col("rrf"), 1_000_000), F.desc("rrf"), F.desc("sources"), "best_rank", *keys)
 
 
 def page(ranked: DataFrame, offset: int, limit: int, most: int = 500) -> DataFrame:

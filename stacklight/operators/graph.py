@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stacklight.functions import text as T
+from stacklight.operators.ranking import positions
 
 # Words and units that make no lexical signal.
 NO_SIGNAL = (
@@ -75,12 +76,8 @@ def representatives(chunks: DataFrame, doc: list[str], order: str, vector: str)
     centroid; a pick too like an earlier one is passed over. Bands are joins and aggregates, so a document of any length is
     spread; only the at most 20 picks of a document meet in one call."""
     n = chunks.groupBy(*doc).agg(F.count(F.lit(1)).alias("n")).withColumn("target", representative_target(F.col("n")))
-    # The position is a prefix count in two levels: within blocks of order, and over blocks.
-    block = F.floor(F.col(order) / 1024)
-    sizes = chunks.groupBy(*doc, block.alias("blk")).agg(F.count(F.lit(1)).alias("m"))
-    before = sizes.withColumn("off", F.coalesce(F.sum("m").over(Window.partitionBy(*doc).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("m")
-    c = chunks.withColumn("blk", block).withColumn("at", F.row_number().over(Window.partitionBy(*doc, "blk").orderBy(order, "id")) - 1).join(before, [*doc, "blk"]).join(n, doc)
-    c = c.withColumn("pos", F.col("off") + F.col("at")).withColumn("band", F.floor((F.col("pos") * F.col("target") + F.col("target") - 1) / F.col("n")))
+    c = positions(chunks, doc, order, "id", name="pos").join(n, doc)
+    c = c.withColumn("band", F.floor((F.col("pos") * F.col("target") + F.col("target") - 1) / F.col("n")))
     c = c.withColumn("band", F.least(F.col("band"), F.col("target") - 1)).select(*doc, "id", "pos", "band", vector)
     parts = c.select(*doc, "band", F.posexplode(vector).alias("i", "x")).groupBy(*doc, "band", "i").agg(F.avg("x").alias("x"))
     centre = parts.groupBy(*doc, "band").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda y: y["x"]).alias("centre"))

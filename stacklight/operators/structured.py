@@ -110,10 +110,6 @@ def relevance(fields: dict[str, Column], q: str, boosted: tuple[str, ...] = (),
     return total
 
 
-def ranked(rows: DataFrame, *order) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-
-
 def colour_matches(colour: Column, asked: str) -> Column:
     a = asked.lower()
     names = [h for h, ns in COLOURS if any(a in n or n in a for n in ns)]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stacklight.functions import text as T
 from stacklight.operators import maintenance as M
+from stacklight.operators.ranking import positions
 from stacklight.sources.tables import table
 
 KEY = ["library_id", "item_key"]
@@ -80,11 +81,8 @@ def timing_summary(spark, d):
 
 def chunk_page(spark, d):
     """Chunks 8 to 15 of each paper by position, and the revision they belong to."""
-    from pyspark.sql import Window
-
-    c = table(spark, d, "chunks").dropna(subset=[*KEY, "chunk_id"])
-    w = Window.partitionBy(*KEY).orderBy("chunk_id", "row_id")
-    return c.withColumn("position", F.row_number().over(w) - 1).filter("position between 8 and 15").select(*KEY, "row_id", "position", F.sha2(T.squeeze(F.coalesce("text", F.lit(""))), 256).alias("revision"))
+    c = positions(table(spark, d, "chunks").dropna(subset=[*KEY, "chunk_id"]), KEY, "chunk_id", "row_id")
+    return c.filter("position between 8 and 15").select(*KEY, "row_id", "position", F.sha2(T.squeeze(F.coalesce("text", F.lit(""))), 256).alias("revision"))
 
 
 def build_targets(spark, d):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stacklight.functions import text as T
 from stacklight.operators import structured as S
+from stacklight.operators.ranking import ranked, score_bucket, text_bucket
 from stacklight.plans import duck
 from stacklight.sources.tables import table
 
@@ -85,7 +86,7 @@ def relevance_stats(spark, d):
 
 
 def sort_page(spark, d):
-    r = S.ranked(_items(spark, d), F.asc_nulls_last(F.lower("title")), *KEY)
+    r = ranked(_items(spark, d), text_bucket(F.lower("title")), F.asc_nulls_last(F.lower("title")), *KEY)
     n = r.agg(F.count(F.lit(1)).alias("total"))
     return r.filter("rank > 10 and rank <= 30").join(F.broadcast(n)).select(*KEY, "rank", "total", (F.col("total") > 30).alias("has_more"))
 
@@ -93,7 +94,7 @@ def sort_page(spark, d):
 def search_library(spark, d):
     """Predicates, tags, years, relevance, order and page in one plan."""
     r = _relevance(spark, d).filter((F.col("score") > 0) & ~F.coalesce("in_trash", F.lit(False)) & S.year_range(F.col("pub_year"), "2000-"))
-    return S.ranked(r, F.desc("score"), *KEY).filter("rank <= 25").select(*KEY, "rank", F.round("score", 6).alias("score"))
+    return ranked(r, score_bucket(F.col("score")), F.desc("score"), *KEY).filter("rank <= 25").select(*KEY, "rank", F.round("score", 6).alias("score"))
 
 
 def item_projection(spark, d):
@@ -102,7 +103,7 @@ def item_projection(spark, d):
 
 def json_envelope(spark, d):
     """Rows and paging of a page of titles as one JSON text."""
-    r = S.ranked(_items(spark, d), F.asc_nulls_last(F.lower("title")), *KEY)
+    r = ranked(_items(spark, d), text_bucket(F.lower("title")), F.asc_nulls_last(F.lower("title")), *KEY)
     n = r.agg(F.count(F.lit(1)).alias("total"))
     rows = r.filter("rank <= 5").agg(F.array_sort(F.collect_list(F.struct("rank", "item_key"))).alias("rows"))  # one page
     return rows.join(n).select(F.to_json(F.struct(F.transform("rows", lambda x: x["item_key"]).alias("results"), "total", F.lit(5).alias("returned"), (F.col("total") > 5).alias("hasMore"))).alias("body"))
@@ -154,7 +155,7 @@ def annotation_search(spark, d):
     none = F.lit(None).cast("string")
     n = n.withColumn("importance", S.importance(F.col("text"), F.col("kind"), none, F.greatest(age, F.lit(0.0)))).withColumn("relevance", S.annotation_relevance(F.col("text"), none, "surface strength"))
     n = n.filter("relevance > 0").withColumn("score", F.round(0.7 * F.col("relevance") + 0.3 * F.col("importance"), 6))
-    return S.ranked(n, F.desc("score"), "doc_id").filter("rank <= 100").select("doc_id", "rank", "score")
+    return ranked(n, score_bucket(F.col("score")), F.desc("score"), "doc_id").filter("rank <= 100").select("doc_id", "rank", "score")
 
 
 def annotation_filter(spark, d):
