@@ -2,7 +2,7 @@
 
 Vectors are scaled to length 1. Coarse centroids and the codebooks of the residuals are trained on a bounded sample
 (``SAMPLE`` rows chosen by a hash of the id); every usable row is indexed and every row is a query. A row is coded once:
-its list and ``M`` bytes. For the search the *codes* travel to the lists that probe theirs and the float vectors stay,
+its list and ``M`` bytes. For the search the *codes* travel to the lists nearest their vectors and the float vectors stay,
 because codes are 16 times smaller. Each block of queries of a list meets blocks of candidate codes; distances come
 from asymmetric tables (query float, candidate code); the ``keep`` best of a query are reranked on exact vectors.
 
@@ -106,7 +106,7 @@ def top_k(vectors: DataFrame, id_col: str = "id", vector_col: str = "vector", k:
     base = np.stack(picked["v"].to_numpy()) if len(picked) else np.stack(rows.select("v").limit(sample).toPandas()["v"].to_numpy())
     centroids, books = train(base.astype("f4"), lists, m)
     lists = len(centroids)
-    probes = max(probes, round(PROBE_SHARE * lists))
+    probes = min(lists, max(probes, round(PROBE_SHARE * lists)))
     model = spark.sparkContext.broadcast((centroids, books))  # at most LISTS_MAX + M * CODE rows of floats: about 1 MB
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,24 +118,17 @@ def top_k(vectors: DataFrame, id_col: str = "id", vector_col: str = "vector", k:
                 own = nearest(x, c)
                 r = x - c[own]
                 codes = np.stack([nearest(r[:, j * d : (j + 1) * d], b[j]) for j in range(b.shape[0])], 1).astype("u1")
-                yield pd.DataFrame({"rep": pdf["rep"], "list": own.astype("i4"), "code": [x.tobytes() for x in codes], "v": pdf["v"]})
+                far = (c**2).sum(1) / 2 - x @ c.T
+                to = np.argpartition(far, probes - 1, 1)[:, :probes].astype("i4")
+                yield pd.DataFrame({"rep": pdf["rep"], "list": own.astype("i4"), "code": [x.tobytes() for x in codes], "to": list(to), "v": pdf["v"]})
 
-    coded = cut(rows.select("rep", "v").mapInPandas(encode, "rep long, list int, code binary, v array<float>"))
-    # The lists near each list: its queries probe these. Made in parallel, a row of probes per list.
-    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c, _ = model.value
-        for pdf in batches:
-            at = pdf["id"].to_numpy()
-            near = np.argsort(-(c[at] @ c.T - (c**2).sum(1) / 2), 1, kind="stable")[:, :probes]
-            near[~(near == at[:, None]).any(1), -1] = at[~(near == at[:, None]).any(1)]
-            yield pd.DataFrame({"list": near.ravel().astype("i4"), "at": np.repeat(at, near.shape[1]).astype("i4")})
-
-    pairs = spark.range(lists).mapInPandas(reach, "list int, at int")
+    coded = cut(rows.select("rep", "v").mapInPandas(encode, "rep long, list int, code binary, to array<int>, v array<float>"))
     sizes = coded.groupBy("list").agg(F.count(F.lit(1)).alias("size"))
     block = lambda salt, size: F.pmod(F.xxhash64("rep", F.lit(salt)), F.ceil(F.col(size) / list_max)).cast("int")
     # Blocks of queries of a list, and of candidates: each (list, query block, candidate block group) is one group.
     q = coded.join(F.broadcast(sizes), "list").select(F.col("list").alias("at"), block(1, "size").alias("qb"), "rep", "v")
-    c = coded.select(F.col("rep").alias("other"), "list", "code").join(pairs, "list")
+    # A code goes to the lists nearest its own vector: the list of a close query is surely among them.
+    c = coded.select(F.col("rep").alias("other"), "list", "code", F.explode("to").alias("at"))
     load = c.groupBy("at").agg(F.count(F.lit(1)).alias("load"))
     q_blocks = sizes.select(F.col("list").alias("at"), F.ceil(F.col("size") / list_max).cast("int").alias("n_qb"))
     per_list = load.join(q_blocks, "at").withColumn("n_cb", F.ceil(F.col("load") / F.lit(probes * list_max)).cast("int"))  # at most LISTS_MAX rows
