@@ -162,7 +162,7 @@ def relocate(spark, d):
 
 
 def _scan(spark, d):
-    """The chunks of five searches against all chunks: the best score by document of each anchor."""
+    """The queries' vectors against all: the best score by document of each anchor."""
     q = PV._queries(spark, d)
     hits = V.scan(PV._vectors(spark, d), q.select("query_id", "vector"), ["id", *KEY]).groupBy("query_id", *KEY).agg(F.max("score").alias("score"))
     src = q.select("query_id", F.concat_ws(":", *KEY).alias("source"))
@@ -236,7 +236,7 @@ j AS (SELECT key, row_id, a, trim(regexp_replace(text, '[ \\t\\n\\f\\r]+', ' ',
 g AS (SELECT key, row_id, a, b, list_distinct(list_transform(range(1, length(a)), lambda i: substr(a, i, 2))) AS x, list_distinct(list_transform(range(1, length(b)), lambda i: substr(b, i, 2))) AS y FROM j),
 o AS (SELECT key, row_id, round(CASE WHEN length(a) > 0 AND contains(b, a) THEN 1.0 WHEN length(a) < 2 THEN 0.0 ELSE len(list_intersect(x, y)) / len(x) END, 6) AS overlap FROM g)
 SELECT key, row_id, overlap, 'overlap' AS how FROM o WHERE overlap >= 0.72 QUALIFY row_number() OVER (PARTITION BY key ORDER BY overlap DESC, row_id) = 1""",
-    "link_scan": f"""WITH {PV._H.replace("q AS (SELECT min(id) AS query_id", "q AS (SELECT any_value(library_id || ':' || item_key) AS source, min(id) AS query_id").replace("h AS (SELECT query_id,", "h AS (SELECT source, query_id,")},
+    "link_scan": f"""WITH {PV._H.replace("h AS (SELECT query_id,", "h AS (SELECT ql || ':' || qi AS source, query_id,")},
 b AS (SELECT source, query_id AS anchor, library_id || ':' || item_key AS target, max(score) AS score FROM h GROUP BY source, query_id, library_id, item_key HAVING source <> target), nn AS (SELECT count(DISTINCT (library_id, item_key)) AS n FROM v),
 br AS (SELECT source, anchor, count(*) FILTER (score >= 0.35) AS breadth FROM b GROUP BY ALL), w AS (SELECT *, greatest(0, least(1, ln((n + 1) / (breadth + 1)) / ln(n + 1))) AS w, greatest(3, floor(n * 0.3)) AS cap FROM br, nn), tt AS (SELECT source, sum(w) AS total FROM w GROUP BY 1),
 f AS (SELECT source, target, round(0.75 * sum(w * greatest(0, least(1, score))) / max(total) + 0.25 * coalesce(max(CASE WHEN breadth <= cap THEN w * greatest(0, least(1, score)) END), 0), 6) AS forward FROM b JOIN w USING (source, anchor) JOIN tt USING (source) GROUP BY ALL)

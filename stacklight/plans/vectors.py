@@ -15,10 +15,8 @@ def _vectors(spark, d):
 
 
 def _queries(spark, d):
-    """The usable vectors of the chunks that similarity snapshots asked for: the smallest id of each chunk."""
-    s = table(spark, d, "similar_snapshots").filter("snapshot_id <= 5").select("snapshot_id", *DOC, F.explode("query_chunk_ids").alias("chunk_id"))
-    v = V.usable(_vectors(spark, d), "vector", 64).groupBy(*DOC, "chunk_id").agg(F.min("id").alias("query_id"), F.min_by("vector", "id").alias("vector"))
-    return v.join(F.broadcast(s.select(*DOC, "chunk_id").distinct()), [*DOC, "chunk_id"]).select("query_id", "vector", *DOC)
+    """Searches from every usable vector whose id is divisible by 50, against all vectors."""
+    return V.usable(_vectors(spark, d), "vector", 64).filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vector", *DOC)
 
 
 def _scan(spark, d, best=None):
@@ -38,11 +36,7 @@ def int8_quantize(spark, d):
 
 
 def int8_cosine_topk(spark, d):
-    q, _ = V.quantize(F.col("vector"))
-    v = V.usable(_vectors(spark, d), "vector", 64).select("id", q.alias("q"))
-    ask = F.broadcast(_queries(spark, d).select("query_id", q.alias("ask")))  # the few chunks of five snapshots
-    # A nested loop with a handful of broadcast queries: the index is scanned once.
-    hits = v.join(ask, F.col("id") != F.col("query_id")).select("query_id", "id", F.round(V.cosine_int8(F.col("q"), F.col("ask")), 12).alias("score"))
+    hits = V.scan(_vectors(spark, d), _queries(spark, d), ["id"], best=50, int8=True).filter("id <> query_id")
     return V.top_k(hits, 10, "id").select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
@@ -98,8 +92,7 @@ QUERIES = [cosine_topk, int8_quantize, int8_cosine_topk, int8_recall, grouped_to
 
 _DOT = "list_dot_product({a}::double[], {b}::double[])"
 _OK = "v AS (SELECT * FROM vectors_f32 WHERE id IS NOT NULL AND library_id IS NOT NULL AND item_key IS NOT NULL AND chunk_id IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0)"
-_ASK = f"""{_OK}, asked AS (SELECT DISTINCT library_id, item_key, unnest(query_chunk_ids) AS chunk_id FROM similar_snapshots WHERE snapshot_id <= 5),
-q AS (SELECT min(id) AS query_id, arg_min(vector, id) AS qv FROM v JOIN asked USING (library_id, item_key, chunk_id) GROUP BY library_id, item_key, chunk_id)"""
+_ASK = f"{_OK}, q AS (SELECT id AS query_id, vector AS qv, library_id AS ql, item_key AS qi FROM v WHERE id % 50 = 0)"
 _COS = f"round({_DOT.format(a='qv', b='vector')} / (sqrt({_DOT.format(a='qv', b='qv')}) * sqrt({_DOT.format(a='vector', b='vector')})), 12)"
 _H = f"{_ASK}, h AS (SELECT query_id, id, library_id, item_key, chunk_id, {_COS} AS score FROM v, q)"
 _Q8 = "list_transform({v}, lambda x: floor(x::double * (127.0 / list_max(list_transform({v}, lambda y: abs(y::double)))) + 0.5)::bigint)"
