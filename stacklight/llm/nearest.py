@@ -2,9 +2,11 @@
 
 Vectors are scaled to length 1. Coarse centroids and the codebooks of the residuals are trained on a bounded sample
 (``SAMPLE`` rows chosen by a hash of the id); every usable row is indexed and every row is a query. A row is coded once:
-its list and ``M`` bytes. For the search the *codes* travel to the lists nearest their vectors and the float vectors stay,
+its list, ``M`` bytes for the direction of its residual and three floats: the residual's length, the score its code misses
+on the row itself, and the length of what the code misses. So a dense cluster is coded as finely, for its size, as a wide one. For the search the *codes* travel to the lists nearest their vectors and the float vectors stay,
 because codes are 16 times smaller. Each block of queries of a list meets blocks of candidate codes; distances come
-from asymmetric tables (query float, candidate code); the ``keep`` best of a query are reranked on exact vectors.
+from asymmetric tables (query float, candidate code). Reranked on exact vectors are the ``keep`` best of a query and every
+other candidate whose score is within ``SLACK`` deviations of its own code's error of the k-th best, however many they are.
 
 A list with more than ``LIST_MAX`` rows is cut into blocks on both sides, so a hot list is never one task. Rows with
 the same direction (exact copies) are one class with one representative that is indexed; members are expanded at the end,
@@ -36,6 +38,7 @@ PROBES = 32
 PROBE_SHARE = 0.25
 """Lists probed: this share of all lists, and PROBES at least."""
 KEEP = 32
+SLACK = 2.0
 K = 10
 
 
@@ -82,12 +85,48 @@ def train(sample: np.ndarray, lists: int, m: int = M, seed: int = 7) -> tuple[np
     rng = np.random.default_rng(seed)
     centroids = kmeans(sample, lists, 8, rng)
     rest = sample - centroids[nearest(sample, centroids)]
+    rest /= np.maximum(np.linalg.norm(rest, axis=1, keepdims=True), 1e-12)
     d = sample.shape[1] // m
     books = [kmeans(rest[:, j * d : (j + 1) * d], CODE, 8, rng) for j in range(m)]
     books = [np.concatenate([b, np.full((CODE - len(b), d), 1e3, "f4")]) for b in books]
     return centroids.astype("f4"), np.stack(books).astype("f4")
 
 
+def encode_rows(x: np.ndarray, c: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row its list, its M bytes and (length, missed, error): the row is about centroid + length * code, ``missed``
+    is what that is short of in the product of the row with itself, ``error`` the length of the difference."""
+    d = c.shape[1] // b.shape[0]
+    own = nearest(x, c)
+    r = x - c[own]
+    size = np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-12)
+    codes = np.stack([nearest(r[:, j * d : (j + 1) * d] / size, b[j]) for j in range(b.shape[0])], 1).astype("u1")
+    shape = np.concatenate([b[j][codes[:, j]] for j in range(b.shape[0])], 1)
+    length = (r * shape).sum(1) / np.maximum((shape**2).sum(1), 1e-12)
+    miss = r - length[:, None] * shape
+    return own, codes, np.stack([length, ((x - miss) * miss).sum(1), np.linalg.norm(miss, axis=1)], 1).astype("f4")
+
+
+def scores(y: np.ndarray, c: np.ndarray, b: np.ndarray, lst: np.ndarray, codes: np.ndarray, fit: np.ndarray) -> np.ndarray:
+    """(queries x candidates): the product told from the codes."""
+    d = y.shape[1] // b.shape[0]
+    score = np.zeros((len(y), len(lst)), "f4")
+    for j in range(b.shape[0]):
+        score += np.take(y[:, j * d : (j + 1) * d] @ b[j].T, codes[:, j], axis=1)  # row by row as score; a plain index isn't
+    score *= fit[:, 0]
+    score += fit[:, 1]
+    score += np.take(y @ c.T, lst, axis=1)
+    return score
+
+
+def slacks(kth: np.ndarray, error: np.ndarray, dim: int) -> np.ndarray:
+    """How far under the k-th best a score may lie and its vector still be as near, by ``SLACK`` deviations.
+
+    What is missed is a vector of length ``error`` in any direction, against the difference of query and candidate, so the
+    deviation at score u is s = error / sqrt(dim) * sqrt(2 - 2u + error²); this solves kth - u = SLACK * s for kth - u."""
+    s = (SLACK * error / np.sqrt(dim)) ** 2
+    return s + np.sqrt(s * s + s * np.maximum(2 - 2 * kth + error**2, 0))
+
+
 def top_k(vectors: DataFrame, id_col: str = "id", vector_col: str = "vector", k: int = K, dim: int = DIM, probes: int = PROBES, keep: int = KEEP, m: int = M, sample: int = SAMPLE, list_max: int = LIST_MAX) -> DataFrame:
     """(id, rank, neighbour, cosine): up to k rows per usable row."""
     spark = vectors.sparkSession
@@ -111,16 +150,13 @@ def top_k(vectors: DataFrame, id_col: str = "id", vector_col: str = "vector", k:
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c, b = model.value
-        d = c.shape[1] // b.shape[0]
         for pdf in batches:
             if len(pdf):
                 x = np.stack(pdf["v"].to_numpy()).astype("f4")
-                own = nearest(x, c)
-                r = x - c[own]
-                codes = np.stack([nearest(r[:, j * d : (j + 1) * d], b[j]) for j in range(b.shape[0])], 1).astype("u1")
+                own, codes, fit = encode_rows(x, c, b)
                 far = (c**2).sum(1) / 2 - x @ c.T
                 to = np.argpartition(far, probes - 1, 1)[:, :probes].astype("i4")
-                yield pd.DataFrame({"rep": pdf["rep"], "list": own.astype("i4"), "code": [x.tobytes() for x in codes], "to": list(to), "v": pdf["v"]})
+                yield pd.DataFrame({"rep": pdf["rep"], "list": own.astype("i4"), "code": [u.tobytes() + f.tobytes() for u, f in zip(codes, fit)], "to": list(to), "v": pdf["v"]})
 
     coded = cut(rows.select("rep", "v").mapInPandas(encode, "rep long, list int, code binary, to array<int>, v array<float>"))
     sizes = coded.groupBy("list").agg(F.count(F.lit(1)).alias("size"))
@@ -140,31 +176,37 @@ def top_k(vectors: DataFrame, id_col: str = "id", vector_col: str = "vector", k:
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         cent, b = model.value
         if not len(left) or not len(right):
-            return pd.DataFrame({"id": np.zeros(0, "i8"), "other": np.zeros(0, "i8"), "score": np.zeros(0, "f4")})
+            return pd.DataFrame({"id": np.zeros(0, "i8"), "other": np.zeros(0, "i8"), "score": np.zeros(0, "f4"), "error": np.zeros(0, "f4")})
         ids, x = left["rep"].to_numpy(), np.stack(left["v"].to_numpy()).astype("f4")
         others, lst = right["c_other"].to_numpy(), right["c_list"].to_numpy()
-        codes = np.frombuffer(b"".join(right["c_code"]), "u1").reshape(len(right), -1)
-        d = x.shape[1] // b.shape[0]
-        # q.c ~ q.centroid + sum of the tables' entries
+        raw = np.frombuffer(b"".join(right["c_code"]), "u1").reshape(len(right), -1)
+        codes, fit = np.asfortranarray(raw[:, : b.shape[0]]), raw[:, b.shape[0] :].copy().view("f4")
         out = []
         for s in range(0, len(x), 128):
             y = x[s : s + 128]
-            score = (y @ cent.T)[:, lst]
-            for j in range(b.shape[0]):
-                score += (y[:, j * d : (j + 1) * d] @ b[j].T)[:, codes[:, j]]
+            score = scores(y, cent, b, lst, codes, fit)
             score[ids[s : s + 128, None] == others[None, :]] = -9
-            t = min(keep, score.shape[1])
-            best = np.argpartition(-score, t - 1, 1)[:, :t]
-            got = np.take_along_axis(score, best, 1)
-            out.append((np.repeat(ids[s : s + 128], t), others[best].ravel(), got.ravel()))
-        i, o, g = (np.concatenate(z) for z in zip(*out))
-        ok = g > -8
-        return pd.DataFrame({"id": i[ok], "other": o[ok], "score": g[ok]})
+            n_all = score.shape[1]
+            part = np.partition(score, n_all - min(max(keep, k), n_all), 1)[:, n_all - min(max(keep, k), n_all) :]
+            last = np.partition(part, part.shape[1] - min(keep, n_all), 1)[:, part.shape[1] - min(keep, n_all)]
+            kth = np.partition(part, part.shape[1] - min(k, n_all), 1)[:, part.shape[1] - min(k, n_all)]
+            # First by the widest error of the block, then by each candidate's own.
+            i, o = np.nonzero(score >= np.minimum(last, kth - slacks(kth, fit[:, 2].max(), y.shape[1]))[:, None])
+            g, e = score[i, o], slacks(kth[i], fit[o, 2], y.shape[1])
+            ok = (g > -8) & ((g >= last[i]) | (g + e >= kth[i]))
+            out.append((ids[s + i[ok]], others[o[ok]], g[ok], fit[o[ok], 2]))
+        i, o, g, e = (np.concatenate(z) for z in zip(*out))
+        return pd.DataFrame({"id": i, "other": o, "score": g, "error": e})
 
     keys = ["at", "qb", "cb"]
-    hits = q.groupBy(*keys).cogroup(c.groupBy(*[f"c_{x}" for x in keys])).applyInPandas(search, "id long, other long, score float")
+    hits = q.groupBy(*keys).cogroup(c.groupBy(*[f"c_{x}" for x in keys])).applyInPandas(search, "id long, other long, score float, error float")
+    # The same over all blocks of candidates of a query.
     best = Window.partitionBy("id").orderBy(F.desc("score"), "other")
-    hits = hits.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= keep)
+    hits = hits.withColumn("r", F.row_number().over(best))
+    kth = F.coalesce(F.max(F.when(F.col("r") == k, F.col("score"))).over(Window.partitionBy("id")), F.lit(-9.0))
+    hits = hits.withColumn("kth", kth).withColumn("s", F.pow(F.lit(SLACK / dim**0.5) * F.col("error"), 2))
+    slack = F.col("s") + F.sqrt(F.col("s") * F.col("s") + F.col("s") * F.greatest(F.lit(0.0), 2 - 2 * F.col("kth") + F.col("error") * F.col("error")))
+    hits = hits.filter((F.col("r") <= keep) | (F.col("score") + slack >= F.col("kth")))
     # Exact rerank: each unordered pair is compared once.
     both = hits.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     va, vb = coded.select(F.col("rep").alias("a"), F.col("v").alias("va")), coded.select(F.col("rep").alias("b"), F.col("v").alias("vb"))

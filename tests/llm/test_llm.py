@@ -224,6 +224,21 @@ def test_hot_list_in_blocks(spark):
     assert len({(r["id"], r["neighbour"]) for r in got} & want) >= 0.9 * len(want)
 
 
+def test_hot_cluster_of_distinct_vectors(spark):
+    """A third of the rows lie in one cluster of mean cosine 0.98, much denser than the rest."""
+    rng = np.random.default_rng(5)
+    wide, centre = rng.normal(size=(4000, 64)), rng.normal(size=64)
+    hot = centre / np.linalg.norm(centre) + np.sqrt((1 / 0.98 - 1) / 64) * rng.normal(size=(2000, 64))
+    x = np.concatenate([hot, wide]).astype("f4")
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vector array<float>")
+    m = x.astype("f8") / np.linalg.norm(x.astype("f8"), axis=1, keepdims=True)
+    s = m[:2000] @ m.T
+    np.fill_diagonal(s, -9)
+    want = {(i, int(j)) for i in range(2000) for j in np.argsort(-s[i])[:10]}
+    got = {(r["id"], r["neighbour"]) for r in nearest.top_k(df, k=10).filter("id < 2000").collect()}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 # --- tokens ---
 
 TEXTS = ["", None, "  ", "Hello, world's  end\n\n", "深冷声阻尼 β-stabilized", "<|endoftext|> \x00\x1f", "😀👩‍👩‍👧 é́", LONG, "a" * 9000 + " b", " " * 7000, "it's " * 4000 + "\n" * 50 + "x1y2"]
