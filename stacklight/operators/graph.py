@@ -27,7 +27,7 @@ NO_MARKUP = (
     "right", "overline", "underline", "widehat", "tilde", "rightarrow", "leftarrow", "approx", "leq", "geq", "neq", "pm",
 )
 NO_GREEK = ("alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "lambda", "mu", "nu", "xi", "omicron", "pi", "rho", "sigma", "tau", "upsilon", "phi", "chi", "psi", "omega")
-CLIQUE = 12
+CLIQUE = 40
 SAME, MIN_SYMMETRIC = 0.94, 0.45
 
 

@@ -304,3 +304,10 @@ def test_stands_without_the_subpackage():
                 if f.endswith(".py"):
                     assert "stacklight.llm" not in open(os.path.join(folder, f)).read()
     assert sys.modules
+
+
+def test_concept_edges_up_to_forty_papers(spark):
+    """The application's bound: a concept of 40 papers makes all pairs, one of 41 none."""
+    r = spark.createDataFrame([(1, f"d{i:02}", c) for c, n in (("wide", 40), ("over", 41)) for i in range(n)], "g int, d string, c string")
+    got = G.concept_edges(r, "g", "d", "c").collect()
+    assert len(got) == 40 * 39 // 2 and {x["shared"] for x in got} == {1}
