@@ -89,11 +89,16 @@ def note_sentences(note: str) -> list[tuple[int, int, str, str]]:
     return [(b, k, s, t) for b, (kind, t) in enumerate(blocks(note)) if kind in ("prose", "item") for k, s in enumerate(sentences(t))]
 
 
+def with_citations(lines: DataFrame) -> DataFrame:
+    """lines with ``cited``, the chunk ids of each sentence. A sentence without citations has its block's."""
+    own = T.citations(F.col("sentence"))
+    return lines.withColumn("cited", F.when(F.size(own) > 0, own).otherwise(T.citations(F.col("block_text"))))
+
+
 def audit(lines: DataFrame, chunks: DataFrame) -> DataFrame:
     """lines(note, block, k, sentence, block_text), chunks(note, chunk_id, text) -> (note, block, k, risks) of the sentences worth a
-    quotation: any strong risk, or two weak ones. A sentence without citations has its block's."""
-    own = T.citations(F.col("sentence"))
-    x = lines.withColumn("cited", F.when(F.size(own) > 0, own).otherwise(T.citations(F.col("block_text"))))
+    quotation: any strong risk, or two weak ones."""
+    x = with_citations(lines)
     src = x.select("note", "block", "k", F.explode("cited").alias("chunk_id")).join(chunks, ["note", "chunk_id"])
     src = src.groupBy("note", "block", "k").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("source"))  # the cited chunks of one sentence
     x = x.filter(F.length("sentence") >= 12).join(src, ["note", "block", "k"], "left")

@@ -26,11 +26,13 @@ def note_sentences(spark, d):
 
 
 def claim_risks(spark, d):
-    """Sentences of notes against the first chunk of their paper."""
+    """Sentences of notes against the chunks they cite of their paper."""
     n = _notes(spark, d)
     lines = P.table_of(n, ["note"], "text", lambda s: N.note_sentences(s), "block int, k int, sentence string, block_text string")
-    c = L.live_chunks(table(spark, d, "chunks")).filter("chunk_id = 0 and length(text) > 0").select(*KEY, "chunk_id", F.substring("text", 1, 2000).alias("text"))
-    src = n.select("note", *KEY).join(c, KEY).select("note", "chunk_id", "text")
+    c = L.live_chunks(table(spark, d, "chunks")).filter("length(text) > 0").select(*KEY, "chunk_id", "text")
+    # Only cited chunks meet a note: a paper of many chunks and many notes isn't multiplied.
+    asked = N.with_citations(lines).select("note", F.explode("cited").alias("chunk_id")).distinct().join(n.select("note", *KEY), "note")
+    src = asked.join(c, [*KEY, "chunk_id"]).select("note", "chunk_id", "text")
     return N.audit(lines, src).select("note", "block", "k", F.array_join("risks", ",").alias("risks"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stacklight.operators import blocks as B
 from stacklight.operators import notes as N
+from stacklight.plans import notes as PN
 
 
 def test_blocks_and_sentences():
@@ -68,3 +69,13 @@ def test_excerpt(spark):
     long = "word " * 60 + "membrane " + "tail " * 60
     r = spark.createDataFrame([(long,), ("a membrane",), ("none",), (None,)], "t string").select(N.excerpt(F.col("t"), "membrane").alias("x")).collect()
     assert r[0]["x"].startswith("…") and r[0]["x"].endswith("…") and "membrane" in r[0]["x"] and r[1]["x"] == "a membrane" and r[2]["x"] is None and r[3]["x"] is None
+
+
+def test_claim_risks_reads_whole_cited_chunks(spark, tmp_path):
+    """A hedge behind 2,000 characters and one in a chunk other than the first; uncited chunks don't count."""
+    notes = [(1, "note", "a", "The method works for steel."), (2, "note", "b", "The method works for steel (chunk 3).")]
+    chunks = [(1, "a", 0, "x " * 1500 + "It may work."), (2, "a", 1, "plain"), (3, "b", 0, "plain"), (4, "b", 3, "It may work."), (5, "b", 4, "This is not so.")]
+    spark.createDataFrame([(i, s, 1, k, t) for i, s, k, t in notes], "doc_id long, source string, library_id long, item_key string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r, 1, k, c, t) for r, k, c, t in chunks], "row_id long, library_id long, item_key string, chunk_id int, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {r["note"]: r["risks"] for r in PN.claim_risks(spark, str(tmp_path)).collect()}
+    assert "hedge-dropped" in got[1] and "hedge-dropped" in got[2]
