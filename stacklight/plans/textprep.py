@@ -110,8 +110,17 @@ def grep_counts(spark, d):
     return _docs(spark, d).filter(n > 0).select("doc_id", n.alias("hits"), F.concat(F.when(at > 51, "...").otherwise(""), F.substring(F.col("text"), F.greatest(at - 50, F.lit(1)), F.least(at - 1, F.lit(50)) + 9 + 50)).alias("snippet"))
 
 
+def windows(text):
+    """All windows of a text, each from the end of the one before."""
+    start = 0
+    while start < len(text):
+        part, stop = P.window(text, start, 500)
+        yield part, stop
+        start = stop
+
+
 def text_window(spark, d):
-    return P.table_of(_docs(spark, d), ["doc_id"], "text", lambda s: [P.window(s, 0, 500)], "part string, stop int")
+    return P.table_of(_docs(spark, d), ["doc_id"], "text", lambda s: list(windows(s)), "part string, stop int")
 
 
 def smart_truncate(spark, d):

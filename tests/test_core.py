@@ -311,3 +311,10 @@ def test_concept_edges_up_to_forty_papers(spark):
     r = spark.createDataFrame([(1, f"d{i:02}", c) for c, n in (("wide", 40), ("over", 41)) for i in range(n)], "g int, d string, c string")
     got = G.concept_edges(r, "g", "d", "c").collect()
     assert len(got) == 40 * 39 // 2 and {x["shared"] for x in got} == {1}
+
+
+def test_text_window_walks_the_whole_text(spark, tmp_path):
+    text = "A plain sentence of words. " * 80
+    spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(registry.queries()["text_window"](spark, str(tmp_path)).collect(), key=lambda r: r["stop"])
+    assert len(got) > 2 and "".join(r["part"] for r in got) == text and got[-1]["stop"] == len(text)
