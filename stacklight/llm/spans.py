@@ -1,14 +1,14 @@
 """Long exact spans shared between records: repeated-phrase automata.
 
-1. Texts that are equal as a whole are one class with one representative.
-2. Every representative is fingerprinted: of all ``PHRASE``-character windows, those whose hash is least among the
-   windows of some ``LEAST``-character stretch (winnowing). Two texts that share ``LEAST`` characters share a
-   fingerprint of that stretch, wherever it lies.
-3. A fingerprint of two or more texts is a recurring passage; its characters are cut from one of the texts.
-4. The passages are dealt to shards by that text, so passages of one source stay together; each shard is compiled into
-   an Aho-Corasick automaton, and the texts that hold passages of the shard are streamed through it, in salted groups of
-   bounded size, to locate every occurrence.
-5. Occurrences of a passage, with ``LEAST - PHRASE`` characters on both sides, meet by passage; each ``LEAST``-character
+1. Every text is fingerprinted where it is scanned: of all ``PHRASE``-character windows, those whose hash is least among
+   the windows of some ``LEAST``-character stretch (winnowing). Two texts that share ``LEAST`` characters share a
+   fingerprint of that stretch, wherever it lies. No text is exchanged for this; a fingerprint has three numbers.
+2. Texts that are equal as a whole are one class with one representative, told by digests; fingerprints of the others go.
+3. A fingerprint of two or more texts is a recurring passage. The texts that have one are sent once, with the places of
+   their passages, into groups of bounded size (a shard). Each shard's passages, cut from its own texts, are compiled into
+   Aho-Corasick automata of a bounded number of passages, and the shard's texts are streamed through them to locate every
+   occurrence. A passage is compiled only in the shards that hold it, so neither a passage nor a text is a hot key.
+4. Occurrences of a passage, with ``LEAST - PHRASE`` characters on both sides, meet by passage; each ``LEAST``-character
    window that stands in two or more texts is confirmed character by character: the characters that two occurrences have
    in common are counted out on both sides. A passage with more than ``HOT`` occurrences is confirmed by grouping its
    windows by digest instead, so no group is unbounded and none is compared pair by pair.
@@ -34,10 +34,18 @@ from stacklight.sources.tables import spread
 
 LEAST = 100
 PHRASE = 50
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 PER_SHARD = 20_000
-GROUP_CHARS = 16_000_000
+"""Passages of one automaton."""
+GROUP_CHARS = 2_000_000
+"""Characters of the texts of one shard; a longer text is a shard of its own."""
 HOT = 500
+"""Occurrences of a passage that are compared one by one."""
+SMALL = 100_000
+"""Rows of eight bytes that are broadcast at most; more take a shuffled join."""
+BLOCKS = 256
+FLUSH = 20_000
+"""Occurrences that a worker holds before it gives them away."""
 
 _BASE = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
@@ -98,30 +106,31 @@ class Winnower:
 
 
 def fingerprints(docs: DataFrame, least: int = LEAST, phrase: int = PHRASE, segment: int = SEGMENT) -> DataFrame:
-    """docs(id, text) -> (id, h, pos, n): the text's distinct fingerprints, the first place of each, the text's length."""
+    """docs(id, text) -> (id, h, pos): the text's distinct fingerprints and the first place of each. Texts are hashed in
+    segments of bounded length, so a worker's memory doesn't grow with a text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         winnow = Winnower(least, phrase)
 
-        def flush(ids: list, texts: list[str], shifts: list[int], lengths: list[int]) -> pd.DataFrame:
+        def flush(ids: list, texts: list[str], shifts: list[int]) -> pd.DataFrame:
             t, h, at = winnow(texts)
-            return pd.DataFrame({"id": np.array(ids, "i8")[t], "h": h, "pos": np.array(shifts, "i8")[t] + at, "n": np.array(lengths, "i8")[t]})
+            return pd.DataFrame({"id": np.array(ids, "i8")[t], "h": h, "pos": np.array(shifts, "i8")[t] + at})
 
         for pdf in batches:
-            held, size = ([], [], [], []), 0
+            held, size = ([], [], []), 0
             for i, text in zip(pdf["id"], pdf["text"]):
                 for s in range(0, max(1, len(text) - least + 1), segment - least + 1):
                     piece = text[s : s + segment]
-                    for a, b in zip(held, (i, piece, s, len(text))):
+                    for a, b in zip(held, (i, piece, s)):
                         a.append(b)
                     size += len(piece)
                     if size >= segment:
                         yield flush(*held)
-                        held, size = ([], [], [], []), 0
+                        held, size = ([], [], []), 0
             if size:
                 yield flush(*held)
 
-    return docs.mapInPandas(run, "id long, h long, pos long, n long")
+    return docs.mapInPandas(run, "id long, h long, pos long")
 
 
 def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
@@ -132,43 +141,56 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return d.join(first.filter("members > 1"), "d", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
 
 
-def _occurrences(docs: DataFrame, prints: DataFrame, phrase: int, margin: int, per_shard: int, group_chars: int) -> DataFrame:
-    """(h, id, pos, lead, context): every occurrence of every recurring passage, with up to ``margin`` characters before
-    and after it; ``lead`` is how many stand before."""
-    seen = prints.groupBy("h").agg(F.min("id").alias("src"), F.max("id").alias("last"))
-    recurring = cut(seen.filter("src < last").select("h", "src"))
-    n = recurring.count()
-    shards = max(1, -(-n // per_shard))
-    hits = prints.join(recurring, "h").withColumn("shard", F.pmod(F.xxhash64("src"), F.lit(shards)).cast("int"))
-    hits = cut(hits.groupBy("id", "shard").agg(F.first("n").alias("n"), F.collect_list(F.when(F.col("src") == F.col("id"), F.col("pos"))).alias("ps")))  # at most the fingerprints of one text
-    salts = hits.groupBy("shard").agg(F.ceil(F.sum("n") / F.lit(group_chars)).cast("int").alias("salts"))  # one row per shard
-    # The texts are joined once: to the shards they are streamed through and to the places of the passages they give.
-    held = cut(docs.join(hits.groupBy("id").agg(F.collect_list(F.struct("shard", "ps")).alias("to")), "id").select("id", "text", F.explode("to").alias("to")).select("id", "text", "to.shard", "to.ps"))
-    phrases = held.filter(F.size("ps") > 0).select("shard", "text", F.explode("ps").alias("p"))
-    phrases = phrases.select("shard", F.substring("text", (F.col("p") + 1).cast("int"), F.lit(phrase)).alias("phrase")).distinct()
-    phrases = phrases.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "phrase")
-    streams = held.join(salts, "shard").select("shard", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), "id", "text")
-    streams = streams.select(*[F.col(c).alias(f"s_{c}") for c in streams.columns])
-
-    def locate(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+def passages(prints: DataFrame) -> DataFrame:
+    """(id, hs, ps): of each text the fingerprints that another text has too, and their places; at most those of one text.
+
+    Counts are added up before the shuffle; the join by fingerprint splits a hot one by AQE, for each has one row on its side."""
+    recurring = prints.groupBy("h").agg(F.min("id").alias("src"), F.max("id").alias("last")).filter("src < last").select("h")
+    return prints.join(recurring, "h").groupBy("id").agg(F.collect_list(F.struct("h", "pos")).alias("at")).select("id", F.col("at.h").alias("hs"), F.col("at.pos").alias("ps"))
+
+
+def locate(docs: DataFrame, hits: DataFrame, phrase: int = PHRASE, margin: int = LEAST - PHRASE, per_shard: int = PER_SHARD, group_chars: int = GROUP_CHARS) -> DataFrame:
+    """docs(id, text), hits(id, hs, ps) -> (h, id, pos, lead, context): every occurrence of every recurring passage in the texts that
+    have one, with up to ``margin`` characters before and after it; ``lead`` is how many stand before."""
+
+    def shard(ids: list, texts: list[str], hs: list, ps: list) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
-        auto = ahocorasick.Automaton()
-        names = right["phrase"].tolist()
-        for j, p in enumerate(names):
-            auto.add_word(p, j)
-        out: list[tuple] = []
-        if names:
+        names: dict[str, int] = {}
+        for text, own, at in zip(texts, hs, ps):
+            for h, k in zip(own.tolist(), at.tolist()):
+                if len(p := text[k : k + phrase]) == phrase:
+                    names.setdefault(p, h)
+        todo, out = list(names.items()), []
+        for s in range(0, len(todo), per_shard):
+            auto = ahocorasick.Automaton()
+            for p, h in todo[s : s + per_shard]:
+                auto.add_word(p, h)
             auto.make_automaton()
-            for i, text in zip(left["s_id"], left["s_text"]):
-                for end, j in auto.iter(text):
+            for i, text in zip(ids, texts):
+                for end, h in auto.iter(text):
                     at = end - phrase + 1
                     lead = min(at, margin)
-                    out.append((names[j], i, at, lead, text[at - lead : end + 1 + margin]))
-        return pd.DataFrame(out, columns=["phrase", "id", "pos", "lead", "context"])
+                    out.append((h, i, at, lead, text[at - lead : end + 1 + margin]))
+                    if len(out) >= FLUSH:
+                        yield pd.DataFrame(out, columns=["h", "id", "pos", "lead", "context"])
+                        out = []
+        yield pd.DataFrame(out, columns=["h", "id", "pos", "lead", "context"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            held, size = ([], [], [], []), 0
+            for row in zip(pdf["id"], pdf["text"], pdf["hs"], pdf["ps"]):
+                for a, b in zip(held, row):
+                    a.append(b)
+                size += len(row[1])
+                if size >= group_chars:
+                    yield from shard(*held)
+                    held, size = ([], [], [], []), 0
+            if size:
+                yield from shard(*held)
 
-    keys = ["shard", "salt"]
-    return streams.groupBy(*[f"s_{k}" for k in keys]).cogroup(phrases.groupBy(*keys)).applyInPandas(locate, "phrase string, id long, pos long, lead int, context string")
+    return docs.join(hits, "id").select("id", "text", "hs", "ps").mapInPandas(run, "h long, id long, pos long, lead int, context string")
 
 
 def _common(a: str, b: str) -> int:
@@ -209,16 +231,18 @@ def confirm(ids: list, at: list, leads: list, contexts: list, phrase: int, least
 def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, phrase: int = PHRASE, per_shard: int = PER_SHARD, group_chars: int = GROUP_CHARS, hot: int = HOT, segment: int = SEGMENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(classes(id, class_id), pairs(a, b) of representatives with a < b, spans(id, start, end) of representatives, merged)."""
     own = cut(classes(documents, id_col, text_col, least))
-    docs = spread(keep_columns(documents, id_col, text_col).filter(F.length(text_col) >= least), id_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    docs = docs.join(own.filter("id <> class_id").select("id"), "id", "left_anti")
-    prints = cut(fingerprints(docs, least, phrase, segment))
-    found = cut(_occurrences(docs, prints, phrase, least - phrase, per_shard, group_chars))
-    heavy = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > hot).select("phrase")
-    light = found.join(heavy, "phrase", "left_anti")
+    docs = spread(keep_columns(documents, id_col, text_col).filter(F.col(id_col).isNotNull() & (F.length(text_col) >= least)), id_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    copies = _broadcast_if_small(own.filter("id <> class_id").select("id"))
+    prints = cut(fingerprints(docs, least, phrase, segment)).join(copies, "id", "left_anti")
+    hits = cut(passages(prints))
+    found = cut(locate(docs, hits, phrase, least - phrase, per_shard, group_chars))
+    heavy = cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > hot).select("h"))
+    few = _broadcast_if_small(heavy)
+    light = found.join(few, "h", "left_anti")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Many passages in one call, told apart by sorting."""
-        pdf = pdf.sort_values("phrase", kind="stable")
+        """Many passages in one call, told apart by their characters, not by their hash."""
+        pdf = pdf.assign(phrase=[c[a : a + phrase] for a, c in zip(pdf["lead"], pdf["context"])]).sort_values("phrase", kind="stable")
         cols = [pdf[c].tolist() for c in ("id", "pos", "lead", "context")]
         names = pdf["phrase"].to_numpy()
         ends = [*(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
@@ -231,21 +255,30 @@ def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         return pd.DataFrame(rows, columns=["id", "start", "end", "other"]).astype({"id": "i8", "start": "Int64", "end": "Int64", "other": "Int64"})
 
     groups = max(1, found.count() // 2_000)
-    by = light.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(groups)))
+    by = light.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(groups)))
     confirmed = by.groupBy("part").applyInPandas(run, "id long, start long, end long, other long")
-    exploded = found.join(heavy, "phrase").select("id", "context", F.explode(F.sequence(F.lit(0), F.length("context") - least)).alias("o"), (F.col("pos") - F.col("lead")).alias("base")).filter(F.col("o") >= 0)
+    exploded = found.join(few, "h").select("id", "context", F.explode(F.sequence(F.lit(0), F.length("context") - least)).alias("o"), (F.col("pos") - F.col("lead")).alias("base")).filter(F.col("o") >= 0)
     windows = exploded.select(F.sha2(F.substring("context", F.col("o") + 1, F.lit(least)), 256).alias("w"), "id", (F.col("base") + F.col("o")).alias("start")).distinct()
-    twice = windows.groupBy("w").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count_distinct("id").alias("ids"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s")).filter("x < y")
-    shared = windows.join(twice, "w")
-    # Windows of the same set of texts give the same pairs: one of them stands for all.
-    stand = twice.groupBy("x", "y", "ids", "s").agg(F.min("w").alias("w")).select("w")
-    sides = shared.join(stand, "w").select("w", "id").distinct()
+    twice = windows.groupBy("w").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("w")
+    shared = cut(windows.join(twice, "w"))
+    # Windows of the same set of texts give the same pairs: one of them stands for all. A set is told by the digest of its
+    # sorted ids, taken in blocks so that a window of very many texts is never one row.
+    texts = shared.select("w", "id").distinct()
+    parts = texts.groupBy("w", F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).alias("block")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("id")), ","), 256).alias("d"))
+    sets = parts.groupBy("w").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("block", "d")))), 256).alias("d"))
+    stand = sets.groupBy("d").agg(F.min("w").alias("w")).select("w")
+    sides = texts.join(stand, "w")
     hot_pairs = sides.select("w", F.col("id").alias("a")).join(sides.select("w", F.col("id").alias("b")), "w").filter("a < b").select("a", "b")
     both = cut(confirmed.unionByName(shared.select("id", "start", (F.col("start") + least).alias("end"), F.lit(None).cast("long").alias("other"))))
     pairs = both.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).unionByName(hot_pairs).distinct()
     return own, pairs, _merge(both.filter("start is not null").select("id", "start", "end").distinct())
 
 
+def _broadcast_if_small(rows: DataFrame) -> DataFrame:
+    """One column of numbers: at most ``SMALL`` of them are broadcast, more are left to a shuffled join."""
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
+
+
 def _merge(spans: DataFrame) -> DataFrame:
     """Overlapping or touching (start, end) of an id become one."""
     w = Window.partitionBy("id").orderBy("start", "end")
