@@ -1,7 +1,9 @@
 """The k most similar vectors of every vector: inverted file, product-quantised residuals, exact reranking.
 
-Vectors are scaled to length 1. Coarse centroids and the codebooks of the residuals are trained on a bounded sample
-(``SAMPLE`` rows chosen by a hash of the id); every usable row is indexed and every row is a query. A row is coded once:
+Vectors are scaled to length 1. Coarse centroids, on two levels, and the codebooks of the residuals are trained on a bounded
+sample (``SAMPLE`` rows, or ``PER_LIST`` for each list, chosen by a hash of the id); every usable row is indexed and every row
+is a query. The lists grow with the square root of the rows and the number that is probed is fixed, so the scores grow
+with the rows to the power of 1.5. A row is coded once:
 its list, ``M`` bytes for the direction of its residual and three floats: the residual's length, the score its code misses
 on the row itself, and the length of what the code misses. So a dense cluster is coded as finely, for its size, as a wide one. For the search the *codes* travel to the lists nearest their vectors and the float vectors stay,
 because codes are 16 times smaller. Each block of queries of a list meets blocks of candidate codes; distances come
@@ -12,6 +14,8 @@ A list with more than ``LIST_MAX`` rows is cut into blocks on both sides, so a h
 the same direction (exact copies) are one class with one representative that is indexed; members are expanded at the end,
 k at most per row.
 
+Rows whose scaled vectors agree to 6 decimals are such copies, with a cosine of 1 (right to 11 places).
+
 Cases: null, empty, wrong-length, all-zero and non-finite vectors are not usable and appear nowhere; ties go to the smaller
 id; fewer than k other rows give fewer neighbours; an empty table gives no rows; repeated ids count once.
 """
@@ -32,11 +36,14 @@ DIM = 64
 M = 16
 CODE = 256
 SAMPLE = 40_000
-LISTS_MAX = 4_096
+PER_LIST = 8
+"""Rows of the sample: ``SAMPLE``, and so many for each list where that is more (64 MB at ``LISTS_MAX``)."""
+LISTS_MAX = 32_768
+"""Lists are twice the square root of the rows up to here, which is 268 million rows; they grow longer after that."""
 LIST_MAX = 4_096
 PROBES = 32
-PROBE_SHARE = 0.25
-"""Lists probed: this share of all lists, and PROBES at least."""
+CELLS = 1 << 22
+"""Distances (rows by lists) that are held at a time."""
 KEEP = 32
 SLACK = 2.0
 K = 10
@@ -76,14 +83,28 @@ def kmeans(x: np.ndarray, n: int, rounds: int, rng: np.random.Generator) -> np.n
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    half = (c**2).sum(1) / 2
-    return np.concatenate([np.argmax(x[i : i + 4096] @ c.T - half, 1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, int)
+    half, step = (c**2).sum(1) / 2, max(1, CELLS // len(c))
+    return np.concatenate([np.argmax(x[i : i + step] @ c.T - half, 1) for i in range(0, len(x), step)]) if len(x) else np.zeros(0, int)
+
+
+def nearest_lists(x: np.ndarray, c: np.ndarray, probes: int) -> np.ndarray:
+    """The ``probes`` lists nearest each row."""
+    half, step = (c**2).sum(1) / 2, max(1, CELLS // len(c))
+    return np.concatenate([np.argpartition(half - x[i : i + step] @ c.T, probes - 1, 1)[:, :probes] for i in range(0, len(x), step)]).astype("i4")
+
+
+def two_level(x: np.ndarray, lists: int, rng: np.random.Generator) -> np.ndarray:
+    """Centroids of ``lists`` lists: the sample is parted at the square root of that number, and each part again on its own."""
+    top = kmeans(x, round(lists**0.5) or 1, 8, rng)
+    own = nearest(x, top)
+    parts = [x[own == j] for j in range(len(top))]
+    return np.concatenate([kmeans(p, max(1, round(lists * len(p) / len(x))), 8, rng) for p in parts if len(p)])
 
 
 def train(sample: np.ndarray, lists: int, m: int = M, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(lists x dim centroids, m x CODE x dim/m codebooks) from a bounded sample."""
     rng = np.random.default_rng(seed)
-    centroids = kmeans(sample, lists, 8, rng)
+    centroids = two_level(sample, lists, rng)
     rest = sample - centroids[nearest(sample, centroids)]
     rest /= np.maximum(np.linalg.norm(rest, axis=1, keepdims=True), 1e-12)
     d = sample.shape[1] // m
@@ -139,14 +160,14 @@ def top_k(vectors: DataFrame, id_col: str = "id", vector_col: str = "vector", k:
         return spark.createDataFrame([], "id long, rank int, neighbour long, cosine double")
     members = _members(vectors, id_col, vector_col, dim, direction, rows.filter("n > 1").select("d", "rep"), k)
 
-    lists = int(min(LISTS_MAX, max(1, round(n**0.5))))
+    lists = int(min(LISTS_MAX, max(1, round(2 * n**0.5))))
+    sample = max(sample, PER_LIST * lists)
     part = min(1.0, 1.2 * sample / n)
     picked = rows.filter(F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(1_000_000)) < int(part * 1_000_000)).select("v").limit(sample).toPandas()
     base = np.stack(picked["v"].to_numpy()) if len(picked) else np.stack(rows.select("v").limit(sample).toPandas()["v"].to_numpy())
     centroids, books = train(base.astype("f4"), lists, m)
-    lists = len(centroids)
-    probes = min(lists, max(probes, round(PROBE_SHARE * lists)))
-    model = spark.sparkContext.broadcast((centroids, books))  # at most LISTS_MAX + M * CODE rows of floats: about 1 MB
+    probes = min(len(centroids), probes)
+    model = spark.sparkContext.broadcast((centroids, books))  # at most LISTS_MAX + CODE rows of floats: about 8 MB
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c, b = model.value
@@ -154,8 +175,7 @@ def top_k(vectors: DataFrame, id_col: str = "id", vector_col: str = "vector", k:
             if len(pdf):
                 x = np.stack(pdf["v"].to_numpy()).astype("f4")
                 own, codes, fit = encode_rows(x, c, b)
-                far = (c**2).sum(1) / 2 - x @ c.T
-                to = np.argpartition(far, probes - 1, 1)[:, :probes].astype("i4")
+                to = nearest_lists(x, c, probes)
                 yield pd.DataFrame({"rep": pdf["rep"], "list": own.astype("i4"), "code": [u.tobytes() + f.tobytes() for u, f in zip(codes, fit)], "to": list(to), "v": pdf["v"]})
 
     coded = cut(rows.select("rep", "v").mapInPandas(encode, "rep long, list int, code binary, to array<int>, v array<float>"))

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 from stacklight.llm import queries as Q
-from stacklight.llm import splitting, tokenize
+from stacklight.llm import nearest, splitting, tokenize
 
 DATA = "/root/testdata/sf0.001"
 
@@ -74,6 +74,22 @@ def test_p5(spark):
     assert {"query_chunk_id", "hit_chunk_id", "cosine", "rank"} <= set(near.columns) and near.count() == 10 * len(ids)
 
 
+def test_p5_recall_where_few_lists_are_probed(spark):
+    """9,924 usable vectors have 199 lists, of which 32 are probed."""
+    v = pd.read_parquet("/root/testdata/sf0.1/vectors_f32.parquet")
+    v = v[v["vector"].map(lambda x: x is not None and len(x) == 64 and np.any(x))]
+    m = np.stack(v["vector"]).astype(float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    ids = v["id"].to_numpy()
+    asked = np.flatnonzero(ids % 50 == 0)
+    s = m[asked] @ m.T
+    s[np.arange(len(asked)), asked] = -9
+    got = defaultdict(set)
+    for r in nearest.top_k(spark.read.parquet("/root/testdata/sf0.1/vectors_f32.parquet")).filter("id % 50 = 0").collect():
+        got[r["id"]].add(r["neighbour"])
+    assert np.mean([len(got[ids[i]] & set(ids[np.argsort(-s[k])[:10]])) / 10 for k, i in enumerate(asked)]) >= 0.9
+
+
 def test_p6(spark):
     d = pd.read_parquet(f"{DATA}/documents.parquet")
     enc = tokenize.encoder()
