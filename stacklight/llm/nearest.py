@@ -6,7 +6,7 @@ is a query. The lists grow with the square root of the rows and the number that
 with the rows to the power of 1.5. A row is coded once:
 its list, ``M`` bytes for the direction of its residual and three floats: the residual's length, the score its code misses
 on the row itself, and the length of what the code misses. So a dense cluster is coded as finely, for its size, as a wide one. For the search the *codes* travel to the lists nearest their vectors and the float vectors stay,
-because codes are 16 times smaller. Each block of queries of a list meets blocks of candidate codes; distances come
+because codes are six times smaller. Each block of queries of a list meets blocks of candidate codes; distances come
 from asymmetric tables (query float, candidate code). Reranked on exact vectors are the ``keep`` best of a query and every
 other candidate whose score is within ``SLACK`` deviations of its own code's error of the k-th best, however many they are.
 
@@ -33,7 +33,7 @@ from stacklight.llm.common import cut, keep_columns
 from stacklight.sources.tables import spread
 
 DIM = 64
-M = 16
+M = 32
 CODE = 256
 SAMPLE = 40_000
 PER_LIST = 8
@@ -44,7 +44,7 @@ LIST_MAX = 4_096
 PROBES = 32
 CELLS = 1 << 22
 """Distances (rows by lists) that are held at a time."""
-KEEP = 32
+KEEP = 16
 SLACK = 2.0
 K = 10
 
