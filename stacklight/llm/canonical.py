@@ -1,12 +1,15 @@
 """Mapping freely entered names to a canonical list: prefix-filter set-similarity join.
 
 Distinct entered strings are normalised into a few readings (compatibility forms, invisible and look-alike characters,
-wrappers, fillers, turned-round order, words cut short by a point), and each distinct reading meets the names of the list:
-both become sets of character pairs ordered by global rarity; only rare prefixes are joined; length and positional filters
-drop most candidates; Jaccard is then exact, and the best candidates are kept. An exact check of these follows: the reading may
-differ from the name by misspellings only. It is refused where it consists of the list's own word groups in a combination
-that isn't listed, where one of its halves is as near to another word group of the list, and where it differs by a prefix
-that turns the meaning, because a near name of another meaning means none.
+wrappers, turned-round order, words cut short by a point, and without the words that stand around many listed names and
+are part of none: these are learnt from the entries). A string with a reading that is a listed name is settled by an
+equi-join: it has no misspelling, and no candidate could have fewer. The readings of the other strings meet the names of
+the list in one similarity join: both become sets of runs of three characters ordered by global rarity; only rare prefixes
+are joined; length and positional filters drop most candidates; Jaccard is then exact, and the best candidates are kept. An
+exact check of these follows: the reading may differ from the name by misspellings only, and Han characters not at all (so
+they are part of every token). It is refused where it consists of the list's own word groups in a combination that isn't
+listed, where one of its halves is as near to another word group of the list, and where it differs by a prefix that turns
+the meaning, because a near name of another meaning means none.
 
 A row's fields are decided together: the canonical name first, the alias next, and the abbreviation where neither says
 anything. Abbreviations must be equal, letter by letter.
@@ -24,26 +27,23 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stacklight.llm.common import cut, keep_columns
 
-LEAST = 0.45
-MAX_READINGS = 24
-"""Parts of one entered string; an entry with more wrappers than that isn't a name."""
-CLOSE = 0.8
+LEAST, GRAM = 0.27, 3
+"""Jaccard similarity of a candidate over runs of ``GRAM`` characters; two misspellings in a name of twelve letters leave that."""
 BAND = 0.75
-"""CLOSE: similarity of the first round. BAND: candidates of at least this part of the best similarity go on to the exact check."""
+"""Candidates of at least this part of the best similarity go on to the exact check."""
+RECUR, RECUR_SHARE = 3, 0.05
+"""Listed concepts around which a word group must stand to be no part of names, and the share of those of the commonest such group."""
 MAX_LIST = 200_000
 """Names of the list; its word groups are sent to every task, so a larger list is refused rather than broadcast."""
 
-# Entries that name nothing, and words around a name that don't belong to it.
+# Entries that name nothing.
 FILLERS = ("", "-", "--", "?", "??", "n/a", "na", "n.a.", "none", "null", "nil", "tbd", "todo", "see alias", "concept", "unknown", "same", "ditto", "无", "未知", "待定", "同上")
-BEFORE_EN = ("the", "a", "an", "on", "of", "effect of", "effects of", "phenomenon of", "process of", "study of", "role of", "concept of")
-AFTER_EN = ("process", "behaviour", "behavior", "phenomenon", "phenomena", "effect", "effects", "mechanism")
-BEFORE_HAN = ("有关", "关于", "对于")
-AFTER_HAN = ("现象", "过程", "行为", "机制", "机理", "效应")
 # Letters of other scripts that look like Latin ones.
 LOOKALIKE = (("а", "a"), ("е", "e"), ("о", "o"), ("р", "p"), ("с", "c"), ("у", "y"), ("х", "x"), ("і", "i"), ("ј", "j"), ("ѕ", "s"), ("к", "k"), ("м", "m"), ("н", "h"), ("т", "t"), ("в", "b"), ("ԁ", "d"), ("ո", "n"), ("ѵ", "v"), ("ɡ", "g"), ("ı", "i"), ("ο", "o"))
 # Prefixes that turn the meaning of a word.
@@ -52,10 +52,7 @@ TURNING = ("an", "a", "un", "in", "im", "ir", "il", "non", "de", "dis", "anti",
 _look = str.maketrans(dict(LOOKALIKE))
 _greek = {unicodedata.name(chr(c)).rpartition(" ")[2].lower(): chr(c) for c in range(0x3B1, 0x3CA) if unicodedata.name(chr(c), "").count(" ") == 3}
 _han = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
-_before_en = re.compile(rf"^(?:{'|'.join(sorted(BEFORE_EN, key=len, reverse=True))})\s+")
-_after_en = re.compile(rf"\s+(?:{'|'.join(AFTER_EN)})s?$")
-_before_han = re.compile(rf"^(?:{'|'.join(BEFORE_HAN)})")
-_after_han = re.compile(rf"(?:{'|'.join(AFTER_HAN)})$")
+_marks = " #*\"'“”‘’《》«».,;:!?。，；：！？"
 
 
 def plain(s: str) -> str:
@@ -81,68 +78,92 @@ def initials(s: str) -> str:
     return re.sub(r"[\W_]+", "", unicodedata.normalize("NFKC", s)).upper()
 
 
-def _stripped(s: str) -> list[str]:
-    """The name itself and the name without the words around it."""
-    out = [s]
-    for _ in range(3):
-        t = _after_en.sub("", _before_en.sub("", s.strip(" #*\"'“”‘’《》«».,;:!?。，；：！？")))
-        if _han.search(t):
-            t = _after_han.sub("", _before_han.sub("", t))
-        if t == s:
-            break
-        out.append(t)
-        s = t
-    return out
-
-
-def _taken_apart(s: str) -> list[str]:
+class Affixes:
+    """Word groups that stand before and after names without being part of them; English ones by words, Han ones by characters."""
+
+    def __init__(self, learnt: list[tuple[str, str]] = ()) -> None:
+        """learnt: (side, group), the side being before_en, after_en, before_han or after_han."""
+        by = {k: sorted((g for side, g in learnt if side == k), key=lambda g: (-len(g), g)) for k in ("before_en", "after_en", "before_han", "after_han")}
+        any_of = lambda k: "|".join(map(re.escape, by[k])) or "(?!)"
+        self.before_en, self.after_en = re.compile(rf"^(?:{any_of('before_en')})\s+"), re.compile(rf"\s+(?:{any_of('after_en')})s?$")
+        self.before_han, self.after_han = re.compile(rf"^(?:{any_of('before_han')})"), re.compile(rf"(?:{any_of('after_han')})$")
+        self.heads, self.tails = [h for g in by["before_en"] if len(h := compact(g)) > 3], [compact(g) for g in by["after_en"]]
+
+    def stripped(self, s: str) -> list[str]:
+        """The name itself and the name without the words around it."""
+        out = [s]
+        while True:
+            t = self.after_en.sub("", self.before_en.sub("", s.strip(_marks)))
+            if _han.search(t):
+                t = self.after_han.sub("", self.before_han.sub("", t))
+            if t == s:
+                return out
+            out.append(t)
+            s = t
+
+    def bare(self, c: str) -> list[str]:
+        """A compact name without such a group that is written onto it, and without the s of a plural."""
+        out = [c[:-1]] if c.endswith("s") and len(c) > 6 else []
+        out += [c[: -len(a) - 1] for a in self.tails if c.endswith(a + "s")]
+        out += [c[: -len(a)] for a in self.tails if c.endswith(a) and len(c) > len(a) + 6]
+        return out + [c[len(b) :] for b in self.heads if c.startswith(b) and len(c) > len(b) + 6]
+
+
+def around(s: str, lexicon: Lexicon) -> Iterator[tuple[str, str, int]]:
+    """(side, word group, concept): what stands before or after a listed name in an entry, where it is no name or abbreviation itself."""
+    p = plain(s).strip(_marks)
+    w = p.split()
+    cuts = [("en", w[:k], w[k:]) for k in range(1, len(w))] if len(w) <= lexicon.most_words + 3 else []
+    if _han.search(p) and len(w) == 1 and len(p) <= lexicon.longest + 4:
+        cuts += [("han", p[:k], p[k:]) for k in range(1, len(p))]
+    for kind, left, right in cuts:
+        for side, group, name in (("before", left, right), ("after", right, left)):
+            concepts = lexicon.names.get(compact(" ".join(name) if kind == "en" else name), ())
+            group = " ".join(group) if kind == "en" else group
+            if concepts and (re.fullmatch(r"[a-z]+(?: [a-z]+){0,2}", group) if kind == "en" else len(group) <= 4 and len(_han.findall(group)) == len(group)):
+                if initials(group) not in lexicon.short and group not in TURNING and not any(compact(x) in lexicon.groups for x in (group, *group.split())):
+                    yield from ((f"{side}_{kind}", group, c) for c in concepts)
+
+
+def _taken_apart(s: str, turn: bool = True) -> list[str]:
     """The sides of a bracket, alone and turned round; the sides of a semicolon; a name turned round at a comma or slash."""
     out = []
     m = re.match(r"^(.+?)\s*[(\[（【]\s*([^()\[\]（）【】]+?)\s*[)\]）】]?\W*$", s)
     if m:
-        out += [m[1], m[2], f"{m[2]} {m[1]}"]
+        out += [m[1], m[2], *([f"{m[2]} {m[1]}"] if turn else [])]
     if re.search(r"[;；]", s):
         out += re.split(r"[;；]", s)
     m = re.match(r"^([^,，/]+?)\s*(?:,|，|/)\s*([^,，/]+)$", s)
-    if m:
+    if m and turn:
         out.append(f"{m[2]} {m[1]}")
     return [q.strip() for q in out]
 
 
-def readings(raw: str, lexicon: Lexicon) -> tuple[list[str], list[str]]:
+def readings(raw: str, lexicon: Lexicon, affixes: Affixes) -> tuple[list[str], list[str]]:
     """(compact names, abbreviations) that an entered string can stand for."""
     s = plain(raw)
     if s in FILLERS:
         return [], []
-    # Wrappers can be nested: every part is taken apart again until nothing new comes out.
-    parts = [s.replace("_", " ")]
-    for p in parts:
-        if len(parts) >= MAX_READINGS:
-            break
-        for q in [*_stripped(p)[1:], *_taken_apart(p)]:
+    # Wrappers can be nested: every part is taken apart again until nothing new comes out. Parts only get shorter, and one
+    # that is much too long for a name isn't turned round.
+    first = s.replace("_", " ")
+    parts, todo = {first: None}, [first]
+    while todo:
+        p = todo.pop(0)
+        for q in [*affixes.stripped(p)[1:], *_taken_apart(p, turn=len(p) <= 4 * lexicon.longest)]:
             if q.strip() and q not in parts:
-                parts.append(q)
-    names: list[str] = []
+                parts[q] = None
+                todo.append(q)
+    names: dict[str, None] = {}
     for p in parts:
         for full in lexicon.spelled_out(p):
-            if (c := compact(full)) not in names:
-                names.append(c)
-                if _han.search(c) and "的" in c:
-                    names.append(c.replace("的", ""))
-                if c.endswith("s") and len(c) > 6:
-                    names.append(c[:-1])
-                    for a in AFTER_EN:
-                        if c.endswith(a + "s"):
-                            names.append(c[: -len(a) - 1])
-                for a in AFTER_EN:
-                    if c.endswith(a) and len(c) > len(a) + 6:
-                        names.append(c[: -len(a)])
-                for b in BEFORE_EN[3:]:
-                    b = b.replace(" ", "")
-                    if c.startswith(b) and len(c) > len(b) + 6:
-                        names.append(c[len(b) :])
+            c = compact(full)
+            names[c] = None
+            if _han.search(c) and "的" in c:
+                names[c.replace("的", "")] = None
+            names.update(dict.fromkeys(affixes.bare(c)))
     short = [initials(p) for p in re.split(r"[()\[\]（）【】;；]", raw)]
-    return [n for n in dict.fromkeys(names) if len(n) > 1], [a for a in dict.fromkeys(short) if 1 < len(a) <= 10 and a.isalnum()]
+    return [n for n in names if len(n) > 1], [a for a in dict.fromkeys(short) if 1 < len(a) <= lexicon.longest_short + 1 and a.isalnum()]
 
 
 def distance(a: str, b: str) -> int:
@@ -171,6 +192,11 @@ def distance(a: str, b: str) -> int:
     return d
 
 
+def allowed(length: int) -> int:
+    """Misspellings that a name of ``length`` letters can have at most."""
+    return max(2, round(0.34 * length))
+
+
 class Lexicon:
     """The list's names and the word groups they are made of, learnt from the list alone.
 
@@ -231,13 +257,20 @@ class Lexicon:
                             self.names[other_a + other_b].add(concept)
                             self.first.setdefault(other_a, a)
                             self.second.setdefault(other_b, b)
+        self.groups = self.first.keys() | self.second.keys() | self.names.keys()
+        self.longest = max(map(len, self.names), default=0)
+        self.longest_short = max(map(len, self.short), default=0)
+        self.most_words = max((len(plain(en or "").split()) for _, en, _, _ in terms), default=0)
+        # The beginnings of the listed names at their word gaps.
+        self.beginnings = {compact(" ".join(w[:k])) for _, en, _, _ in terms for w in [plain(en or "").split()] for k in range(1, len(w) + 1)}
 
     @staticmethod
     def _gaps(name: str) -> list[int]:
         return [m.start() for m in re.finditer(" ", name or "")]
 
     def spelled_out(self, s: str, most: int = 24) -> list[str]:
-        """The readings of a name with words cut short by a point; the name itself where it has none."""
+        """The readings of a name with words cut short by a point; the name itself where it has none. Of more than ``most`` readings
+        those go on that begin a listed name."""
         if "." not in s:
             return [s]
         out = [""]
@@ -248,15 +281,15 @@ class Lexicon:
                 full = [x for x in self.words if min(distance(compact(x)[:k], stem) for k in (len(stem) - 1, len(stem), len(stem) + 1)) <= 1]
             out = [f"{a} {x}" for a in out for x in (full or [w])]
             if len(out) > most:
-                return [s]
-        return [a.strip() for a in out]
+                out = [a for a in out if compact(a) in self.beginnings]
+        return [a.strip() for a in out] or [s]
 
     def parted(self, v: str) -> list[tuple[str, str]]:
         return [(v[:i], v[i:]) for i in range(1, len(v)) if v[:i] in self.first and v[i:] in self.second]
 
     def refused(self, v: str) -> bool:
         """Made of the list's own word groups, but not listed."""
-        return v not in self.names and bool(self.parted(v))
+        return len(v) <= 2 * self.longest and v not in self.names and bool(self.parted(v))
 
     def cost(self, v: str, name: str) -> int | None:
         """Misspellings between a reading and a listed name, or None where they mean different things."""
@@ -265,7 +298,7 @@ class Lexicon:
         if v in self.names or self.refused(v):
             return None
         d = distance(v, name)
-        if d > max(2, round(0.34 * len(name))) or "".join(_han.findall(v)) != "".join(_han.findall(name)):
+        if d > allowed(len(name)) or "".join(_han.findall(v)) != "".join(_han.findall(name)):
             return None
         halves = self.parted(name)
         if not halves:
@@ -294,23 +327,26 @@ def _turned(x: str, y: str) -> bool:
     return any(x == t + y or y == t + x for t in TURNING)
 
 
-def _grams(c: str):
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2))))
+def _grams(d: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, t): the runs of n characters, each with all Han characters of the string before it: strings with other Han
+    characters share none."""
+    han = d.select(key, F.regexp_replace(key, "[^㐀-䶿一-鿿豈-﫿]", "").alias("han"))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - (n - 1), F.lit(1))), lambda i: F.substring(F.col(key), i, F.lit(n))))
+    return han.select(key, "han", F.explode(runs).alias("t")).select(key, F.concat("han", F.lit("|"), "t").alias("t"))
 
 
-def similar(left: DataFrame, right: DataFrame, least: float = LEAST) -> DataFrame:
+def similar(left: DataFrame, right: DataFrame, least: float = LEAST, gram: int = GRAM) -> DataFrame:
     """left(v), right(name), both distinct -> (v, name, jaccard) of all pairs with a Jaccard similarity of ``least`` or more
-    between their sets of character pairs.
+    between their sets of runs of ``gram`` characters.
 
     Only the rare prefixes are joined; a candidate must fit in length, and what can still be shared after the joined position
     must suffice. Pairs are then compared exactly, once each."""
-    l, r = left.select("v", _grams("v").alias("g")), right.select("name", _grams("name").alias("g"))
-    tokens = l.select(F.explode("g").alias("t")).unionByName(r.select(F.explode("g").alias("t"))).groupBy("t").agg(F.count(F.lit(1)).alias("f"))
+    l, r = _grams(left, "v", gram), _grams(right, "name", gram)
+    tokens = l.select("t").unionByName(r.select("t")).groupBy("t").agg(F.count(F.lit(1)).alias("f"))
 
     def ordered(d: DataFrame, key: str) -> DataFrame:
-        """The set in order of global rarity, as numbers of its rank; the prefix exploded with its positions."""
-        x = d.select(key, F.explode("g").alias("t")).join(tokens, "t")
-        return x.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("s")).select(key, F.transform("s", lambda y: y["t"]).alias("s"))
+        """The set in order of global rarity."""
+        return d.join(tokens, "t").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("s")).select(key, F.col("s.t").alias("s"))
 
     def prefix(d: DataFrame, key: str, p: str) -> DataFrame:
         n = F.size("s")
@@ -330,6 +366,20 @@ def similar(left: DataFrame, right: DataFrame, least: float = LEAST) -> DataFram
     return both.select("v", "name", j.alias("jaccard")).filter(F.col("jaccard") >= least - 1e-9)
 
 
+def learn_affixes(strings: DataFrame, known: Broadcast) -> list[tuple[str, str]]:
+    """(side, word group): groups that stand around the names of many listed concepts. Counted by concept over all distinct
+    entries; what comes back are groups that are common by a share, so their number doesn't grow with the entries."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([x for s in pdf["s"] for x in set(around(s, known.value))], columns=["side", "part", "concept_id"])
+
+    seen = strings.mapInPandas(run, "side string, part string, concept_id long").distinct()
+    n = seen.groupBy("side", "part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= RECUR)
+    top = n.groupBy("side").agg(F.max("n").alias("top"))
+    return sorted((r["side"], r["part"]) for r in n.join(top, "side").filter(F.col("n") >= RECUR_SHARE * F.col("top")).collect())
+
+
 def map_names(inputs: DataFrame, terms: DataFrame, least: float = LEAST) -> DataFrame:
     """(input_id, concept_id, how): one row per distinct input_id; concept_id -1 where the row means none of the list."""
     spark = inputs.sparkSession
@@ -342,19 +392,29 @@ def map_names(inputs: DataFrame, terms: DataFrame, least: float = LEAST) -> Data
     src = keep_columns(inputs, "input_id", *fields).filter("input_id is not null")
     long = src.select("input_id", F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(c).alias("s")) for k, c in enumerate(fields)])).alias("x")).select("input_id", "x.field", "x.s")
     long = long.filter(F.rlike("s", F.lit(r"[\p{L}\p{N}]")))
-    strings = long.select("s").distinct()
+    strings = cut(long.select("s").distinct())
+    affixes = Affixes(learn_affixes(strings, known))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for s in pdf["s"]:
-                names, short = readings(s, known.value)
+                names, short = readings(s, known.value, affixes)
                 out += [(s, k, v, None) for k, v in enumerate(names)] + [(s, k, None, v) for k, v in enumerate(short)]
             yield pd.DataFrame(out, columns=["s", "k", "v", "short"])
 
     read_ = cut(strings.mapInPandas(read, "s string, k int, v string, short string"))
-    v = read_.filter("v is not null").select("v").distinct()
-    names = spark.createDataFrame([(n,) for n in sorted(lexicon.names)], "name string")
+    v = read_.filter("v is not null").select("s", "v")
+    names = spark.createDataFrame([(n, sorted(c)) for n, c in sorted(lexicon.names.items())], "name string, concepts array<long>")
+    listed_names = v.join(names, F.col("v") == F.col("name")).select("s", F.explode("concepts").alias("concept_id"))
+    exact = cut(listed_names.groupBy("s").agg(F.sort_array(F.collect_set("concept_id")).alias("named"), F.lit(0).alias("cost")))
+    v = cut(v.join(exact.select("s"), "s", "left_anti"))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Whether a reading is made of the list's word groups but isn't listed."""
+        for pdf in batches:
+            yield pdf.assign(refused=[known.value.refused(x) for x in pdf["v"]])
+
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex = known.value
         for pdf in batches:
@@ -365,28 +425,16 @@ def map_names(inputs: DataFrame, terms: DataFrame, least: float = LEAST) -> Data
                     out += [(a, c, d, j) for c in lex.names[b]]
             yield pd.DataFrame(out, columns=["v", "concept_id", "cost", "jaccard"])
 
-    def best(rows: DataFrame, bar: float) -> DataFrame:
-        near = similar(rows, names, bar)
-        top = F.max("jaccard").over(Window.partitionBy("v"))
-        near = near.withColumn("top", top).filter(F.col("jaccard") >= BAND * F.col("top")).select("v", "name", "jaccard")
-        return near.mapInPandas(verify, "v string, concept_id long, cost int, jaccard double")
-
-    # The best candidate is asked for: readings with a confirmed one above CLOSE have found theirs through short prefixes, and
-    # only the others go on to the long prefixes of ``least``. Both joins are exact.
-    close = cut(best(v, max(CLOSE, least)))
-    checked = close.unionByName(best(v.join(close.select("v").distinct(), "v", "left_anti"), least))
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Readings that are made of the list's word groups but aren't listed."""
-        for pdf in batches:
-            yield pdf[[known.value.refused(x) for x in pdf["v"]]]
-
-    refused = v.mapInPandas(judge, "v string").withColumn("refused", F.lit(True))
-    meant = read_.filter("v is not null").join(checked, "v").select("s", "k", "concept_id", "cost", "jaccard")
+    judged = cut(v.select("v").distinct().mapInPandas(judge, "v string, refused boolean"))
+    # A longer reading has more misspellings than the exact check allows any name.
+    near = similar(judged.filter(~F.col("refused") & (F.length("v") <= lexicon.longest + allowed(lexicon.longest))).select("v"), names.select("name"), least)
+    near = near.withColumn("top", F.max("jaccard").over(Window.partitionBy("v"))).filter(F.col("jaccard") >= BAND * F.col("top")).select("v", "name", "jaccard")
+    meant = v.join(near.mapInPandas(verify, "v string, concept_id long, cost int, jaccard double"), "v").select("s", "concept_id", "cost")
     # The least misspelt reading; of those the concepts that share it.
-    least_cost = meant.groupBy("s").agg(F.min("cost").alias("least_cost"))
-    by_name = meant.join(least_cost, "s").filter("cost = least_cost").groupBy("s").agg(F.sort_array(F.collect_set("concept_id")).alias("named"), F.min("cost").alias("cost"))
-    barred = read_.filter("v is not null").join(refused, "v").select("s", "refused").distinct()
+    concepts = meant.groupBy("s", "cost").agg(F.sort_array(F.collect_set("concept_id")).alias("named"))
+    misspelt = concepts.groupBy("s").agg(F.min_by("named", "cost").alias("named"), F.min("cost").alias("cost"))
+    by_name = exact.unionByName(misspelt)
+    barred = v.join(judged.filter("refused"), "v").select("s", "refused").distinct()
     short = spark.createDataFrame([(a, sorted(c)) for a, c in sorted(lexicon.short.items())], "short string, abbreviated array<long>")
     ask = read_.filter("short is not null").select("s", "k", "short", F.explode(F.array(F.col("short"), F.when(F.col("short").endswith("S"), F.expr("left(short, length(short) - 1)")))).alias("form")).filter("form is not null")
     by_short = ask.join(short.withColumnRenamed("short", "form"), "form").groupBy("s").agg(F.min_by("abbreviated", F.struct(F.length("short") - F.length("form"), "k")).alias("abbreviated"))

@@ -48,7 +48,9 @@ def test_canonical(spark, terms):
         ("cycl. grain gro.", None, None), ("сусlіс creep", None, None), ("cyclic 蠕变", None, None), ("关于循环蠕变", None, None), ("n/a", None, "C.C."), (None, None, None),
         ("cyclic delamination", None, None), ("cyclicvoidswelling", "", "-"), ("the two stage creep process", None, None), ("TBD", "cyclic void swellings", "?"), ("", " ", None), ("cyclic delaminatoin", None, None),
     ]
-    got = mapped(spark, terms, entries)
+    # The words around names are learnt: each stands around three concepts here.
+    more = [f"{a}{n}{z}" for a, z in (("the ", ""), ("", " process")) for n in ("thermal creep", "two-stage creep", "cyclic grain growth")] + [f"关于{n}" for n in ("热致蠕变", "两段式蠕变", "循环晶粒长大")]
+    got = mapped(spark, terms, entries + [(n, None, None) for n in more])
     want = ["cyclic grain growth", "cyclic grain growth", None, "cyclic grain growth", "cyclic grain growth", "cyclic creep", "cyclic creep", "cyclic creep", "cyclic creep", None, None, "cyclic void swelling", "two-stage creep", "cyclic void swelling", None, None]
     assert [got[i] for i in range(len(want))] == [ids.get(w, -1) if w else -1 for w in want]
 
@@ -65,8 +67,8 @@ def test_similarity_join_is_exact(spark):
     rng = random.Random(3)
     words = lambda n: sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(2, 9))) for _ in range(n)})
     a, b = words(60), words(60)
-    got = {(v, n) for v, n, _ in rows(canonical.similar(spark.createDataFrame([(x,) for x in a], "v string"), spark.createDataFrame([(x,) for x in b], "name string"), 0.5))}
-    grams = lambda s: {s[i : i + 2] for i in range(len(s) - 1)}
+    got = {(v, n) for v, n, _ in rows(canonical.similar(spark.createDataFrame([(x,) for x in a], "v string"), spark.createDataFrame([(x,) for x in b], "name string"), 0.5, 2))}
+    grams = lambda s: {s[i : i + 2] for i in range(max(1, len(s) - 1))}
     want = {(x, y) for x in a for y in b if len(grams(x) & grams(y)) >= 0.5 * len(grams(x) | grams(y))}
     assert got == want and want
 
