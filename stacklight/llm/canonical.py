@@ -110,7 +110,7 @@ class Affixes:
 
 
 def around(s: str, lexicon: Lexicon) -> Iterator[tuple[str, str, int]]:
-    """(side, word group, concept): what stands before or after a listed name in an entry, where it is no name or abbreviation itself."""
+    """(side, word group, concept): what stands before or after a listed name in an entry, where it is no name itself nor the abbreviation of that one."""
     p = plain(s).strip(_marks)
     w = p.split()
     cuts = [("en", w[:k], w[k:]) for k in range(1, len(w))] if len(w) <= lexicon.most_words + 3 else []
@@ -121,8 +121,8 @@ def around(s: str, lexicon: Lexicon) -> Iterator[tuple[str, str, int]]:
             concepts = lexicon.names.get(compact(" ".join(name) if kind == "en" else name), ())
             group = " ".join(group) if kind == "en" else group
             if concepts and (re.fullmatch(r"[a-z]+(?: [a-z]+){0,2}", group) if kind == "en" else len(group) <= 4 and len(_han.findall(group)) == len(group)):
-                if initials(group) not in lexicon.short and group not in TURNING and not any(compact(x) in lexicon.groups for x in (group, *group.split())):
-                    yield from ((f"{side}_{kind}", group, c) for c in concepts)
+                if group not in TURNING and not any(compact(x) in lexicon.groups for x in (group, *group.split())):
+                    yield from ((f"{side}_{kind}", group, c) for c in set(concepts) - lexicon.short.get(initials(group), set()))
 
 
 def _taken_apart(s: str, turn: bool = True) -> list[str]:
