@@ -5,8 +5,8 @@ the limit stays whole. For a longer one the fewest pieces that can hold it with
 equal length are placed, and every target is snapped to the strongest boundary near it (blank line, line break before a
 heading or list item, line end, sentence end, clause end, word gap; a hard cut, never inside a surrogate pair or a
 combining sequence of two code points, where there is none). If a piece then exceeds the limit, a piece is added and
-the targets are placed anew. Each piece after the first starts ``overlap`` units before the cut, moved forward to a
-word start where one is near.
+the targets are placed anew. Each piece after the first starts ``overlap`` units before the cut, or up to eight more so that
+no surrogate pair or combining sequence is parted.
 
 Cases: null, empty and blank texts give no piece; a text without any boundary is cut hard; rows that repeat a chunk
 (same paper and chunk_id under another row_id) count once, the latest row wins (created_at, then row_id); rows with a
@@ -97,20 +97,19 @@ def _place(text, n, total, limit, overlap, unit, back, places, strong):
         lo = bisect_left(places, back(int(max(target - reach, unit(cut) + overlap + 1))))
         hi = bisect_right(places, back(int(min(target + reach, unit(start) + limit))))
         best = max(((strong[p] - 2 * abs(unit(p) - target) / (reach + 1), p) for p in places[lo:hi] if unit(p) - unit(start) <= limit), default=None)
-        at = best[1] if best else _safe(text, back(int(min(target, unit(start) + limit))), unit, unit(start) + limit)
+        at = best[1] if best else _safe(text, back(int(min(target, unit(start) + limit))))
         if at <= cut or unit(at) - unit(start) > limit:
             return None
         pieces.append((start, at))
         cut = at
-        begin = _safe(text, back(max(unit(at) - overlap, unit(start) + 1)), unit, total)
-        near = bisect_left(places, begin)
-        start = places[near] if near < len(places) and places[near] < at and unit(places[near]) - unit(begin) <= overlap // 2 else begin
+        begin = back(unit(at) - overlap)
+        start = _safe(text, begin - (unit(begin) > unit(at) - overlap))
     if total - unit(start) > limit:
         return None
     return [*pieces, (start, len(text))]
 
 
-def _safe(text: str, i: int, unit, most: int) -> int:
+def _safe(text: str, i: int) -> int:
     """``i``, moved before a combining mark, joiner or variation selector, so that a hard cut doesn't part it from its base."""
     j = i
     while 0 < j < len(text) and i - j < 8 and (text[j] in "‍️︎" or text[j - 1] == "‍" or "̀" <= text[j] <= "ͯ"):
