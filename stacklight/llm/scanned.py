@@ -9,7 +9,8 @@ decisions are joins and aggregates over all rows:
 * hyphen: a word parted at a line end whose joined form is more frequent in the corpus than its hyphenated form;
 * glyph: words are grouped by their confusable-glyph skeleton; a word far rarer than the most frequent form of its group
   is misread. Han characters have no word groups: a confusable character is misread if its neighbours go far more often
-  with its counterpart. A second pass meets only words outside a bounded list of frequent, undoubted words.
+  with its counterpart. A second pass gives only words that could be doubted or contested ones: it is told by two bit sets
+  of bounded size, which let all of these words through and few others; the others go in the joins that follow.
 
 Cases: null and empty texts have no noise; a text without line breaks can have glyph noise only; repeated rows are judged
 row by row; a null library or paper only loses the comparison with the title; ties between frequent forms go to the
@@ -22,7 +23,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +37,10 @@ from stacklight.sources.tables import spread
 STROKES = (("ç", "c"), ("e", "c"), ("f", "t"), ("1", "l"), ("i", "l"), ("|", "l"), ("!", "l"), ("0", "o"), ("5", "s"), ("6", "b"), ("8", "b"), ("q", "g"), ("9", "g"), ("m", "rrl"), ("n", "rl"), ("w", "vv"), ("d", "cl"), ("u", "ll"), ("h", "ll"))
 HAN = (("品", "晶"), ("科", "料"), ("粕", "粒"), ("摸", "模"), ("簿", "薄"), ("折", "析"), ("末", "未"), ("己", "已"), ("日", "曰"), ("土", "士"), ("人", "入"), ("干", "千"), ("抉", "快"), ("侯", "候"), ("戊", "戌"))
 
-FREQUENT = 50_000
-"""Bound of the list of frequent words that is sent to every task; rarer words take the join."""
+BITS_A_WORD, BITS_MOST = 12, 1 << 27
+"""Size of a bit set: 12 bits a word let one other word in a hundred through; 16 MB at most, which let more through."""
+KNOWN = 300_000
+"""Words that a worker remembers to have looked up."""
 RARER = 8
 """A form is misread if another form of its group is at least so many times as frequent."""
 RECUR = 3
@@ -244,7 +249,7 @@ def headers(found: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def asked_rows(head: DataFrame) -> DataFrame:
-    rows = head.filter(F.length("key") >= 16).groupBy("library_id", "item_key", "key").agg(F.approx_count_distinct("row_id").alias("rows"))
+    rows = head.filter(F.length("key") >= 16).groupBy("library_id", "item_key", "key").agg(F.count_distinct("row_id").alias("rows"))
     return rows.filter(F.col("rows") >= RECUR).select("library_id", "item_key", "key")
 
 
@@ -274,49 +279,80 @@ def rivals(groups: DataFrame, doubted: DataFrame) -> DataFrame:
     return forms.join(several, "skeleton", "left_semi").join(doubted.select("skeleton").distinct(), "skeleton", "left_semi")
 
 
+def bit_set(words_: DataFrame, least: int = 1 << 16) -> bytes:
+    """words_(word) -> a set of bits in which three places of each word's hash are set. What the driver gets is of its size."""
+    n = words_.count()
+    size = max(least, min(BITS_MOST, 1 << (BITS_A_WORD * n).bit_length()))
+    h = words_.select(F.xxhash64("word").alias("h"))
+    at = h.select(F.explode(F.array(*[F.shiftrightunsigned("h", k).bitwiseAND(F.lit(size - 1)) for k in PLACES])).alias("at"))
+    cells = at.groupBy(F.shiftright("at", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits"))
+    got = cells.toPandas()
+    out = np.zeros(size // 64, "i8")
+    out[got["cell"].to_numpy("i8")] = got["bits"].to_numpy("i8")
+    return out.astype("<i8").tobytes()
+
+
+class Sieve:
+    """Which words a bit set lets through; a worker asks once for a word."""
+
+    def __init__(self, bits: bytes) -> None:
+        self.bits, self.mask = bits, len(bits) * 8 - 1
+        self.out: set[str] = set()
+        self.through: set[str] = set()
+
+    def __call__(self, have: set[str]) -> set[str]:
+        for w in have - self.out - self.through:
+            h = xxhash.xxh64_intdigest(w.encode(), 42)
+            places = [h >> k & self.mask for k in PLACES]
+            (self.through if all(self.bits[p >> 3] >> (p & 7) & 1 for p in places) else self.out).add(w)
+        found = have & self.through
+        if len(self.out) + len(self.through) > KNOWN:
+            self.out.clear()
+            self.through.clear()
+        return found
+
+
+PLACES = (0, 18, 37)
+
+
 def misread_words(chunks: DataFrame, groups: DataFrame) -> DataFrame:
-    """(row_id, line, word, meant): the second pass, over words that aren't among the frequent, undoubted ones.
+    """(row_id, line, word, meant): the second pass, over words that can be doubted ones.
 
     The meant form is the most frequent of the group; where a group has several frequent forms, the one that stands most
     often beside the same words."""
     spark = chunks.sparkSession
     bad = (F.col("n") * RARER <= F.col("best_n")) & F.col("wordlike") & (F.col("word") != F.col("best"))
     doubted = cut(groups.filter(bad).select("word", "skeleton", F.col("best").alias("meant")))
-    fine = groups.filter(~F.coalesce(bad, F.lit(False))).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word")
-    contested = rivals(groups, doubted).orderBy(F.desc("n"), "form").limit(FREQUENT)
-    forms = frozenset(r["form"] for r in contested.collect())  # FREQUENT forms at most
-    known = spark.sparkContext.broadcast((frozenset(r["word"] for r in fine.collect()), forms))  # FREQUENT words at most
+    contested = cut(rivals(groups, doubted))
+    sent = spark.sparkContext.broadcast((bit_set(doubted.select("word")), bit_set(contested.select(F.col("form").alias("word")))))  # BITS_MOST bits each at most
     src = spread(keep_columns(chunks, "row_id", "text").filter(F.length("text") > 0), "row_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Odd words with the words beside them; and, under row -1, how often a contested form has a word before (line 0) or
-        after it (line 1)."""
-        ok, asked = known.value
+        """Words that can be doubted with the words beside them; and, under row -1, how often a form that can be contested has a
+        word before (line 0) or after it (line 1)."""
+        odd_words, rival_words = map(Sieve, sent.value)
         for pdf in batches:
             out: list[tuple] = []
             n: Counter = Counter()
             for i, text in zip(pdf["row_id"], pdf["text"]):
                 have = set(words(text))
-                odd = {w for w in have - ok if _wordlike(w)}
-                if asked and not asked.isdisjoint(have):
+                if asked := rival_words(have):
                     t = ["", *_WORD.findall(text.lower()), ""]
                     for k, w in enumerate(t):
                         if w in asked:
                             n[w, 0, t[k - 1]] += 1
                             n[w, 1, t[k + 1]] += 1
-                if odd:
+                if odd := odd_words(have):
                     for k, line in enumerate(text.split("\n")):
-                        for w in odd.intersection(words(line)):
+                        if found := odd.intersection(words(line)):
                             t = ["", *_WORD.findall(line.lower()), ""]
-                            at = t.index(w, 1) if w in t else 0
-                            out.append((i, k, w, t[at - 1] if at else "", t[at + 1] if at else "", 0))
+                            for w in found:
+                                at = t.index(w, 1) if w in t else 0
+                                out.append((i, k, w, t[at - 1] if at else "", t[at + 1] if at else "", 0))
             out += [(-1, side, w, x, None, c) for (w, side, x), c in n.items()]
             yield pd.DataFrame(out, columns=["row_id", "line", "word", "before", "after", "n"])
 
-    both = src.mapInPandas(run, "row_id long, line int, word string, before string, after string, n long")
-    if not forms:
-        return both.join(doubted, "word").select("row_id", "line", "word", "meant")
-    both, contested = cut(both), cut(contested)
+    both = cut(src.mapInPandas(run, "row_id long, line int, word string, before string, after string, n long"))
     seen = both.filter("after is not null").drop("n").join(doubted, "word")
     side = lambda k, c, v: both.filter((F.col("after").isNull()) & (F.col("line") == k)).groupBy(F.col("word").alias("form"), F.col("before").alias(c)).agg(F.sum("n").alias(v))
     ask = seen.join(contested, "skeleton").select("word", "before", "after", "form", F.col("n").alias("form_n")).distinct()

@@ -103,6 +103,18 @@ def test_split_limits(text):
     assert len(parts) <= least + 2
 
 
+@pytest.mark.parametrize("text", ["word " * 900, "x" * 5000, LONG, "句子。" * 1200, "😀" * 2000, "a😀" * 1500, "para one.\n\n" * 400, "e\u0301" * 1600])
+@pytest.mark.parametrize("overlap", [0, 1, 100, 333])
+def test_split_overlap_and_cover(text, overlap):
+    """Neighbours overlap by what is asked, or by so little more that no character is parted; without it the pieces are the text."""
+    text = text.strip(splitting.BLANKS)
+    units = lambda s: len(s.encode("utf-16-le")) // 2
+    parts = splitting.split_text(text, overlap=overlap)
+    assert len(parts) > 1 and all(units(text[a:b]) <= splitting.LIMIT for a, b in parts)
+    assert all(overlap <= units(text[a2:b1]) <= overlap + 1 for (_, b1), (a2, _) in zip(parts, parts[1:]))
+    assert text[parts[0][0] : parts[0][1]] + "".join(text[b1:b2] for (_, b1), (_, b2) in zip(parts, parts[1:])) == text
+
+
 def test_split_cuts_at_the_strongest_boundary():
     text = "one two three. " * 60 + "\n\n" + "four five six. " * 60
     (_, b), (a, _) = splitting.split_text(text.strip())
@@ -348,6 +360,13 @@ def test_spans(spark, hot, per_shard, chars, segment):
     assert spans.found_pairs(own, pairs).count() == 0
 
 
+def test_bit_set_lets_all_its_words_through(spark):
+    words = [f"wörd{i}" for i in range(5000)] + ["晶粒", "", "a"]
+    sieve = scanned.Sieve(scanned.bit_set(spark.createDataFrame([(w,) for w in words], "word string")))
+    assert sieve(set(words)) == set(words) and len(sieve({f"other{i}" for i in range(10_000)})) < 300
+    assert scanned.Sieve(scanned.bit_set(spark.createDataFrame([], "word string")))({"a"}) == set()
+
+
 def test_context_chooses_between_frequent_forms(spark):
     texts = ["the solar cell works"] * 20 + ["use the ceil function"] * 20 + ["a solar ce1l here", "that ce1l function"]
     chunks = spark.createDataFrame([(i, 1, "K", t) for i, t in enumerate(texts)], "row_id long, library_id long, item_key string, text string")

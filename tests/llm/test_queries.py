@@ -56,6 +56,9 @@ def test_p4_against_proofs(spark):
     text = Q.p4_text(spark, DATA).toPandas().set_index("row_id")["clean_text"]
     proofs = pd.read_parquet(f"{DATA}/scan_proofs.parquet")
     assert np.mean([text[r] == c for r, c in zip(proofs["row_id"], proofs["clean_text"])]) >= 0.5
+    proofs = pd.read_parquet("/root/testdata/sf0.1/scan_proofs.parquet")
+    text = Q.p4_text(spark, "/root/testdata/sf0.1").toPandas().set_index("row_id")["clean_text"]
+    assert np.mean([text[r] == c for r, c in zip(proofs["row_id"], proofs["clean_text"])]) >= 0.95
     assert Q.p4_text(spark, DATA).count() == len(pd.read_parquet(f"{DATA}/chunks.parquet"))
 
 
