@@ -215,7 +215,8 @@ def mismatch(source: str, quote: str, context: int = 60, tail: int = 40) -> dict
 def structure(text: str, least: int = 50, most: int = 500, overlap: int = 50) -> list[tuple[str, str, str]]:
     """(type, title, text) units of a paper: abstract, keywords, sections or paragraphs up to its references. Neighbours of a type
     are joined while they fit; a unit above ``most`` is cut at sentences, each piece beginning with the sentence before it."""
-    from stacklight.operators.textprep import hard_split, references_boundary
+    from stacklight.operators.sections import references_boundary
+    from stacklight.operators.textprep import hard_split
 
     end = references_boundary(text)
     body = text[: end if end is not None else len(text)]

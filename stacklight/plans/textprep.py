@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from stacklight.functions import text as T
+from stacklight.operators import sections as S
 from stacklight.operators import textprep as P
 from stacklight.plans import duck
 from stacklight.sources.tables import spread, table
@@ -65,7 +66,7 @@ def chunk_documents(spark, d):
 
 def filter_body(spark, d):
     def f(s):
-        body, gone = P.body_for_index(s)
+        body, gone = S.body_for_index(s)
         return [(body, *gone.values())]
 
     return P.table_of(_docs(spark, d), ["doc_id"], "text", f, "body string, references_chars int, boilerplate_chars int, image_chars int, opaque_chars int")
@@ -80,15 +81,15 @@ def front_matter(spark, d):
         import json
 
         x = json.loads(s)
-        body = P.front_matter(x["text"], x.get("title", ""), x.get("abstract", ""), "")
-        return [(body, len(x["text"]) - len(body))]
+        body, gone = S.front_matter(x["text"], x.get("title", ""), x.get("abstract", ""), "")
+        return [(body, *gone.values())]
 
-    return P.table_of(rows, ["doc_id"], "t", f, "body string, removed int")
+    return P.table_of(rows, ["doc_id"], "t", f, "body string, title_chars int, abstract_chars int, author_chars int, affiliation_chars int, keyword_chars int, record_chars int, label_chars int")
 
 
 def nonbody_chunks(spark, d):
     c = spread(table(spark, d, "chunks").filter(F.length("text") > 0), "row_id")
-    return P.table_of(c, ["row_id"], "text", lambda s: [(True,)] if P.no_body(s) else [], "skip boolean")
+    return P.table_of(c, ["row_id"], "text", lambda s: [(True,)] if S.no_body(s) else [], "skip boolean")
 
 
 def boilerplate_chunks(spark, d):

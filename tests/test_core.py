@@ -14,6 +14,7 @@ from stacklight.operators import fusion as X
 from stacklight.operators import graph as G
 from stacklight.operators import lexical as L
 from stacklight.operators import maintenance as M
+from stacklight.operators import sections as SE
 from stacklight.operators import structured as S
 from stacklight.operators import textprep as P
 from stacklight.operators import vectors as V
@@ -188,9 +189,41 @@ def test_chunks():
 
 def test_body():
     text = "# Intro\nbody ![a](b.png) text\n## Acknowledgements\nthanks\n## Results\nmore deadbeefdeadbeefdead\n[1] A. B. (2001)\nReferences\nold\n# References\n[2] X"
-    body, gone = P.body_for_index(text)
+    body, gone = SE.body_for_index(text)
     assert "thanks" not in body and "more" in body and "deadbeef" not in body and "[1]" not in body and "old" in body and "[2]" not in body and gone["boilerplate"] > 0
-    assert P.no_body("References\nx") and P.no_body("[1] A (2001)\ntext") and not P.no_body("plain prose\nand more")
+    assert SE.no_body("References\nx") and SE.no_body("[1] A (2001)\ntext") and not SE.no_body("plain prose\nand more")
+
+
+@pytest.mark.parametrize("name", SE.FORMAL_HEADINGS)
+def test_formal_sections(name):
+    text = f"# Intro\nbody\n## 3. {name.title()}:\nthanks\n# Results\nmore"
+    body, gone = SE.body_for_index(text)
+    assert body == "# Intro\nbody\n# Results\nmore" and gone["boilerplate"] == len(text) - len(body)
+    assert SE.no_body(f"{name}\nsome text") and SE.no_body(f"> **# {name.upper()}.\nsome text") and not SE.no_body(f"{name} of something\nsome text")
+
+
+def test_lines_of_no_body():
+    assert [SE.reference_line(x) for x in ("[12] A. Bo, J. 531 (2012) 91", "[3] X, 1999", "[3] X 2001; 4", " [1] no year", "[1234] X (2001)", "[a] X (2001)", "x [1] (2001)", "[1]X (2001)")] == [True, True, True, False, False, False, False, False]
+    assert [SE.image_line(x) for x in ("![a](images/b.png)", "[a](b)", " figures/1.png ", "Image/x y", "text ![a](b)", "![a](b) tail", "images/")] == [True, True, True, False, False, False, False]
+    assert SE.cut_images("a ![x](y) b <IMG src='q'> c <imgs> ![open") == "a   b   c <imgs> ![open"
+    assert SE.cut_opaque("see 0123456789abcdef and " + "Ab1+" * 8 + "Z end, deadbeef _0123456789abcdef") == "see   and   end, deadbeef _0123456789abcdef"
+    assert SE.references_boundary("References\nx\n# 5. References:\ny") == 13 and SE.references_boundary("References are many") is None
+
+
+def test_front_matter():
+    abstract = "We measure " + " ".join(f"word{i}" for i in range(25)) + "."
+    text = "\n\n".join([
+        "# On Layered Garnet Films", "A. Bo, C. Deng", "$^{a}$ Department of Physics, University of X", "# A B S T R A C T", "Abstract: " + abstract, "Received 3 May 2019; accepted 4 June 2019", "doi: 10.1/x",
+        "# Keywords", "garnet", "thin films", "# 1. Introduction", "On Layered Garnet Films", "doi: 10.1/y",
+    ])
+    body, gone = SE.front_matter(text, "On Layered Garnet Films", abstract, "A. Bo C. Deng")
+    assert body == "# 1. Introduction\n\nOn Layered Garnet Films\n\ndoi: 10.1/y" and all(gone.values())
+    assert SE.front_matter("First.\n\nSecond.", "A Longer Title Here", "", "")[0] == "First.\n\nSecond." and SE.front_matter("", "", "", "")[0] == ""
+    # Behind the abstract two paragraphs in a row that nothing claims end the front matter.
+    text = "\n\n".join([abstract, "Stray.", "doi: 10.1/x", "First of the body.", "Second of it.", "doi: 10.1/y"])
+    assert SE.front_matter(text, "", abstract, "")[0] == "Stray.\n\nFirst of the body.\n\nSecond of it.\n\ndoi: 10.1/y"
+    assert SE.affiliation("School of Mines, Golden, 80401") and SE.affiliation("中国科学院金属研究所，沈阳, 辽宁省") and not SE.affiliation("The university was founded by many people")
+    assert SE.record_line("(21) 申请号 2020") and SE.record_line("CN 101234567 A") and SE.record_line("arXiv: 2001.01234") and not SE.record_line("We received data")
 
 
 def test_text_helpers(spark):
@@ -199,8 +232,7 @@ def test_text_helpers(spark):
     assert P.longest_prefix("abcdef", "zzabcdzz") == 4 and P.pack([5, 5, 20, 1, 1], 10, 2) == [0, 0, 1, 2, 2]
     assert P.window("a" * 10 + ". b", 0, 5)[1] == 11
     assert P.drop_repeated_lines("\n".join(["header line"] * 5 + ["x", "y"])) == "x\ny"
-    assert P.front_matter("Title Here\n\nAbstract\n\nKeywords: a\n\n# Introduction\n\nTitle Here", "Title Here", "", "") == "# Introduction\n\nTitle Here"
-    assert P.containment(["a", "a", "b"], ["a", "b"]) == pytest.approx(2 / 3)
+    assert SE.containment(["a", "a", "b"], ["a", "b"]) == pytest.approx(2 / 3)
     assert one(spark, T.redact(F.lit("at /home/u/x.pdf, https://h/home/u and C:\\a\\b"))) == "at [local path], https://h/home/u and [local path]"
     assert one(spark, T.citations(F.lit("[chunk:12], chunks 14-16、18; chunks 9-3; 第7段"))) == [7, 12, 14, 15, 16, 18]
     assert one(spark, T.measurements(F.lit("at 007 MPa and 3.5 mm, 12 mAx"))) == ["7MPa", "3.5mm"]
