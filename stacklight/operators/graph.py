@@ -1,4 +1,4 @@
-"""Links between documents: shared concepts, shared rare terms, directional similarity, one-hop expansion, terms and evidence.
+"""Links between documents: shared concepts, shared rare terms, one-hop expansion, terms and evidence (by vectors: ``links``).
 
 Pairs are canonical (a < b). Operators that the application bounds (concepts held by too many documents make no edges)
 keep that bound as a parameter, for it is the feature.
@@ -6,13 +6,12 @@ keep that bound as a parameter, for it is the feature.
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stacklight.functions import text as T
-from stacklight.operators.ranking import positions
+from stacklight.operators.ranking import ranked
 
 # Words and units that make no lexical signal.
 NO_SIGNAL = (
@@ -28,7 +27,6 @@ NO_MARKUP = (
 )
 NO_GREEK = ("alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "lambda", "mu", "nu", "xi", "omicron", "pi", "rho", "sigma", "tau", "upsilon", "phi", "chi", "psi", "omega")
 CLIQUE = 40
-SAME, MIN_SYMMETRIC = 0.94, 0.45
 
 
 def usable_term(term: Column) -> Column:
@@ -67,76 +65,6 @@ def shared_rare_terms(pairs: DataFrame, texts: DataFrame, keep: int = 3) -> Data
     return both.select("g", "a", "b", F.col("t"), score.alias("score")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
 
 
-def representative_target(n: Column) -> Column:
-    return F.when(n < 12, n).otherwise(F.least(F.lit(20), F.greatest(F.lit(12), F.ceil(F.sqrt(n.cast("double"))))).cast("long"))
-
-
-def representatives(chunks: DataFrame, doc: list[str], order: str, vector: str) -> DataFrame:
-    """Chunks that stand for a document: its chunks in equal bands of position, of each band the one nearest the band's
-    centroid; a pick too like an earlier one is passed over. Bands are joins and aggregates, so a document of any length is
-    spread; only the at most 20 picks of a document meet in one call."""
-    n = chunks.groupBy(*doc).agg(F.count(F.lit(1)).alias("n")).withColumn("target", representative_target(F.col("n")))
-    c = positions(chunks, doc, order, "id", name="pos").join(n, doc)
-    c = c.withColumn("band", F.floor((F.col("pos") * F.col("target") + F.col("target") - 1) / F.col("n")))
-    c = c.withColumn("band", F.least(F.col("band"), F.col("target") - 1)).select(*doc, "id", "pos", "band", vector)
-    parts = c.select(*doc, "band", F.posexplode(vector).alias("i", "x")).groupBy(*doc, "band", "i").agg(F.avg("x").alias("x"))
-    centre = parts.groupBy(*doc, "band").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda y: y["x"]).alias("centre"))
-    d = F.aggregate(F.zip_with(vector, "centre", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    best = c.join(centre, [*doc, "band"]).withColumn("s", F.round(d / norm, 9))
-    w = Window.partitionBy(*doc, "band").orderBy(F.desc("s"), "pos")
-    picks = best.withColumn("r", F.row_number().over(w)).filter("r = 1").select(*doc, "id", "pos", vector)
-    kinds = ", ".join(f"{k} {picks.schema[k].dataType.simpleString()}" for k in doc)
-
-    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        x = np.stack(pdf[vector].to_numpy()).astype("f8")
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        kept: list[int] = []
-        for k in range(len(x)):
-            if not kept or (x[kept] @ x[k]).max() < SAME:
-                kept.append(k)
-        return pdf.iloc[kept][[*doc, "id", "pos"]]
-
-    return picks.groupBy(*doc).applyInPandas(thin, f"{kinds}, id long, pos long")
-
-
-def farthest_first(vectors: np.ndarray, chosen: list[int], target: int, same: float = SAME) -> list[int]:
-    """More rows, each the farthest from those chosen, none of a similarity of ``same`` or more to one."""
-    x = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-    chosen = list(chosen)
-    while len(chosen) < min(target, len(x)):
-        near = (x @ x[chosen].T).max(1) if chosen else np.zeros(len(x))
-        near[chosen] = 9
-        k = int(near.argmin())
-        if near[k] >= same:
-            break
-        chosen.append(k)
-    return chosen
-
-
-def specificity(breadth: Column, n: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.log((n + 1) / (breadth + 1)) / F.log(n + 1)))
-
-
-def direction_scores(hits: DataFrame, n: Column, floor: float = 0.35) -> DataFrame:
-    """hits(source, anchor, target, score), one per anchor and target -> (source, target, forward): .75 of the weighted mean over all
-    anchors, and .25 of the best weighted score of anchors that aren't near everything."""
-    breadth = hits.groupBy("source", "anchor").agg(F.count_if(F.col("score") >= floor).alias("breadth"))
-    w = breadth.withColumn("n", n).withColumn("w", specificity(F.col("breadth"), F.col("n"))).withColumn("cap", F.greatest(F.lit(3), F.floor(F.col("n") * 0.3)))
-    total = w.groupBy("source").agg(F.sum("w").alias("total"))
-    h = hits.join(w, ["source", "anchor"]).join(total, "source")
-    s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
-    mean = F.sum(F.col("w") * s) / F.max("total")
-    peak = F.coalesce(F.max(F.when(F.col("breadth") <= F.col("cap"), F.col("w") * s)), F.lit(0.0))
-    return h.groupBy("source", "target").agg(F.round(0.75 * mean + 0.25 * peak, 6).alias("forward"))
-
-
-def symmetric(a: Column, b: Column) -> Column:
-    c = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-    return F.sqrt(c(a) * c(b))
-
-
 def one_hop(scores: DataFrame, edges: DataFrame, damp: float = 0.72) -> DataFrame:
     """scores(node, score), edges(a, b) undirected -> the best of a node's own score and ``damp`` times a neighbour's."""
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to")))
@@ -204,7 +132,7 @@ def document_groups(members: DataFrame, doc: list[str], claim: str) -> DataFrame
     w = Window.partitionBy(*doc).orderBy("supporters", claim)
     one = members.select(*doc, claim).distinct().join(n, claim).withColumn("r", F.row_number().over(w)).filter("r = 1")
     # The distinct claims that were chosen are numbered, not the documents.
-    numbers = one.select(claim).distinct().withColumn("colour", F.row_number().over(Window.orderBy(claim)) - 1)
+    numbers = ranked(one.select(claim).distinct(), F.floor(F.col(claim) / 1024), F.col(claim)).withColumn("colour", F.col("rank") - 1).drop("rank")
     return one.join(numbers, claim).select(*doc, claim, "supporters", "colour")
 
 

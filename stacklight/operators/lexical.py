@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stacklight.functions import text as T
+from stacklight.session import cut
 
 KEY = ["library_id", "item_key"]
 MAX_PROBES = 16
@@ -50,10 +51,17 @@ def live_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.join(last.select("row_id"), "row_id", "left_semi")
 
 
-def postings(texts: DataFrame, *keys: str) -> DataFrame:
-    """Term counts of each text under ``keys``; counted within the row, so nothing is shuffled."""
-    tokens = texts.select(*keys, F.explode(T.index_tokens(F.col("text"))).alias("term"))
-    return tokens.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+def postings(texts: DataFrame, *keys: str, terms: list[str] | None = None) -> DataFrame:
+    """Term counts of each text under ``keys``. With ``terms`` the other tokens go within the row, so that a look-up shuffles
+    only what it asks for; without, every token of the corpus is counted and shuffled."""
+    tokens = T.index_tokens(F.col("text"))
+    tokens = F.filter(tokens, lambda t: t.isin(terms)) if terms is not None else tokens
+    return texts.select(*keys, F.explode(tokens).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def asked_terms(probes: list[tuple[str, float]]) -> list[str]:
+    """The terms of all plans of the probes."""
+    return sorted({t for k, _ in probes[:MAX_PROBES] for _, ts, _, _ in plan(k) for t in ts})
 
 
 def lengths(posted: DataFrame, *keys: str) -> DataFrame:
@@ -153,10 +161,10 @@ def bm25f(texts: DataFrame, probes: list[tuple[str, float]]) -> DataFrame:
     spark = texts.sparkSession
     place = [*KEY, "field", "chunk_id"]
     planned = plans(spark, probes)
-    terms = sorted({t for k, _ in probes[:MAX_PROBES] for _, ts, _, _ in plan(k) for t in ts})
+    terms = asked_terms(probes)
     # One pass over the texts: the number of tokens, and the few that the query asks for; nothing else is exploded or shuffled.
     tokens = T.index_tokens(F.col("text"))
-    base = texts.select(*place, F.size(tokens).alias("size"), F.filter(tokens, lambda t: t.isin(terms)).alias("asked")).persist()
+    base = cut(texts.select(*place, F.size(tokens).alias("size"), F.filter(tokens, lambda t: t.isin(terms)).alias("asked")))
     posted = base.select(*place, F.explode("asked").alias("term")).groupBy(*place, "term").agg(F.count(F.lit(1)).alias("tf"))
     found = verified(conjunction(posted, planned, *place), texts, *place)
     per_field = found.groupBy(*KEY, "field", "probe", "weight").agg(F.sum("tf").alias("tf"))
@@ -173,7 +181,19 @@ def bm25f(texts: DataFrame, probes: list[tuple[str, float]]) -> DataFrame:
     total = F.when(F.col("body"), F.col("n_body")).otherwise(F.col("n"))
     part = idf(total, F.greatest(F.col("df"), F.lit(1))) * F.col("w") / (K1 + F.col("w")) * F.col("weight")
     out = scored.groupBy(*KEY).agg(F.round(F.sum(part), 6).alias("score"), F.count_distinct("probe").alias("matched"))
-    return out.withColumn("normalized", F.round(saturate(F.col("score")), 6))
+    return out.withColumn("normalized", F.round(saturate(F.col("score")), 6)).withColumn("coverage", F.round(coverage(F.col("matched"), len(probes[:MAX_PROBES])), 6))
+
+
+def coverage(matched: Column, asked: int) -> Column:
+    """Share of the query's keywords that a document has, 1 at most."""
+    return F.least(F.lit(1.0), matched / F.lit(asked)) if asked > 0 else F.lit(0.0)
+
+
+def keyword_page(scored: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """A page of a keyword search: by score, then by the number of keywords, then by key. Only the page's rows are sorted whole."""
+    order = [F.desc("score"), F.desc("matched"), *KEY]
+    top = scored.orderBy(*order).limit(offset + limit)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).filter(F.col("rank") > offset)  # offset + limit rows
 
 
 def best_evidence(found: DataFrame, keep: int = 3) -> DataFrame:

@@ -53,3 +53,8 @@ texts_ AS (
 )"""
 POSTED = f"""{TEXTS},
 posted AS (SELECT library_id, item_key, field, chunk_id, term, count(*) AS tf FROM (SELECT library_id, item_key, field, chunk_id, unnest({index_tokens('text')}) AS term FROM texts_) GROUP BY ALL)"""
+
+
+def posted_terms(terms: str) -> str:
+    """The postings of some terms."""
+    return f"posted AS (SELECT library_id, item_key, field, chunk_id, term, count(*) AS tf FROM (SELECT library_id, item_key, field, chunk_id, unnest({index_tokens('text')}) AS term FROM texts_) WHERE term IN {terms} GROUP BY ALL)"

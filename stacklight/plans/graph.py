@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from stacklight.functions import text as T
 from stacklight.operators import graph as G
 from stacklight.operators import lexical as L
+from stacklight.operators import links as K
 from stacklight.operators import vectors as V
 from stacklight.plans import duck
+from stacklight.plans import textprep as PT
 from stacklight.plans import vectors as PV
 from stacklight.sources.tables import table
 
@@ -161,23 +163,33 @@ def relocate(spark, d):
     return G.relocate(e, c.select(*KEY, "row_id", "text"), KEY)
 
 
-def _scan(spark, d):
-    """The queries' vectors against all: the best score by document of each anchor."""
-    q = PV._queries(spark, d)
-    hits = V.scan(PV._vectors(spark, d), q.select("query_id", "vector"), ["id", *KEY]).groupBy("query_id", *KEY).agg(F.max("score").alias("score"))
-    src = q.select("query_id", F.concat_ws(":", *KEY).alias("source"))
-    return hits.join(F.broadcast(src), "query_id").select("source", F.col("query_id").alias("anchor"), F.concat_ws(":", *KEY).alias("target"), "score").filter("source <> target")
+def _pool(spark, d):
+    """Usable vectors without those of boilerplate chunks, but of a paper that has nothing else."""
+    v = V.usable(PV._vectors(spark, d), "vector", 64).select("id", *KEY, "chunk_id", "vector")
+    live = L.live_chunks(table(spark, d, "chunks"))
+    odd = live.filter((F.length(F.trim(F.coalesce("text", F.lit("")))) == 0) | T.boundary(F.col("text")) | T.reference_list(F.col("text"))).select(*KEY, "chunk_id").distinct()
+    v = v.join(odd.withColumn("odd", F.lit(True)), [*KEY, "chunk_id"], "left").withColumn("odd", F.coalesce("odd", F.lit(False)))
+    only = v.groupBy(*KEY).agg(F.bool_and("odd").alias("only"))
+    return v.join(only, KEY).filter(~F.col("odd") | F.col("only")).drop("odd", "only")
+
+
+def _linked(spark, d, floors):
+    v = V.usable(PV._vectors(spark, d), "vector", 64).select("id", F.col("library_id").alias("library"), F.concat_ws(":", *KEY).alias("document"), "vector")
+    return K.linked(v, K.representatives(_pool(spark, d), KEY, "chunk_id", "vector"), v.filter("id % 50 = 0"), floors=floors)
 
 
 def link_scan(spark, d):
-    n = V.usable(PV._vectors(spark, d), "vector", 64).select(*KEY).distinct().count()
-    s = G.direction_scores(_scan(spark, d), F.lit(n))
-    return s.select("source", "target", "forward", F.round(G.symmetric(F.col("forward"), F.col("forward")), 6).alias("symmetric"))
+    """Links of the papers that have a vector whose id is divisible by 50, to all papers of their library."""
+    return _linked(spark, d, True)
+
+
+def link_scores(spark, d):
+    """The scores of all pairs that are compared in both directions, whether or not they make a link."""
+    return _linked(spark, d, False)
 
 
 def representatives(spark, d):
-    v = V.usable(PV._vectors(spark, d), "vector", 64).select("id", *KEY, "chunk_id", "vector")
-    return G.representatives(v, KEY, "chunk_id", "vector")
+    return K.representatives(_pool(spark, d), KEY, "chunk_id", "vector")
 
 
 def concepts_markdown(spark, d):
@@ -186,7 +198,7 @@ def concepts_markdown(spark, d):
     return p.select("concept_id", F.concat(F.lit("- **"), "name_en", F.lit("**"), F.when(F.length("name_zh") > 0, F.concat(F.lit(" / "), "name_zh")).otherwise(""), F.when(F.length("abbreviation") > 0, F.concat(F.lit(" ("), "abbreviation", F.lit(")"))).otherwise("")).alias("line"))
 
 
-QUERIES = [concept_edges, concept_edges_orders, shared_rare_terms, usable_terms, graph_links, doc_groups, one_hop, wiki_search, primary_term, concept_match, name_classes, concept_text, term_reconciliation, merge_verdict, evidence_overview, summary_claims, link_status, link_stats, neighbors, relocate, link_scan, representatives, concepts_markdown]
+QUERIES = [concept_edges, concept_edges_orders, shared_rare_terms, usable_terms, graph_links, doc_groups, one_hop, wiki_search, primary_term, concept_match, name_classes, concept_text, term_reconciliation, merge_verdict, evidence_overview, summary_claims, link_status, link_stats, neighbors, relocate, link_scan, link_scores, representatives, concepts_markdown]
 
 _q = lambda xs: ", ".join("'" + x + "'" for x in xs)
 _R = "r AS (SELECT DISTINCT s.library_id, string_split(item_key, ':')[-1] AS item_key, concept_id FROM wiki_concept_term_sources s JOIN wiki_concept_terms USING (term_id) WHERE s.library_id IS NOT NULL AND item_key <> '')"
@@ -205,6 +217,17 @@ _rc = lambda c: f"CASE WHEN coalesce(b.{c}, '') = '' THEN 'keep' WHEN coalesce(a
 _comp = "(CASE WHEN length(name_zh) > 0 THEN 1 ELSE 0 END + CASE WHEN length(name_en) > 0 THEN 1 ELSE 0 END + CASE WHEN length(abbreviation) > 0 THEN 1 ELSE 0 END)"
 _PT = f"pt AS (SELECT *, {_comp} AS completeness FROM wiki_concept_terms QUALIFY row_number() OVER (PARTITION BY concept_id ORDER BY completeness DESC, term_id) = 1)"
 
+_cosr = lambda a, b, n: f"round(list_dot_product({a}::double[], {b}::double[]) / (sqrt(list_dot_product({a}::double[], {a}::double[])) * sqrt(list_dot_product({b}::double[], {b}::double[]))), {n})"
+_REPS = f"""{PV._OK}, {duck.LIVE}, od AS (SELECT DISTINCT library_id, item_key, chunk_id FROM chunks_ WHERE length(trim(coalesce(text, ''))) = 0 OR row_id IN ({PT.SQL['boilerplate_chunks']})),
+fl AS (SELECT v.*, od.chunk_id IS NOT NULL AS odd FROM v LEFT JOIN od ON v.library_id = od.library_id AND v.item_key = od.item_key AND v.chunk_id = od.chunk_id), po AS (SELECT * FROM fl QUALIFY NOT odd OR bool_and(odd) OVER (PARTITION BY library_id, item_key)),
+pn AS (SELECT library_id, item_key, id, vector, row_number() OVER (PARTITION BY library_id, item_key ORDER BY chunk_id, id) - 1 AS pos, count(*) OVER (PARTITION BY library_id, item_key) AS n FROM po),
+pt AS (SELECT *, CASE WHEN n < 12 THEN n ELSE least(20, greatest(12, ceil(sqrt(n))))::bigint END AS target FROM pn), bd AS (SELECT *, least(target - 1, (pos * target + target - 1) // n) AS band FROM pt WHERE n > target),
+ce AS (SELECT library_id, item_key, band, list_transform(range(1, 65), lambda i: list_avg(list_transform(list(vector), lambda x: x[i]::double))) AS centre FROM bd GROUP BY ALL),
+mp AS (SELECT bd.* FROM bd JOIN ce USING (library_id, item_key, band) QUALIFY row_number() OVER (PARTITION BY library_id, item_key, band ORDER BY {_cosr('centre', 'vector', 9)} DESC, pos) = 1),
+th AS (SELECT library_id, item_key, any_value(target) AS target, list_reduce(list([{{'pos': pos, 'id': id, 'v': vector}}] ORDER BY pos), lambda a, x: CASE WHEN list_max(list_transform(a, lambda y: {_cosr('y.v', 'x[1].v', 9)})) >= 0.94 THEN a ELSE list_concat(a, x) END) AS kept FROM mp GROUP BY ALL),
+al AS (SELECT library_id, item_key, list({{'pos': pos, 'id': id, 'v': vector}} ORDER BY pos) AS cs FROM bd GROUP BY ALL),
+fi AS (SELECT library_id, item_key, list_reduce(list_concat([kept], list_transform(range(target - len(kept)), lambda i: kept[1:0])), lambda a, x: list_concat(a, list_transform(list_sort(list_filter(list_transform(cs, lambda c: {{'s': greatest(0, list_max(list_transform(a, lambda y: {_cosr('y.v', 'c.v', 9)}))), 'pos': c.pos, 'id': c.id, 'v': c.v}}), lambda f: f.s < 0.94))[1:1], lambda f: {{'pos': f.pos, 'id': f.id, 'v': f.v}}))) AS kept FROM th JOIN al USING (library_id, item_key)),
+reps AS (SELECT library_id, item_key, r.id, r.pos FROM (SELECT library_id, item_key, unnest(kept) AS r FROM fi) UNION ALL SELECT library_id, item_key, id, pos FROM pt WHERE n <= target)"""
 SQL = {
     "concept_edges": f"{_E} SELECT g AS library_id, a, b, score, shared, least(3.0, 1 + score) AS strength FROM ed",
     "concept_edges_orders": f"WITH rr AS (SELECT DISTINCT 1 AS g, l_orderkey AS d, l_partkey AS c FROM lineitem), {_EDGE("rr", 40)} SELECT a, b, score, shared FROM ed WHERE shared >= 2",
@@ -236,10 +259,19 @@ j AS (SELECT key, row_id, a, trim(regexp_replace(text, '[ \\t\\n\\f\\r]+', ' ',
 g AS (SELECT key, row_id, a, b, list_distinct(list_transform(range(1, length(a)), lambda i: substr(a, i, 2))) AS x, list_distinct(list_transform(range(1, length(b)), lambda i: substr(b, i, 2))) AS y FROM j),
 o AS (SELECT key, row_id, round(CASE WHEN length(a) > 0 AND contains(b, a) THEN 1.0 WHEN length(a) < 2 THEN 0.0 ELSE len(list_intersect(x, y)) / len(x) END, 6) AS overlap FROM g)
 SELECT key, row_id, overlap, 'overlap' AS how FROM o WHERE overlap >= 0.72 QUALIFY row_number() OVER (PARTITION BY key ORDER BY overlap DESC, row_id) = 1""",
-    "link_scan": f"""WITH {PV._H.replace("h AS (SELECT query_id,", "h AS (SELECT ql || ':' || qi AS source, query_id,")},
-b AS (SELECT source, query_id AS anchor, library_id || ':' || item_key AS target, max(score) AS score FROM h GROUP BY source, query_id, library_id, item_key HAVING source <> target), nn AS (SELECT count(DISTINCT (library_id, item_key)) AS n FROM v),
-br AS (SELECT source, anchor, count(*) FILTER (score >= 0.35) AS breadth FROM b GROUP BY ALL), w AS (SELECT *, greatest(0, least(1, ln((n + 1) / (breadth + 1)) / ln(n + 1))) AS w, greatest(3, floor(n * 0.3)) AS cap FROM br, nn), tt AS (SELECT source, sum(w) AS total FROM w GROUP BY 1),
-f AS (SELECT source, target, round(0.75 * sum(w * greatest(0, least(1, score))) / max(total) + 0.25 * coalesce(max(CASE WHEN breadth <= cap THEN w * greatest(0, least(1, score)) END), 0), 6) AS forward FROM b JOIN w USING (source, anchor) JOIN tt USING (source) GROUP BY ALL)
-SELECT source, target, forward, round(sqrt(greatest(0, least(1, forward)) * greatest(0, least(1, forward))), 6) AS symmetric FROM f""",
+    "representatives": f"WITH {_REPS} SELECT library_id, item_key, id, pos FROM reps",
+    "link_scan": f"""WITH {_REPS}, vd AS (SELECT id, library_id, library_id || ':' || item_key AS doc, vector FROM v), rp AS (SELECT vd.* FROM vd JOIN reps USING (id)), so AS (SELECT DISTINCT doc FROM vd WHERE id % 50 = 0),
+nn AS (SELECT library_id, count(DISTINCT doc) AS n FROM vd GROUP BY 1), an AS (SELECT rp.*, n FROM rp JOIN so USING (doc) JOIN nn USING (library_id)),
+fh AS (SELECT a.doc AS source, a.id AS anchor, b.doc AS target, {_cosr('a.vector', 'b.vector', 12)} AS s FROM an a JOIN vd b ON a.library_id = b.library_id AND a.doc <> b.doc QUALIFY row_number() OVER (PARTITION BY a.id, b.doc ORDER BY s DESC) <= 2),
+ft AS (SELECT source, anchor, target, avg(s) AS score, max(s) AS best FROM fh GROUP BY ALL), br AS (SELECT anchor, count(*) FILTER (best >= 0.5) AS breadth FROM ft GROUP BY 1),
+wt AS (SELECT doc AS source, id AS anchor, coalesce(breadth, 0) AS breadth, greatest(0, least(1, ln((n + 1) / (coalesce(breadth, 0) + 1)) / ln(n + 1))) AS w, greatest(3, floor(n * 0.3)) AS cap FROM an LEFT JOIN br ON anchor = id),
+tt AS (SELECT source, sum(w) AS total FROM wt GROUP BY 1), fw AS (SELECT source, target, anchor, score, w * greatest(0, least(1, score)) AS ws, breadth <= cap AND w * greatest(0, least(1, score)) > 0 AS told, total FROM ft JOIN wt USING (source, anchor) JOIN tt USING (source)),
+fo AS (SELECT source, target, round(greatest(0, least(1, 0.75 * coalesce(sum(ws) / max(total), 0) + 0.25 * coalesce(max(round(ws, 9)) FILTER (told), 0))), 9) AS forward, coalesce(arg_max(score, (round(ws, 9), -anchor)) FILTER (told), 0) AS fa FROM fw GROUP BY ALL),
+pa AS (SELECT * FROM fo QUALIFY row_number() OVER (PARTITION BY source ORDER BY forward DESC, target) <= 24),
+bh AS (SELECT source, target, r.id AS anchor, {_cosr('r.vector', 'c.vector', 12)} AS s FROM pa JOIN rp r ON r.doc = target JOIN vd c ON c.doc = source QUALIFY row_number() OVER (PARTITION BY source, target, r.id ORDER BY s DESC) <= 2),
+bt AS (SELECT source, target, anchor, greatest(0, least(1, avg(s))) AS c FROM bh GROUP BY ALL), re AS (SELECT source, target, round(0.75 * avg(c) + 0.25 * max(c), 9) AS reverse, max(c) AS ra FROM bt GROUP BY ALL),
+sy AS (SELECT source, target, forward, reverse, round(sqrt(forward * least(1, reverse)), 9) AS "symmetric", fa, ra FROM pa JOIN re USING (source, target))
+SELECT source, target, forward, reverse, "symmetric", row_number() OVER (PARTITION BY source ORDER BY "symmetric" DESC, target) AS rank FROM sy WHERE "symmetric" >= 0.45 AND (fa >= 0.35 OR ra >= 0.35) QUALIFY rank <= 8""",
     "concepts_markdown": f"WITH {_PT} SELECT concept_id, '- **' || name_en || '**' || (CASE WHEN length(name_zh) > 0 THEN ' / ' || name_zh ELSE '' END) || (CASE WHEN length(abbreviation) > 0 THEN ' (' || abbreviation || ')' ELSE '' END) AS line FROM pt",
 }
+SQL["link_scores"] = SQL["link_scan"].replace(' WHERE "symmetric" >= 0.45 AND (fa >= 0.35 OR ra >= 0.35) QUALIFY rank <= 8', "")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stacklight.functions import text as T
 from stacklight.operators import lexical as L
 from stacklight.plans import duck
+from stacklight.session import cut
 from stacklight.sources.tables import spread, table
 
 PROBES = [("viscosity", 1.0), ("heat-treated", 0.9), ("surface diffusion", 0.8), ("晶界", 0.7), ("β-stabilized", 0.6)]
@@ -43,29 +44,32 @@ def df_terms(spark, d):
 
 
 def posting_lookup(spark, d):
-    return L.postings(texts(spark, d), *L.KEY, "field", "chunk_id").filter("term = 'viscosity'")
+    return L.postings(texts(spark, d), *L.KEY, "field", "chunk_id", terms=["viscosity"])
 
 
 def posting_budget(spark, d):
-    terms = spark.createDataFrame([(t,) for t in ("viscosity", "boundary", "the", "membrane")], "term string")
-    return L.within_budget(L.postings(texts(spark, d), *L.KEY, "field", "chunk_id"), terms, 2000)
+    asked = ["viscosity", "boundary", "the", "membrane"]
+    return L.within_budget(L.postings(texts(spark, d), *L.KEY, "field", "chunk_id", terms=asked), spark.createDataFrame([(t,) for t in asked], "term string"), 2000)
 
 
 def postings_conjunction(spark, d):
     place = [*L.KEY, "field", "chunk_id"]
-    return L.conjunction(L.postings(texts(spark, d), *place), L.plans(spark, PROBES), *place).drop("weight")
+    return L.conjunction(L.postings(texts(spark, d), *place, terms=L.asked_terms(PROBES)), L.plans(spark, PROBES), *place).drop("weight")
 
 
 def phrase_verify(spark, d):
     place, t = [*L.KEY, "field", "chunk_id"], texts(spark, d)
-    return L.verified(L.conjunction(L.postings(t, *place), L.plans(spark, PROBES), *place), t, *place).select(*place, "probe", "tf")
+    return L.verified(L.conjunction(L.postings(t, *place, terms=L.asked_terms(PROBES)), L.plans(spark, PROBES), *place), t, *place).select(*place, "probe", "tf")
 
 
 def bm25_body_topk(spark, d, k: int = 20):
-    docs = documents(spark, d)
-    terms = spark.createDataFrame([("viscosity",), ("membrane",), ("grain",)], "term string")
-    posted = L.postings(docs, "doc_id")
-    size = L.lengths(posted, "doc_id")
+    asked = ["viscosity", "membrane", "grain"]
+    terms = spark.createDataFrame([(t,) for t in asked], "term string")
+    # One pass over the texts: of each the number of tokens and the few that are asked.
+    tokens = T.index_tokens(F.col("text"))
+    docs = cut(documents(spark, d).select("doc_id", F.size(tokens).cast("long").alias("len"), F.filter(tokens, lambda t: t.isin(asked)).alias("asked")))
+    posted = docs.select("doc_id", F.explode("asked").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    size = docs.filter("len > 0").select("doc_id", "len")
     stats = size.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
     hit = posted.join(F.broadcast(terms), "term")
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -79,9 +83,15 @@ def bm25f_two_regime(spark, d):
     return L.bm25f(texts(spark, d), PROBES)
 
 
+def keyword_search(spark, d):
+    """The first page of a keyword search over metadata and bodies."""
+    p = L.keyword_page(bm25f_two_regime(spark, d), 20)
+    return p.select(*L.KEY, "rank", "score", "normalized", "matched", "coverage")
+
+
 def keyword_evidence(spark, d):
     place, t = [*L.KEY, "field", "chunk_id"], texts(spark, d)
-    best = L.best_evidence(L.verified(L.conjunction(L.postings(t, *place), L.plans(spark, PROBES), *place), t, *place))
+    best = L.best_evidence(L.verified(L.conjunction(L.postings(t, *place, terms=L.asked_terms(PROBES)), L.plans(spark, PROBES), *place), t, *place))
     # Texts are fetched for the winners only.
     return best.join(t.filter("field = 'body'"), [*L.KEY, "chunk_id"]).select(*L.KEY, "chunk_id", "rank", "probes", "occurrences", T.cut_evidence(F.col("text")).alias("passage"))
 
@@ -92,7 +102,7 @@ def lexical_rank(spark, d):
 
 def probe_df(spark, d):
     place, t = [*L.KEY, "field", "chunk_id"], texts(spark, d)
-    v = L.verified(L.conjunction(L.postings(t, *place), L.plans(spark, PROBES), *place), t, *place)
+    v = L.verified(L.conjunction(L.postings(t, *place, terms=L.asked_terms(PROBES)), L.plans(spark, PROBES), *place), t, *place)
     one = v.groupBy("probe", *L.KEY).agg(F.bool_or(F.col("field") != "body").alias("m"), F.bool_or(F.col("field") == "body").alias("b"))
     return one.groupBy("probe").agg(F.count_if("m").alias("df_meta"), F.count_if("b").alias("df_body"))
 
@@ -120,7 +130,7 @@ def compact_index(spark, d):
     return L.compact(index, docs).groupBy("term").agg(F.count(F.lit(1)).alias("postings"))
 
 
-QUERIES = [tokenize_counts, field_lengths, corpus_stats, df_terms, posting_lookup, posting_budget, postings_conjunction, phrase_verify, bm25_body_topk, bm25f_two_regime, keyword_evidence, lexical_rank, probe_df, index_report, compact_index]
+QUERIES = [tokenize_counts, field_lengths, corpus_stats, df_terms, posting_lookup, posting_budget, postings_conjunction, phrase_verify, bm25_body_topk, bm25f_two_regime, keyword_search, keyword_evidence, lexical_rank, probe_df, index_report, compact_index]
 
 
 def _plans_sql(probes) -> str:
@@ -129,8 +139,7 @@ def _plans_sql(probes) -> str:
     return f"plans AS (SELECT * FROM (VALUES {', '.join(rows)}) t(probe, weight, plan_no, term, n_terms, verify, phrase))"
 
 
-_HITS = f"""{duck.POSTED}, {_plans_sql(PROBES)},
-hits AS (
+_MATCH = """hits AS (
   SELECT library_id, item_key, field, chunk_id, probe, weight, plan_no, verify, phrase, min(tf) AS tf
   FROM posted JOIN plans USING (term)
   GROUP BY library_id, item_key, field, chunk_id, probe, weight, plan_no, verify, phrase, n_terms HAVING count(*) = n_terms
@@ -138,8 +147,12 @@ hits AS (
 ),
 proved AS (
   SELECT h.* FROM hits h JOIN texts_ t USING (library_id, item_key, field, chunk_id)
-  WHERE NOT verify OR contains({duck.fold('t.text')}, phrase)
-)"""
+  WHERE NOT verify OR contains(FOLDED, phrase)
+)""".replace("FOLDED", duck.fold("t.text"))
+_HITS_ALL = f"{duck.POSTED}, {_plans_sql(PROBES)}, {_MATCH}"
+# Where only the asked terms count, the others go before anything is counted.
+_HITS = f"{duck.TEXTS}, {_plans_sql(PROBES)}, {duck.posted_terms('(SELECT term FROM plans)')}, {_MATCH}"
+_ONE = "('viscosity')"
 _SIZE = "size AS (SELECT library_id, item_key, field, sum(tf) AS len FROM posted GROUP BY ALL), ns AS (SELECT count(DISTINCT (library_id, item_key)) AS n, count(DISTINCT CASE WHEN field = 'body' THEN (library_id, item_key) END) AS n_body FROM texts_)"
 _PARAMS = "params AS (SELECT * FROM (VALUES " + ", ".join(f"('{f}', {a}, {b})" for f, a, b in L.FIELDS) + ") p(field, boost, b))"
 _DOCS = f"posted AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({duck.index_tokens('text')}) AS term FROM documents WHERE length(text) > 0) GROUP BY ALL)"
@@ -159,7 +172,7 @@ SQL = {
     "field_lengths": f"WITH {duck.POSTED} SELECT library_id, item_key, field, sum(tf)::bigint AS len FROM posted GROUP BY ALL",
     "corpus_stats": f"WITH {duck.POSTED}, {_SIZE} SELECT field, any_value(n) AS n, any_value(n_body) AS n_body, sum(len)::bigint AS total, round(sum(len) / any_value(n), 6) AS mean_len FROM size, ns GROUP BY field",
     "df_terms": f"WITH {duck.POSTED}, one AS (SELECT term, library_id, item_key, bool_or(field <> 'body') AS m, bool_or(field = 'body') AS b FROM posted GROUP BY ALL) SELECT term, count(*) FILTER (m) AS df_meta, count(*) FILTER (b) AS df_body, count(*) AS df FROM one GROUP BY term",
-    "posting_lookup": f"WITH {duck.POSTED} SELECT * FROM posted WHERE term = 'viscosity'",
+    "posting_lookup": f"WITH {duck.TEXTS}, {duck.posted_terms(_ONE)} SELECT * FROM posted",
     "posting_budget": f"WITH {duck.POSTED}, n AS (SELECT term, count(*) AS postings FROM posted WHERE term IN ('viscosity', 'boundary', 'the', 'membrane') GROUP BY 1) SELECT term, postings, sum(postings) OVER (ORDER BY postings, term) > 2000 AS truncated FROM n",
     "postings_conjunction": f"WITH {_HITS} SELECT library_id, item_key, field, chunk_id, probe, plan_no, verify, phrase, tf FROM hits",
     "phrase_verify": f"WITH {_HITS} SELECT library_id, item_key, field, chunk_id, probe, tf FROM proved",
@@ -167,14 +180,14 @@ SQL = {
 h AS (SELECT * FROM posted WHERE term IN ('viscosity', 'membrane', 'grain')), f AS (SELECT term, count(*) AS df FROM h GROUP BY 1),
 w AS (SELECT doc_id, greatest(0, ln(1 + (n - df + 0.5) / (df + 0.5))) AS idf, 1.4 * tf / (1 - 0.75 + 0.75 * len / mean) AS w FROM h JOIN f USING (term) JOIN size USING (doc_id), st)
 SELECT doc_id, round(sum(idf * w / (1.2 + w)), 6) AS score, count(*) AS matched FROM w GROUP BY 1 ORDER BY score DESC, matched DESC, doc_id LIMIT 20""",
-    "bm25f_two_regime": f"""WITH {_HITS}, {_SIZE}, {_PARAMS},
+    "bm25f_two_regime": f"""WITH {_HITS_ALL}, {_SIZE}, {_PARAMS},
 mean AS (SELECT field, sum(len) / any_value(n) AS mean FROM size, ns GROUP BY field),
 pf AS (SELECT library_id, item_key, field, probe, weight, sum(tf) AS tf FROM proved GROUP BY ALL),
 rg AS (SELECT library_id, item_key, probe, weight, field = 'body' AS body, sum(boost * tf / (1 - b + b * len / mean)) AS w FROM pf JOIN size USING (library_id, item_key, field) JOIN mean USING (field) JOIN params USING (field) GROUP BY ALL),
 f AS (SELECT probe, body, count(*) AS df FROM rg GROUP BY ALL),
 sc AS (SELECT library_id, item_key, round(sum(greatest(0, ln(1 + (least(df, nn) * -1 + nn + 0.5) / (least(df, nn) + 0.5))) * w / (1.2 + w) * weight), 6) AS score, count(DISTINCT probe) AS matched
   FROM (SELECT rg.*, f.df, CASE WHEN body THEN n_body ELSE n END AS nn FROM rg JOIN f USING (probe, body), ns) GROUP BY ALL)
-SELECT library_id, item_key, score, matched, round(CASE WHEN score > 0 THEN score / (score + 4) ELSE 0 END, 6) AS normalized FROM sc""",
+SELECT library_id, item_key, score, matched, round(CASE WHEN score > 0 THEN score / (score + 4) ELSE 0 END, 6) AS normalized, round(least(1, matched / 5), 6) AS coverage FROM sc""",
     "keyword_evidence": f"""WITH {_HITS}, g AS (SELECT library_id, item_key, chunk_id, count(DISTINCT probe) AS probes, sum(tf)::bigint AS occurrences FROM proved WHERE field = 'body' GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY library_id, item_key ORDER BY probes DESC, occurrences DESC, chunk_id) AS rank FROM g QUALIFY rank <= 3),
 s AS (SELECT r.*, trim(regexp_replace(t.text, '\\s+', ' ', 'g')) AS x FROM r JOIN texts_ t ON t.field = 'body' AND t.library_id = r.library_id AND t.item_key = r.item_key AND t.chunk_id = r.chunk_id)
@@ -192,3 +205,4 @@ SELECT (SELECT count(*) FROM dd) AS docs, (SELECT count(*) FROM dd WHERE b) AS w
     "compact_index": f"""WITH a AS (SELECT library_id, item_key, date_modified, min(title) AS text FROM items WHERE library_id IS NOT NULL AND item_key IS NOT NULL GROUP BY library_id, item_key, date_modified QUALIFY row_number() OVER (PARTITION BY library_id, item_key ORDER BY date_modified DESC) = 1),
 p AS (SELECT DISTINCT library_id, item_key, unnest({duck.index_tokens('text')}) AS term FROM a) SELECT term, count(*) AS postings FROM p GROUP BY term""",
 }
+SQL["keyword_search"] = f"SELECT library_id, item_key, row_number() OVER (ORDER BY score DESC, matched DESC, library_id, item_key) AS rank, score, normalized, matched, coverage FROM ({SQL['bm25f_two_regime']}) QUALIFY rank <= 20"

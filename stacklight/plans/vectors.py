@@ -19,8 +19,8 @@ def _queries(spark, d):
     return V.usable(_vectors(spark, d), "vector", 64).filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vector", *DOC)
 
 
-def _scan(spark, d, best=None):
-    return V.scan(_vectors(spark, d), _queries(spark, d), ["id", *DOC, "chunk_id"], best=best)
+def _scan(spark, d, best=None, per=None):
+    return V.scan(_vectors(spark, d), _queries(spark, d), ["id", *DOC, "chunk_id"], best=best, per=(DOC, per) if per else None)
 
 
 def cosine_topk(spark, d):
@@ -48,29 +48,31 @@ def int8_recall(spark, d):
 
 
 def grouped_topk(spark, d):
-    g = V.grouped_top_k(_scan(spark, d), DOC, "id", 2, 5)
+    g = V.grouped_top_k(_scan(spark, d, per=2), DOC, "id", 2, 5)
     return g.select("query_id", *DOC, "document_rank", "rank", "id", F.round("score", 6).alias("score"))
 
 
 def multi_query_topk(spark, d):
-    g = V.top_k(_scan(spark, d), 3, "id", ["query_id", *DOC])
+    g = V.top_k(_scan(spark, d, per=3), 3, "id", ["query_id", *DOC])
     return g.select("query_id", *DOC, "rank", "id", F.round("score", 6).alias("score"))
 
 
 def find_similar(spark, d):
-    """Documents similar to the first snapshot's paper; the paper itself is left out."""
-    s = table(spark, d, "similar_snapshots").filter("snapshot_id = 1")
-    me = s.select(*DOC, F.explode("query_chunk_ids").alias("chunk_id")).distinct()
+    """Documents similar to each snapshot's paper, at or above the snapshot's floor, twenty a page; the paper itself is left out."""
+    s = table(spark, d, "similar_snapshots").select(F.col("snapshot_id").alias("search"), *DOC, F.col("applied_min_score").alias("floor"), "query_chunk_ids")
+    asked = s.select("search", *DOC, F.explode("query_chunk_ids").alias("chunk_id")).distinct()
     v = V.usable(_vectors(spark, d), "vector", 64)
-    q = v.join(F.broadcast(me), [*DOC, "chunk_id"]).groupBy(*DOC, "chunk_id").agg(F.min("id").alias("query_id"), F.min_by("vector", "id").alias("vector")).select("query_id", "vector")
-    n = q.count()  # at most the chunks of one search
-    rest = _vectors(spark, d).join(F.broadcast(s.select(*DOC)), DOC, "left_anti")
-    hits = V.top_k(V.scan(rest, q, ["id", *DOC, "chunk_id"]), 3, "id", ["query_id", *DOC])
-    return V.similar_documents(hits, DOC, "chunk_id", max(n, 1)).select(*DOC, "score", "matched", "best_chunk", F.array_join("evidence", ",").alias("evidence"))
+    one = v.join(asked.select(*DOC, "chunk_id").distinct(), [*DOC, "chunk_id"]).groupBy(*DOC, "chunk_id").agg(F.min("id").alias("query_id"), F.min_by("vector", "id").alias("vector"))
+    of = asked.join(one.drop("vector"), [*DOC, "chunk_id"]).select("search", "query_id", *[F.col(c).alias(f"own_{c}") for c in DOC])
+    searches = s.select("search", "floor").join(of.groupBy("search").agg(F.count(F.lit(1)).alias("n_queries")), "search")
+    hits = V.top_k(V.scan(_vectors(spark, d), one.select("query_id", "vector"), ["id", *DOC, "chunk_id"], per=(DOC, 3)), 3, "id", ["query_id", *DOC])
+    hits = hits.join(of, "query_id").filter(~((F.col("own_library_id") == F.col("library_id")) & (F.col("own_item_key") == F.col("item_key"))))
+    out = V.similar_documents(hits, DOC, "chunk_id", searches)
+    return out.select(F.col("search").alias("snapshot_id"), *DOC, "score", "matched", "best_chunk", F.array_join("evidence", ",").alias("evidence"), "rank", (F.floor((F.col("rank") - 1) / 20) + 1).alias("page"))
 
 
 def scan_score_stats(spark, d):
-    return V.score_stats(_scan(spark, d))
+    return V.scan_stats(_vectors(spark, d), _queries(spark, d))
 
 
 def dimension_guard(spark, d):
@@ -81,10 +83,10 @@ def dimension_guard(spark, d):
 
 
 def embedding_groups(spark, d):
-    """The two best rows of each label for the first vector."""
+    """The two best rows of each label for every vector whose id is divisible by 50."""
     e = table(spark, d, "embeddings")
-    q = e.orderBy("vec_id").limit(1).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    hits = V.scan(e, q, ["vec_id", "label"], "embedding")
+    q = V.usable(e, "embedding", 64).filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    hits = V.scan(e, q, ["vec_id", "label"], "embedding", per=(["label"], 2))
     return V.top_k(hits, 2, "vec_id", ["query_id", "label"]).select("query_id", "label", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
@@ -108,16 +110,18 @@ SQL = {
 b AS (SELECT query_id, library_id, item_key, max(score) AS best FROM k GROUP BY ALL), c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, library_id, item_key) AS document_rank FROM b QUALIFY document_rank <= 5)
 SELECT query_id, library_id, item_key, document_rank, rank, id, round(score, 6) AS score FROM k JOIN c USING (query_id, library_id, item_key)""",
     "multi_query_topk": f"WITH {_H} SELECT query_id, library_id, item_key, row_number() OVER (PARTITION BY query_id, library_id, item_key ORDER BY score DESC, id) AS rank, id, round(score, 6) AS score FROM h QUALIFY rank <= 3",
-    "find_similar": f"""WITH {_OK}, s AS (SELECT * FROM similar_snapshots WHERE snapshot_id = 1), asked AS (SELECT DISTINCT library_id, item_key, unnest(query_chunk_ids) AS chunk_id FROM s),
-q AS (SELECT min(id) AS query_id, arg_min(vector, id) AS qv FROM v JOIN asked USING (library_id, item_key, chunk_id) GROUP BY library_id, item_key, chunk_id),
-h AS (SELECT query_id, id, v.library_id, v.item_key, chunk_id, greatest(0, least(1, {_COS})) AS s, {_COS} AS score FROM v, q WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.library_id = v.library_id AND s.item_key = v.item_key)
-  QUALIFY row_number() OVER (PARTITION BY query_id, v.library_id, v.item_key ORDER BY score DESC, id) <= 3),
-t AS (SELECT *, row_number() OVER (PARTITION BY query_id, library_id, item_key ORDER BY s DESC, chunk_id) AS r FROM h QUALIFY r <= 2),
-p AS (SELECT query_id, library_id, item_key, avg(s) AS a FROM t GROUP BY ALL),
-d AS (SELECT library_id, item_key, greatest(0, least(1, round(0.75 * sum(a) / (SELECT count(*) FROM q) + 0.25 * max(a), 6))) AS score, count(*) FILTER (a > 0) AS matched FROM p GROUP BY ALL),
-c AS (SELECT library_id, item_key, chunk_id, max(s) AS s FROM h GROUP BY ALL), e AS (SELECT *, row_number() OVER (PARTITION BY library_id, item_key ORDER BY s DESC, chunk_id) AS r FROM c QUALIFY r <= 5)
-SELECT library_id, item_key, any_value(score) AS score, any_value(matched) AS matched, round(max(s), 6) AS best_chunk, string_agg(chunk_id::varchar, ',' ORDER BY r) AS evidence FROM d JOIN e USING (library_id, item_key) GROUP BY ALL""",
+    "find_similar": f"""WITH {_OK}, s AS (SELECT DISTINCT snapshot_id, library_id, item_key, applied_min_score AS floor FROM similar_snapshots), asked AS (SELECT DISTINCT snapshot_id, library_id, item_key, unnest(query_chunk_ids) AS chunk_id FROM similar_snapshots),
+q AS (SELECT snapshot_id, library_id AS ql, item_key AS qi, min(id) AS query_id, arg_min(vector, id) AS qv FROM v JOIN asked USING (library_id, item_key, chunk_id) GROUP BY snapshot_id, library_id, item_key, chunk_id),
+u AS (SELECT DISTINCT query_id, qv, ql, qi FROM q),
+h0 AS (SELECT query_id, id, library_id, item_key, chunk_id, {_COS} AS score FROM v, u WHERE NOT (ql = library_id AND qi = item_key) QUALIFY row_number() OVER (PARTITION BY query_id, library_id, item_key ORDER BY score DESC, id) <= 3),
+h AS (SELECT snapshot_id, query_id, id, library_id, item_key, chunk_id, greatest(0, least(1, score)) AS s FROM h0 JOIN q USING (query_id)),
+t AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY snapshot_id, query_id, library_id, item_key ORDER BY s DESC, chunk_id) <= 2),
+p AS (SELECT snapshot_id, query_id, library_id, item_key, avg(s) AS a FROM t GROUP BY ALL), nq AS (SELECT snapshot_id, count(*) AS n FROM q GROUP BY 1),
+d AS (SELECT snapshot_id, library_id, item_key, greatest(0, least(1, round(0.75 * sum(a) / any_value(n) + 0.25 * max(a), 6))) AS score, count(*) FILTER (a > 0) AS matched FROM p JOIN nq USING (snapshot_id) GROUP BY ALL),
+c AS (SELECT snapshot_id, library_id, item_key, chunk_id, max(s) AS s FROM h GROUP BY ALL), e AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id, library_id, item_key ORDER BY s DESC, chunk_id) AS r FROM c QUALIFY r <= 5),
+f AS (SELECT snapshot_id, library_id, item_key, any_value(score) AS score, any_value(matched) AS matched, round(max(s), 6) AS best_chunk, string_agg(chunk_id::varchar, ',' ORDER BY r) AS evidence FROM d JOIN e USING (snapshot_id, library_id, item_key) GROUP BY ALL)
+SELECT snapshot_id, library_id, item_key, score, matched, best_chunk, evidence, row_number() OVER (PARTITION BY snapshot_id ORDER BY score DESC, best_chunk DESC, library_id, item_key) AS rank, (rank - 1) // 20 + 1 AS page FROM f JOIN (SELECT snapshot_id, min(floor) AS floor FROM s GROUP BY 1) USING (snapshot_id) WHERE score >= coalesce(floor, 0)""",
     "scan_score_stats": f"WITH {_H} SELECT query_id, round(min(score), 6) AS low, round(max(score), 6) AS high, round(avg(score), 6) AS mean, count(*) AS n FROM h GROUP BY 1",
     "dimension_guard": "SELECT CASE WHEN vector IS NULL THEN -1 ELSE len(vector) END AS dimension, count(*) AS n, dimension = 64 AS fits FROM vectors_f32 GROUP BY 1",
-    "embedding_groups": f"WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings ORDER BY vec_id LIMIT 1), h AS (SELECT query_id, vec_id, label, {_COS.replace('vector', 'embedding')} AS score FROM embeddings, q) SELECT query_id, label, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS rank, vec_id, round(score, 6) AS score FROM h QUALIFY rank <= 2",
+    "embedding_groups": f"WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0), h AS (SELECT query_id, vec_id, label, {_COS.replace('vector', 'embedding')} AS score FROM embeddings, q) SELECT query_id, label, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS rank, vec_id, round(score, 6) AS score FROM h QUALIFY rank <= 2",
 }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | None = None, memory: str = "12g") -> SparkSession:
@@ -39,3 +41,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     made = tempfile.mkdtemp(prefix="stacklight-checkpoint-")
     spark.sparkContext.setCheckpointDir(made)
     return made
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared checkpoint folder and read back: lineage ends there, so what several steps read
+    is computed once and the loss of an executor costs nothing. The table goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stacklight-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def drop() -> None:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session is gone already
+            pass
+
+    atexit.register(drop)
+    return spark.read.schema(df.schema).parquet(path)

@@ -13,6 +13,7 @@ from stacklight.functions import text as T
 from stacklight.operators import fusion as X
 from stacklight.operators import graph as G
 from stacklight.operators import lexical as L
+from stacklight.operators import links as K
 from stacklight.operators import maintenance as M
 from stacklight.operators import sections as SE
 from stacklight.operators import structured as S
@@ -126,6 +127,24 @@ def test_grouped_top_k_is_not_crowded_out(spark):
     assert [r["id"] for r in V.top_k(V.scan(index, q, ["id", "doc"], dim=2, best=5), 5, "id").orderBy("rank").collect()] == [data[i][0] for i in best]
 
 
+def test_scan_in_blocks_of_queries(spark):
+    """More queries than are broadcast at a time, and what leaves a batch, change nothing."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8))
+    index = spark.createDataFrame([(i, f"d{i % 7}", i % 2, [float(np.float32(v)) for v in r]) for i, r in enumerate(x)], "id long, doc string, lib int, vector array<float>")
+    q = index.filter("id % 10 = 0").select(F.col("id").alias("query_id"), "vector", "lib")
+    whole = {(r["query_id"], r["id"]): r["score"] for r in V.scan(index, q, ["id"], dim=8).collect()}
+    assert len(whole) == 30 * 300
+    assert whole == {(r["query_id"], r["id"]): r["score"] for r in V.scan(index, q, ["id"], dim=8, most=4).collect()}
+    docs = lambda h: sorted(tuple(r) for r in V.top_k(h, 2, "id", ["query_id", "doc"]).select("query_id", "doc", "id", "rank").collect())
+    assert docs(V.scan(index, q, ["id", "doc"], dim=8)) == docs(V.scan(index, q, ["id", "doc"], dim=8, per=(["doc"], 2), most=7))
+    same = {(r["query_id"], r["id"]) for r in V.scan(index, q, ["id"], dim=8, same="lib", most=11).collect()}
+    assert same == {(a, b) for a, b in whole if a % 2 == b % 2}
+    stats = {r["query_id"]: r for r in V.scan_stats(index, q, dim=8, most=4).collect()}
+    assert len(stats) == 30 and all(r["n"] == 300 and abs(r["high"] - max(s for (a, _), s in whole.items() if a == i)) < 1e-6 for i, r in stats.items())
+    assert V.scan(index, q.limit(0), ["id"], dim=8).count() == 0 and V.scan(index.limit(0), q, ["id"], dim=8).count() == 0
+
+
 def test_dimension_guard(spark):
     d = spark.createDataFrame([([1.0, 2.0],), ([1.0],)], "v array<float>")
     with pytest.raises(Exception, match="expected 2 dimensions"):
@@ -133,8 +152,11 @@ def test_dimension_guard(spark):
 
 
 def test_similar_documents(spark):
-    hits = spark.createDataFrame([(1, "a", 0, 0.8), (1, "a", 1, 0.6), (1, "a", 2, 0.5), (2, "b", 0, 1.0)], "query_id long, doc string, chunk int, score double")
-    out = {r["doc"]: r for r in V.similar_documents(hits, ["doc"], "chunk", 2).collect()}
+    hits = spark.createDataFrame([(7, 1, "a", 0, 0.8), (7, 1, "a", 1, 0.6), (7, 1, "a", 2, 0.5), (7, 2, "b", 0, 1.0), (8, 1, "a", 0, 0.8)], "search int, query_id long, doc string, chunk int, score double")
+    searches = spark.createDataFrame([(7, 2, None), (8, 1, 0.9)], "search int, n_queries int, floor double")
+    got = V.similar_documents(hits, ["doc"], "chunk", searches).collect()
+    out = {r["doc"]: r for r in got}
+    assert [(r["search"], r["doc"], r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(7, "b", 1), (7, "a", 2)]
     assert out["a"]["score"] == pytest.approx(0.75 * 0.35 + 0.25 * 0.7) and out["b"]["score"] == pytest.approx(0.75 * 0.5 + 0.25) and out["a"]["evidence"] == [0, 1, 2]
 
 
@@ -253,14 +275,56 @@ def test_nfkc(spark):
 
 @pytest.mark.parametrize(("n", "want"), [(0, 0), (5, 5), (11, 11), (12, 12), (150, 13), (400, 20), (100000, 20)])
 def test_representative_target(spark, n, want):
-    assert one(spark, G.representative_target(F.lit(n))) == want
+    assert one(spark, K.representative_target(F.lit(n))) == want
 
 
 def test_representatives(spark):
     data = [(i, "d", i, [float(j == i // 50) for j in range(8)]) for i in range(400)]
-    r = G.representatives(spark.createDataFrame(data, "id long, doc string, chunk_id int, vector array<float>"), ["doc"], "chunk_id", "vector").collect()
+    r = K.representatives(spark.createDataFrame(data, "id long, doc string, chunk_id int, vector array<float>"), ["doc"], "chunk_id", "vector").collect()
     assert {x["pos"] // 50 for x in r} == set(range(8))
-    assert G.farthest_first(np.eye(5), [0], 3) == [0, 1, 2] and G.farthest_first(np.ones((5, 2)), [0], 3) == [0]
+    assert K.farthest_first(np.eye(5), [0], 3) == [0, 1, 2] and K.farthest_first(np.ones((5, 2)), [0], 3) == [0]
+
+
+@pytest.mark.parametrize("fill_rows", [0, 1000])
+def test_representatives_are_filled(spark, fill_rows):
+    """Copies are passed over and the farthest others take their places, in one call or step by step."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([np.repeat(rng.normal(size=(1, 6)), 30, 0) + 1e-4 * rng.normal(size=(30, 6)), rng.normal(size=(34, 6))])
+    data = [(i, doc, i, [float(v) for v in r]) for doc in ("a", "b") for i, r in enumerate(x if doc == "a" else x[:14])]
+    data = [(k, d, c, v) for k, (_, d, c, v) in enumerate(data)]
+    got = K.representatives(spark.createDataFrame(data, "id long, doc string, chunk_id int, vector array<float>"), ["doc"], "chunk_id", "vector", fill_rows).collect()
+    for doc, n in (("a", 64), ("b", 14)):
+        v = np.array([r[3] for r in data if r[1] == doc], "f4").astype("f8")
+        u = v / np.linalg.norm(v, axis=1, keepdims=True)
+        picks = []
+        for b in range(12):
+            band = range(b * n // 12, max(b * n // 12 + 1, (b + 1) * n // 12))
+            centre = v[list(band)].mean(0)
+            picks.append(max(band, key=lambda i: (round(float(u[i] @ centre / np.linalg.norm(centre)), 9), -i)))
+        want = []
+        for i in picks:
+            if not want or max(round(float(u[i] @ u[j]), 9) for j in want) < 0.94:
+                want.append(i)
+        while len(want) < 12:
+            near, k = min((max(0, *(round(float(u[i] @ u[j]), 9) for j in want)), i) for i in range(n))
+            if near >= 0.94:
+                break
+            want.append(k)
+        assert sorted(r["pos"] for r in got if r["doc"] == doc) == sorted(want)
+
+
+def test_links_in_both_directions(spark):
+    """A paper that covers another's one subject among many isn't covered by it: the link is weaker than its stronger side."""
+    e = np.eye(8)
+    docs = {"1:A": [0, 0, 0], "1:B": [0, 1, 2, 3, 4, 5], "1:C": [0, 0], "1:D": [6, 7], "2:E": [0, 0]}
+    rows = [(d, k, e[i] + 0.01 * e[(i + k) % 8]) for d, ks in docs.items() for k, i in enumerate(ks)]
+    v = spark.createDataFrame([(n, int(d[0]), d, [float(x) for x in vec]) for n, (d, _, vec) in enumerate(rows)], "id long, library long, document string, vector array<float>")
+    got = {(r["source"], r["target"]): r for r in K.linked(v, v.select("id"), v, dim=8, block=2).collect()}
+    assert ("1:A", "1:C") in got and not any("2:E" in k or "1:D" in k for k in got)
+    assert got["1:A", "1:C"]["symmetric"] > 0.9 and all(got[a, b]["forward"] != got[a, b]["reverse"] or a + b in ("1:A1:C", "1:C1:A") for a, b in got if "1:B" in (a, b))
+    assert K.linked(v.limit(0), v.select("id").limit(0), v.limit(0), dim=8).count() == 0
+
+
 
 
 @pytest.mark.parametrize(("counts", "want"), [((1, 1, 0, 0), "open"), ((0, 1, 1, 0), "resolved"), ((0, 0, 1, 1), "dismissed"), ((0, 0, 0, 1), "stale"), ((0, 0, 0, 0), "open")])
