@@ -7,11 +7,12 @@ import json
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stacklight.functions import text as T
 from stacklight.operators.ranking import ranked, score_bucket
+from stacklight.session import cut
 
 # Constant of reciprocal ranks; floors of the branches; page sizes.
 RRF_K = 60
@@ -19,28 +20,44 @@ KEYWORD_FLOOR, SEMANTIC_FLOOR = 0.52, 0.60
 MAX_PAGE = 20
 
 
-def admitted(branch: DataFrame, keys: list[str], floor: float, requested: float | None = None) -> DataFrame:
+def admitted(branch: DataFrame, keys: list[str], floor: float, requested: float | None = None, by: list[str] = []) -> DataFrame:  # noqa: B006
     """(keys, score, rank): rows at or above the floor, which a request can only raise; of repeated rows the best counts;
-    ranks run from 1 among admitted rows only."""
+    ranks run from 1 among admitted rows only, within ``by`` where several searches are made at once."""
     bar = max(floor, requested) if requested is not None else floor
-    one = branch.filter(F.col("score") >= bar).groupBy(*keys).agg(F.max("score").alias("score"))
-    one = one.persist()  # keys and scores, read by the counts and by the rows
-    return ranked(one, score_bucket(F.col("score")), F.desc("score"), *keys)
+    one = cut(branch.filter(F.col("score") >= bar).groupBy(*keys).agg(F.max("score").alias("score")))  # read by the counts and by the rows
+    return ranked(one, score_bucket(F.col("score")), F.desc("score"), *keys, by=by)
 
 
-def rrf(branches: dict[str, tuple[DataFrame, float]], keys: list[str], k: int = RRF_K) -> DataFrame:
-    """(keys, rrf, sources, best_rank, rank): sum of weight / (k + rank); an absent branch adds nothing. One union and one
-    aggregation in place of outer joins."""
+def fused(branches: dict[str, tuple[DataFrame, float]], keys: list[str], k: int = RRF_K) -> DataFrame:
+    """(keys, rrf, sources, best_rank, matched_by): sum of weight / (k + rank); an absent branch adds nothing. One union and
+    one aggregation in place of outer joins."""
     parts = [d.select(*keys, F.lit(n).alias("branch"), F.lit(w / 1.0).alias("w"), "rank") for n, (d, w) in branches.items()]
-    long = reduce(DataFrame.unionByName, parts)
-    out = long.groupBy(*keys).agg(
-        F.round(F.sum(F.col("w") / (k + F.col("rank"))), 9).alias("rrf"),
-        F.count(F.lit(1)).alias("sources"),
-        F.min("rank").alias("best_rank"),
-        F.array_join(F.array_sort(F.collect_set("branch")), "+").alias("matched_by"),
-    )
-    out = out.persist()
-    return ranked(out, score_bucket(F.col("rrf"), 1_000_000), F.desc("rrf"), F.desc("sources"), "best_rank", *keys)
+    return cut(
+        reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(
+            F.round(F.sum(F.col("w") / (k + F.col("rank"))), 9).alias("rrf"),
+            F.count(F.lit(1)).alias("sources"),
+            F.min("rank").alias("best_rank"),
+            F.array_join(F.array_sort(F.collect_set("branch")), "+").alias("matched_by"),
+        )
+    )
+
+
+def order(keys: list[str]) -> list:
+    return [F.desc("rrf"), F.desc("sources"), "best_rank", *keys]
+
+
+def rrf(branches: dict[str, tuple[DataFrame, float]], keys: list[str], k: int = RRF_K, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """The fused rows with their rank."""
+    return ranked(fused(branches, keys, k), score_bucket(F.col("rrf"), 1_000_000), *order(keys), by=by)
+
+
+def first_rows(rows: DataFrame, keys: list[str], offset: int, limit: int) -> DataFrame:
+    """A page of fused rows with rank, total and has_more, where the rows before it are few: they are taken by their order, and
+    nothing behind the page is ranked."""
+    top = rows.orderBy(*order(keys)).limit(offset + limit)
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    page_ = top.withColumn("rank", F.row_number().over(Window.orderBy(*order(keys)))).filter(F.col("rank") > offset)  # offset + limit rows
+    return page_.join(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)
 
 
 def page(ranked: DataFrame, offset: int, limit: int, most: int = 500) -> DataFrame:
@@ -81,15 +98,20 @@ def overlap(graph: DataFrame, keyword: DataFrame, semantic: DataFrame, keys: lis
     return reduce(DataFrame.unionByName, [d.agg(F.lit(n).alias("part"), F.count(F.lit(1)).alias("n")) for n, d in counts])
 
 
-def single_branch(score: Column, branch: str) -> Column:
-    """A branch shown alone: semantic clamped, keyword saturated."""
+def shown_score(score: Column, branch: str) -> Column:
+    """The score of a branch shown alone: semantic clamped, keyword saturated."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)) if branch == "semantic" else F.when(score > 0, score / (score + 4)).otherwise(F.lit(0.0))
 
 
-def candidate(date: Column, score: Column, rank_score: Column, evidence: Column) -> dict[str, Column]:
-    """Shown fields: year of the date, scores of 4 and 6 places, two passages at most."""
+def candidate(title: Column, date: Column, score: Column, rank_score: Column) -> dict[str, Column]:
+    """Shown fields: the title cut, the year of the date, scores of 4 and 6 places."""
     year = F.regexp_extract(date, r"(\d{4})", 1)
-    return {"year": F.when(year != "", year), "score": F.round(score, 4), "rank_score": F.round(rank_score, 6), "evidence": F.transform(F.slice(evidence, 1, 2), T.cut_evidence)}
+    return {"title": T.cut_evidence(title, 60), "year": F.when(year != "", year), "score": F.round(score, 4), "rank_score": F.round(rank_score, 6)}
+
+
+def trimmed_evidence(passages: Column, keep: int = 2) -> Column:
+    """Of the passages (structs with ``text``) the first ``keep``, each cut to what is shown."""
+    return F.transform(F.slice(passages, 1, keep), lambda p: p.withField("text", T.cut_evidence(p["text"])))
 
 
 def threshold_sweep(scored: DataFrame, thresholds: list[float], beta: float = 0.5) -> DataFrame:

@@ -214,16 +214,16 @@ def strength(text: Column, keyword: str) -> Column:
     return F.when(n > 0, s * F.when(low == k, F.lit(1.25)).otherwise(F.lit(1.0))).otherwise(F.lit(0.0))
 
 
-def lexical_rank(texts: DataFrame, probes: list[tuple[str, float]], weights: tuple = LEXICAL_WEIGHTS, keys: tuple = tuple(KEY)) -> DataFrame:
-    """(keys, score, matched, fields): specificity is taken over the matching pool, which is one window over few columns."""
+def lexical_rank(texts: DataFrame, probes: list[tuple[str, float]], weights: tuple = LEXICAL_WEIGHTS, keys: tuple = tuple(KEY), by: tuple = ()) -> DataFrame:
+    """(keys, score, matched, fields): specificity is taken over the matching pool, of each search (``by``) its own."""
     w = F.create_map(*[x for f, v in weights for x in (F.lit(f), F.lit(v))])[F.col("field")]
     cells = F.array(*[F.struct(F.lit(k).alias("probe"), F.lit(float(v)).alias("weight"), strength(F.col("text"), k).alias("s")) for k, v in probes])
     long = texts.select(*keys, "field", w.alias("fw"), F.explode(cells).alias("p")).select(*keys, "field", "fw", "p.*").filter("fw is not null and s > 0")
     per = long.groupBy(*keys, "probe", "weight").agg(F.sum(F.col("fw") * F.col("s")).alias("k"), F.collect_set("field").alias("fs"))
-    pool = per.select(*keys).distinct().agg(F.count(F.lit(1)).alias("pool"))
-    df = per.groupBy("probe").agg(F.count(F.lit(1)).alias("df"))
+    pool = per.select(*keys).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("pool"))
+    df = per.groupBy(*by, "probe").agg(F.count(F.lit(1)).alias("df"))
     top = F.log1p(F.col("pool").cast("double"))
-    per = per.join(F.broadcast(df), "probe").join(F.broadcast(pool))
+    per = per.join(df, [*by, "probe"]).join(pool, list(by)) if by else per.join(F.broadcast(df), "probe").join(F.broadcast(pool))
     spec = F.least(F.lit(1.0), F.log1p(F.col("pool") / (1 + F.col("df"))) / top)
     out = per.groupBy(*keys).agg(F.sum(F.col("weight") * spec * F.col("k")).alias("base"), F.count(F.lit(1)).alias("matched"), F.size(F.array_distinct(F.flatten(F.collect_list("fs")))).alias("fields"))
     score = F.col("base") * (1 + 0.2 * (F.col("matched") - 1)) * (1 + 0.08 * (F.col("fields") - 1))

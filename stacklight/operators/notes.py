@@ -13,44 +13,70 @@ from pyspark.sql import functions as F
 from stacklight.functions import text as T
 from stacklight.operators.textprep import sentences
 
-# Wording that marks a risk, by kind. English alternatives match whole words; Han ones anywhere.
+# Wording that marks a risk, by kind: English words and phrases, which match whole; Han ones, which match anywhere;
+# and forms with a place for a word or number.
 ABSOLUTE = (
-    "cannot|can not|impossible|impossibility|never|always|entirely|completely|wholly|fully|totally|absolutely|eliminate|eliminates|eliminated|eliminating|elimination|irreplaceable|indispensable|unique|uniquely"
-    "|unrivalled|unmatched|maximize|maximizes|maximized|minimize|minimizes|minimized|ensure|ensures|ensured|guarantee|guarantees|guaranteed|overcome|overcomes|overcame|solve|solves|solved|prove|proves|proved|proven"
-    "|definitive|definitively|unequivocal|unequivocally|conclusively|superior|optimal|the best|outperform|outperforms|outperformed|preferable",
-    "无法|不可能|完全消除|彻底|不可替代|唯一|保证|确保|必然|总是|从不|最大化|克服",
-)
+    ("cannot", "can not", "impossible", "impossibility", "never", "always", "entirely", "completely", "wholly", "fully", "totally", "absolutely", "eliminate", "eliminates", "eliminated", "eliminating",
+     "elimination", "irreplaceable", "indispensable", "unique", "uniquely", "unrivalled", "unmatched", "maximize", "maximizes", "maximized", "maximizing", "maximise", "maximises", "maximised", "maximising",
+     "minimize", "minimizes", "minimized", "minimizing", "minimise", "minimises", "minimised", "minimising", "ensure", "ensures", "ensured", "ensuring", "guarantee", "guarantees", "guaranteed", "overcome",
+     "overcomes", "overcoming", "overcame", "solve", "solves", "solved", "prove", "proves", "proven", "proved", "definitive", "definitively", "unequivocal", "unequivocally", "conclusively", "superior", "optimal",
+     "the best", "outperform", "outperforms", "outperformed", "outperforming", "preferable"),
+    ("无法", "不可能", "完全消除", "彻底", "不可替代", "唯一", "保证", "确保", "必然", "总是", "从不", "最大化", "克服"), (),
+)
 RELATION = (
-    "orthogonal|perpendicular|parallel|coincide|coincides|coincident|normal to|common|shared|identical|equivalent|opposite|inverse|inversely|monotonic|monotonically|proportional|independent of",
-    "正交|平行|垂直|共同|相同|等价|相反|反比|单调",
-)
+    ("orthogonal", "perpendicular", "parallel", "coincide", "coincides", "coincident", "coinciding", "normal to", "common", "shared", "identical", "equivalent", "opposite", "inverse", "inversely", "monotonic",
+     "monotonically", "proportional", "independent of"),
+    ("正交", "平行", "垂直", "共同", "相同", "等价", "相反", "反比", "单调"), (),
+)
 DIRECTION = (
-    "increase|increases|increased|increasing|decrease|decreases|decreased|decreasing|rise|rises|rising|drop|drops|reduce|reduces|reduced|reduction|enhance|enhances|enhanced|weaken|weakens|weakened|strengthen|strengthens|strengthened"
-    "|suppress|suppresses|suppressed|promote|promotes|promoted|improve|improves|improved|degrade|degrades|degraded|higher|lower|larger|smaller|greater|shorter|longer|above|below",
-    "增加|增大|增强|减少|减小|减弱|升高|降低|提高|抑制",
-)
-NEGATION = ("not|none|neither|nor|without|free from|fail to|fails to|failed to|unable|rather than|instead of", "不能|无法|未能|不会|并非|没有|不再|无需|不足以|不需要|不使用|不依赖|不包含|未采用")
+    ("increase", "increases", "increased", "increasing", "decrease", "decreases", "decreased", "decreasing", "rise", "rises", "rising", "drop", "drops", "reduce", "reduces", "reduced", "reducing", "reduction",
+     "enhance", "enhances", "enhanced", "enhancing", "weaken", "weakens", "weakened", "weakening", "strengthen", "strengthens", "strengthened", "strengthening", "suppress", "suppresses", "suppressed", "suppressing",
+     "promote", "promotes", "promoted", "promoting", "improve", "improves", "improved", "improving", "degrade", "degrades", "degraded", "degrading", "degradation", "higher", "lower", "larger", "smaller", "greater",
+     "shorter", "longer", "above", "below"),
+    ("增加", "增大", "增强", "减少", "减小", "减弱", "升高", "降低", "提高", "抑制"), (),
+)
+NEGATION = (
+    ("not", "none", "neither", "nor", "without", "free from", "fail to", "fails to", "failed to", "unable", "rather than", "instead of"),
+    ("不能", "无法", "未能", "不会", "并非", "没有", "不再", "无需", "不足以", "不需要", "不使用", "不依赖", "不包含", "未采用"), (),
+)
+_DOUBT = (
+    "may", "might", "can be a", "possible", "possibly", "possibility", "possibilities", "potential", "potentially", "perhaps", "promising", "preliminary", "attempt", "attempts", "attempted", "expect", "expects", "expected",
+    "seem", "seems", "suggest", "suggests", "likely", "challenge", "challenges", "challenging", "difficult", "difficulty", "difficulties", "hard to", "bottleneck", "in principle", "not necessarily",
+)
 HEDGE = (
-    "may|might|could|would|possible|possibly|possibility|potential|potentially|perhaps|promising|preliminary|propose|proposes|proposed|proposal|attempt|attempts|attempted|expect|expects|expected|appear|appears|seem|seems"
-    "|suggest|suggests|likely|probably|challenge|challenging|difficult|difficulty|tend to|tends to|generally|often|usually|sometimes|typically|in principle|not necessarily|mostly|partial|partially",
-    "可能|或许|大概|有望|初步|提出|预期|似乎|困难|挑战|通常|一般而言|往往",
-)
+    (*_DOUBT, "could", "would", "propose", "proposes", "proposed", "proposal", "appear", "appears", "probably", "probable", "tend to", "tends to", "generally", "often", "usually", "sometimes", "typically", "normally",
+     "mostly", "partial", "partially", "to some extent"),
+    ("可能", "或许", "大概", "有望", "初步", "提出", "预期", "似乎", "困难", "挑战", "通常", "一般而言", "往往"), (),
+)
 COMMITTED = (
-    "may|might|possible|possibly|possibility|potential|potentially|perhaps|promising|preliminary|attempt|attempts|attempted|expect|expects|expected|appear to|appears to|seem|seems|suggest|suggests|likely|challenge|challenging|difficult|in principle|not necessarily",
-    "可能|或许|有望|初步|提出|预期|似乎|困难|挑战",
-)
-CONDITION = ("under|when|where|provided|as long as|condition|conditions|assuming|in the case of|calculated|measured", "条件|假设|计算得到|测量")
+    (*_DOUBT, "appear to", "appears to", "proposed hypothesis", "proposed explanation", "proposed interpretation", "not a unique"),
+    ("可能", "或许", "有望", "初步", "提出", "预期", "似乎", "困难", "挑战"), (),
+)
+CONDITION = (
+    ("under", "when", "where", "provided", "as long as", "condition", "conditions", "assuming", "in the case of", "calculated", "measured"),
+    ("条件", "假设", "计算得到", "测量"),
+    (r"at\s+(?:an?\s+)?[\d$]", r"for\s+(?:a|an|the)\s+\w+\s+(?:specimen|sample|foil|crystal|case)\b", r"with\s+(?:a|an)\s+\w+\s+of\b"),
+)
 STRONG = ("absolute-language", "relation-word", "multi-chunk-fusion", "subject-not-in-cited-chunks", "hedge-dropped", "negation-dropped", "condition-dropped", "enumeration-shortened")
 WEAK = ("direction-word", "quantity", "negation")
 WEAK_AT_LEAST = 2
 # Characters that join Han terms in a question; words that no query is about; weights of derived keywords.
-HAN_GLUE = "的了和与在对是如何怎么样什为有哪些及或被从到中由于其这那吗呢"
-STOPWORDS = ("the", "a", "an", "of", "in", "on", "at", "to", "for", "and", "or", "by", "with", "is", "are", "was", "how", "what", "why", "does", "do", "which", "from", "as", "that", "this")
+HAN_GLUE = "的了是与及把被其该这那也都或吗呢且但而让所之很更最如何什么怎于我你他她它们请吧呀啊哪谁"
+STOPWORDS = (
+    "the", "and", "for", "with", "how", "what", "why", "does", "did", "are", "was", "were", "from", "into", "onto", "that", "this", "these", "those", "about", "during", "between", "over", "under", "its", "their",
+    "can", "will", "would", "should",
+)
 TOKEN_WEIGHT, ALIGNED_WEIGHT, OFFSET_WEIGHT, MAX_PAIRS, MAX_KEYWORDS = 0.9, 0.3, 0.15, 8, 16
 
 
-def says(text: Column, wording: tuple[str, str]) -> Column:
-    return F.rlike(text, F.lit(rf"(?i)\b(?:{wording[0]})\b|{wording[1]}"))
+def pattern(wording: tuple) -> str:
+    """One pattern of a wording, for Java and for DuckDB alike."""
+    words, han, forms = wording
+    return rf"(?i)\b(?:{'|'.join(w.replace(' ', r'\s+') for w in words)})\b|{'|'.join(han)}" + "".join(rf"|\b{f}" for f in forms)
+
+
+def says(text: Column, wording: tuple) -> Column:
+    return F.rlike(text, F.lit(pattern(wording)))
 
 
 def blocks(note: str) -> list[tuple[str, str]]:

@@ -20,14 +20,14 @@ def text_bucket(text: Column, n: int = 3) -> Column:
     return F.coalesce(F.substring(text, 1, n), F.lit("\U0010ffff"))
 
 
-def ranked(rows: DataFrame, bucket: Column, *order, name: str = "rank") -> DataFrame:
-    """``rows`` with ``name`` from 1 in ``order``; ``bucket`` must not fall where ``order`` rises."""
+def ranked(rows: DataFrame, bucket: Column, *order, name: str = "rank", by: list[str] = []) -> DataFrame:  # noqa: B006
+    """``rows`` with ``name`` from 1 in ``order``, within ``by`` if given; ``bucket`` must not fall where ``order`` rises."""
     b = rows.withColumn("_bucket", bucket)
-    counts = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return b.withColumn("_in", inside).join(offsets, "_bucket").withColumn(name, (F.col("_offset") + F.col("_in")).cast("int")).drop("_bucket", "_in", "_offset")
+    counts = b.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    offsets = counts.select(*by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*order))
+    return b.withColumn("_in", inside).join(offsets, [*by, "_bucket"]).withColumn(name, (F.col("_offset") + F.col("_in")).cast("int")).drop("_bucket", "_in", "_offset")
 
 
 def positions(rows: DataFrame, keys: list[str], order: str, tie: str, block: int = 1024, name: str = "position") -> DataFrame:

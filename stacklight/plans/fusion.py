@@ -8,6 +8,7 @@ from stacklight.functions import text as T
 from stacklight.operators import fusion as X
 from stacklight.operators import lexical as L
 from stacklight.operators import vectors as V
+from stacklight.plans import graph as PG
 from stacklight.plans import lexical as PL
 from stacklight.plans import vectors as PV
 from stacklight.sources.tables import table
@@ -20,16 +21,13 @@ def _keyword(spark, d):
 
 
 def _semantic(spark, d):
-    """Best chunk per document for the usable vector of smallest id."""
-    v = PV._vectors(spark, d)
-    q = V.usable(v, "vector", 64).orderBy("id").limit(1).select(F.col("id").alias("query_id"), "vector")
-    return V.scan(v, q, ["id", *KEY]).groupBy(*KEY).agg(F.round(F.max("score"), 6).alias("score"))
+    """Best chunk per document for the vectors whose id is divisible by 50, which stand for the query."""
+    return V.scan(PV._vectors(spark, d), PV._queries(spark, d), KEY, per=(KEY, 1)).groupBy(*KEY).agg(F.round(F.max("score"), 6).alias("score"))
 
 
 def _graph(spark, d):
     """Papers that read the concepts most read: the share of the three most read concepts a paper has."""
-    r = table(spark, d, "wiki_concept_term_sources").join(table(spark, d, "wiki_concept_terms").select("term_id", "concept_id"), "term_id")
-    r = r.filter("item_key is not null and item_key not like '%:%' and item_key <> ''").select(*KEY, "concept_id").distinct()
+    r = PG._readings(spark, d)
     top = r.groupBy("concept_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "concept_id").limit(3)
     return r.join(F.broadcast(top), "concept_id").groupBy(*KEY).agg(F.round(F.count(F.lit(1)) / 3, 6).alias("score"))
 
@@ -48,9 +46,24 @@ def rrf_fusion(spark, d):
 
 def hybrid_search(spark, d):
     """The first page, with what is shown of a document fetched for its rows only."""
-    p = X.page(X.rrf(_branches(spark, d), KEY), 0, 20)
-    items = table(spark, d, "items").dropna(subset=KEY).groupBy(*KEY).agg(F.max("title").alias("title"), F.max("pub_year").alias("year"))
-    return p.join(items, KEY, "left").select(*KEY, "rank", F.round("rrf", 6).alias("rank_score"), "matched_by", "total", "has_more", T.cut_evidence(F.col("title"), 60).alias("title"), F.col("year").cast("string").alias("year"))
+    p = X.first_rows(X.fused(_branches(spark, d), KEY), KEY, 0, 20)
+    items = table(spark, d, "items").dropna(subset=KEY).groupBy(*KEY).agg(F.max("title").alias("t"), F.max("pub_year").cast("string").alias("y"))
+    shown = X.candidate(F.col("t"), F.col("y"), F.col("rrf"), F.col("rrf"))
+    return p.join(items, KEY, "left").select(*KEY, "rank", shown["rank_score"].alias("rank_score"), "matched_by", "total", "has_more", shown["title"].alias("title"), shown["year"].alias("year"))
+
+
+def evidence_trim(spark, d):
+    """The two best passages of each paper for a keyword query, cut to what is shown."""
+    e = PL.keyword_evidence_rows(spark, d)
+    g = e.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "occurrences", "text"))).alias("ps"))  # three passages at most
+    p = g.select(*KEY, F.explode(X.trimmed_evidence(F.col("ps"))).alias("p"))
+    return p.select(*KEY, "p.rank", "p.chunk_id", "p.occurrences", "p.text")
+
+
+def single_branch(spark, d):
+    """The keyword and the semantic branch, each shown alone."""
+    k = L.bm25f(PL.texts(spark, d), PL.PROBES).select(*KEY, F.lit("keyword").alias("branch"), F.round(X.shown_score(F.col("score"), "keyword"), 4).alias("score"))
+    return k.unionByName(_semantic(spark, d).select(*KEY, F.lit("semantic").alias("branch"), F.round(X.shown_score(F.col("score"), "semantic"), 4).alias("score")))
 
 
 def page_window(spark, d):
@@ -69,13 +82,13 @@ def threshold_sweep(spark, d):
     return X.threshold_sweep(s, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6])
 
 
-QUERIES = [rrf_fusion, hybrid_search, page_window, overlap_sets, threshold_sweep]
+QUERIES = [rrf_fusion, hybrid_search, evidence_trim, single_branch, page_window, overlap_sets, threshold_sweep]
 
 _BM = PL.SQL["bm25f_two_regime"]
 _FUSE = f"""kw0 AS (SELECT library_id, item_key, normalized AS score FROM ({_BM})),
-{PV._OK}, q1 AS (SELECT id AS query_id, vector AS qv FROM v ORDER BY id LIMIT 1),
-se0 AS (SELECT library_id, item_key, round(max({PV._COS}), 6) AS score FROM v, q1 GROUP BY ALL),
-rd AS (SELECT DISTINCT library_id, item_key, concept_id FROM wiki_concept_term_sources JOIN wiki_concept_terms USING (term_id) WHERE item_key NOT LIKE '%:%' AND item_key <> ''),
+{PV._ASK},
+se0 AS (SELECT library_id, item_key, round(max({PV._COS}), 6) AS score FROM v, q GROUP BY ALL),
+{PG._R}, rd AS (SELECT * FROM r),
 tp AS (SELECT concept_id FROM rd GROUP BY 1 ORDER BY count(*) DESC, concept_id LIMIT 3),
 wk0 AS (SELECT library_id, item_key, round(count(*) / 3, 6) AS score FROM rd JOIN tp USING (concept_id) GROUP BY ALL),
 kw AS (SELECT *, row_number() OVER (ORDER BY score DESC, library_id, item_key) AS rank FROM kw0 WHERE score >= 0.2),
@@ -96,4 +109,6 @@ x AS (SELECT coalesce(score, 0) AS score, relevant, unnest([0.1, 0.2, 0.3, 0.4,
 c AS (SELECT threshold, count(*) FILTER (score >= threshold AND relevant) AS tp, count(*) FILTER (score >= threshold AND NOT relevant) AS fp, count(*) FILTER (score < threshold AND relevant) AS fn FROM x GROUP BY 1),
 p AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM c)
 SELECT threshold, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p > 0 OR r > 0 THEN 1.25 * p * r / (0.25 * p + r) ELSE 0 END, 6) AS f_beta FROM p""",
+    "evidence_trim": f"SELECT library_id, item_key, rank, chunk_id, occurrences, passage AS text FROM ({PL.SQL['keyword_evidence']}) WHERE rank <= 2",
+    "single_branch": f"WITH {_FUSE} SELECT library_id, item_key, 'keyword' AS branch, round(score, 4) AS score FROM kw0 UNION ALL SELECT library_id, item_key, 'semantic', round(greatest(0, least(1, score)), 4) FROM se0",
 }

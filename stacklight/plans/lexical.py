@@ -89,11 +89,15 @@ def keyword_search(spark, d):
     return p.select(*L.KEY, "rank", "score", "normalized", "matched", "coverage")
 
 
-def keyword_evidence(spark, d):
+def keyword_evidence_rows(spark, d):
     place, t = [*L.KEY, "field", "chunk_id"], texts(spark, d)
     best = L.best_evidence(L.verified(L.conjunction(L.postings(t, *place, terms=L.asked_terms(PROBES)), L.plans(spark, PROBES), *place), t, *place))
     # Texts are fetched for the winners only.
-    return best.join(t.filter("field = 'body'"), [*L.KEY, "chunk_id"]).select(*L.KEY, "chunk_id", "rank", "probes", "occurrences", T.cut_evidence(F.col("text")).alias("passage"))
+    return best.join(t.filter("field = 'body'"), [*L.KEY, "chunk_id"])
+
+
+def keyword_evidence(spark, d):
+    return keyword_evidence_rows(spark, d).select(*L.KEY, "chunk_id", "rank", "probes", "occurrences", T.cut_evidence(F.col("text")).alias("passage"))
 
 
 def lexical_rank(spark, d):

@@ -10,6 +10,8 @@ from stacklight.operators import lexical as L
 from stacklight.operators import notes as N
 from stacklight.operators import textprep as P
 from stacklight.operators import vectors as V
+from stacklight.plans import duck
+from stacklight.plans import lexical as PL
 from stacklight.plans import vectors as PV
 from stacklight.sources.tables import spread, table
 
@@ -18,7 +20,7 @@ KEY = ["library_id", "item_key"]
 
 def _notes(spark, d):
     n = table(spark, d, "documents").filter((F.lower(F.trim("source")) == "note") & F.col("item_key").isNotNull() & (F.length("text") > 0))
-    return n.select(F.col("doc_id").alias("note"), *KEY, F.concat("text", F.lit(" (chunk 0)")).alias("text"))
+    return n.select(F.col("doc_id").alias("note"), *KEY, F.concat("text", F.lit(" (chunks 0-9)")).alias("text"))
 
 
 def note_sentences(spark, d):
@@ -62,15 +64,18 @@ def structured_blocks(spark, d):
 
 
 def document_hybrid(spark, d):
-    """Chunks of the first search's paper: by words and by the likeness to its first asked chunk, fused."""
-    s = table(spark, d, "similar_snapshots").filter("snapshot_id = 1")
-    mine = L.live_chunks(table(spark, d, "chunks")).filter("length(text) > 0").join(F.broadcast(s.select(*KEY)), KEY, "left_semi")
-    words = L.lexical_rank(mine.select("chunk_id", F.lit("chunkText").alias("field"), "text"), [("surface", 1.0), ("strength", 0.9)], (("chunkText", 6.0),), ("chunk_id",))
-    v = V.usable(PV._vectors(spark, d), "vector", 64).join(F.broadcast(s.select(*KEY)), KEY, "left_semi")
-    first = v.join(F.broadcast(s.select(F.explode("query_chunk_ids").alias("chunk_id")).distinct()), "chunk_id").orderBy("chunk_id", "id").limit(1).select(F.col("id").alias("query_id"), "vector")
-    near = V.scan(v, first, ["id", "chunk_id"]).groupBy("chunk_id").agg(F.round(F.max("score"), 6).alias("score"))
-    branches = {"keyword": (X.admitted(words.select("chunk_id", "score"), ["chunk_id"], 0.0), 1.0), "semantic": (X.admitted(near, ["chunk_id"], 0.2), 1.0)}
-    return X.rrf(branches, ["chunk_id"]).select("chunk_id", F.round("rrf", 6).alias("rrf"), "matched_by", "rank")
+    """Chunks of each search's paper: by words and by the likeness to the search's chunks, fused for each search."""
+    s = table(spark, d, "similar_snapshots").select("snapshot_id", *KEY, "query_chunk_ids")
+    mine = L.live_chunks(table(spark, d, "chunks")).filter("length(text) > 0").join(s.drop("query_chunk_ids"), KEY)
+    words = L.lexical_rank(mine.select("snapshot_id", "chunk_id", F.lit("chunkText").alias("field"), "text"), [("surface", 1.0), ("strength", 0.9)], (("chunkText", 6.0),), ("snapshot_id", "chunk_id"), ("snapshot_id",))
+    paper = F.concat_ws(":", *KEY).alias("paper")
+    v = V.usable(PV._vectors(spark, d), "vector", 64).select("id", *KEY, "chunk_id", "vector", paper)
+    asked = v.join(s.select("snapshot_id", *KEY, F.explode("query_chunk_ids").alias("chunk_id")).distinct(), [*KEY, "chunk_id"])
+    hits = V.scan(v, asked.select(F.col("id").alias("query_id"), "vector", "paper").distinct(), ["chunk_id"], per=(["paper", "chunk_id"], 1), same="paper")
+    near = hits.join(asked.select("snapshot_id", F.col("id").alias("query_id")), "query_id").groupBy("snapshot_id", "chunk_id").agg(F.round(F.max("score"), 6).alias("score"))
+    by, keys = ["snapshot_id"], ["snapshot_id", "chunk_id"]
+    branches = {"keyword": (X.admitted(words.select(*keys, "score"), keys, 0.0, by=by), 1.0), "semantic": (X.admitted(near, keys, 0.2, by=by), 1.0)}
+    return X.rrf(branches, keys, by=by).select(*keys, F.round("rrf", 6).alias("rrf"), "matched_by", "rank")
 
 
 def quantised_or_float(spark, d):
@@ -84,10 +89,19 @@ def quantised_or_float(spark, d):
 
 QUERIES = [note_sentences, claim_risks, risk_flags, term_excerpts, typed_chunks, structured_blocks, document_hybrid, quantised_or_float]
 
-_says = lambda w: f"regexp_matches(text, '(?i)\\b(?:{w[0]})\\b|{w[1]}')"
+_says = lambda w: f"regexp_matches(text, '{N.pattern(w)}')"
+_lex = lambda k, w: f"SELECT snapshot_id, chunk_id, '{k}' AS probe, {w} AS weight, {PL._strength(k)} AS s FROM mine"
 SQL = {
     "risk_flags": f"SELECT doc_id, {_says(N.ABSOLUTE)} AS absolute, {_says(N.RELATION)} AS relation, {_says(N.DIRECTION)} AS direction, {_says(N.NEGATION)} AS negation, {_says(N.HEDGE)} AS hedge, {_says(N.CONDITION)} AS condition FROM documents WHERE length(text) > 0",
     "term_excerpts": """WITH s AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\f\\r]+', ' ', 'g'), ' ') AS s FROM documents WHERE contains(lower(text), 'membrane')), a AS (SELECT *, instr(lower(s), 'membrane') AS k FROM s), p AS (SELECT *, greatest(k - 90, 1) AS b, substr(s, greatest(k - 90, 1), least(k - 1, 90) + 98) AS part FROM a)
 SELECT doc_id, (CASE WHEN b > 1 THEN '…' ELSE '' END) || part || (CASE WHEN b + length(part) <= length(s) THEN '…' ELSE '' END) AS excerpt FROM p""",
     "quantised_or_float": f"WITH {PV._OK}, q AS (SELECT id, {PV._Q8.format(v='vector')} AS q, vector FROM v) SELECT id, CASE WHEN id % 3 <> 0 THEN list_sum(list_transform(q, lambda z: z * z))::double ELSE round({PV._DOT.format(a='vector', b='vector')}, 6) END AS value, id % 3 <> 0 AS quantised FROM q",
+    "document_hybrid": f"""WITH {duck.LIVE}, {PV._OK}, s AS (SELECT DISTINCT snapshot_id, library_id, item_key FROM similar_snapshots), mine AS (SELECT snapshot_id, chunk_id, text FROM chunks_ JOIN s USING (library_id, item_key) WHERE length(text) > 0),
+l AS ({_lex('surface', 1.0)} UNION ALL {_lex('strength', 0.9)}), p AS (SELECT snapshot_id, chunk_id, probe, weight, 6.0 * sum(s) AS k FROM l WHERE s > 0 GROUP BY ALL), po AS (SELECT snapshot_id, count(DISTINCT chunk_id) AS pool FROM p GROUP BY 1), f AS (SELECT snapshot_id, probe, count(*) AS df FROM p GROUP BY ALL),
+kw0 AS (SELECT snapshot_id, chunk_id, round(sum(weight * least(1.0, ln(1 + pool / (1 + df)) / ln(1 + pool)) * k) * (1 + 0.2 * (count(*) - 1)), 6) AS score FROM p JOIN f USING (snapshot_id, probe) JOIN po USING (snapshot_id) GROUP BY ALL),
+ak AS (SELECT DISTINCT snapshot_id, library_id, item_key, unnest(query_chunk_ids) AS chunk_id FROM similar_snapshots), q AS (SELECT snapshot_id, library_id AS ql, item_key AS qi, vector AS qv FROM v JOIN ak USING (library_id, item_key, chunk_id)),
+se0 AS (SELECT snapshot_id, chunk_id, round(max({PV._COS}), 6) AS score FROM q JOIN v ON v.library_id = ql AND v.item_key = qi GROUP BY ALL),
+al AS (SELECT snapshot_id, chunk_id, 'keyword' AS br, row_number() OVER (PARTITION BY snapshot_id ORDER BY score DESC, chunk_id) AS rank FROM kw0 UNION ALL SELECT snapshot_id, chunk_id, 'semantic', row_number() OVER (PARTITION BY snapshot_id ORDER BY score DESC, chunk_id) FROM se0 WHERE score >= 0.2),
+fu AS (SELECT snapshot_id, chunk_id, round(sum(1.0::double / (60 + rank)), 9) AS rrf, count(*) AS sources, min(rank) AS best_rank, string_agg(br, '+' ORDER BY br) AS matched_by FROM al GROUP BY ALL)
+SELECT snapshot_id, chunk_id, round(rrf, 6) AS rrf, matched_by, row_number() OVER (PARTITION BY snapshot_id ORDER BY rrf DESC, sources DESC, best_rank, chunk_id) AS rank FROM fu""",
 }

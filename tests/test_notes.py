@@ -34,7 +34,7 @@ def test_audit(spark, sentence, source, risks):
 
 def test_keywords_of_a_query():
     got = {t: (w, o) for t, w, o in N.fallback_keywords("温度梯度影响的定向凝固 of the X-ray")}
-    assert got["温度梯度影响"] == (0.9, "token") and got["ray"] == (0.9, "token") and got["温度"] == (0.3, "ngram") and got["度梯"][0] == 0.15 and "of" not in got and len(got) <= 16
+    assert got["温度梯度影响"] == (0.9, "token") and got["ray"] == (0.9, "token") and got["温度"] == (0.3, "ngram") and got["度梯"][0] == 0.15 and "the" not in got and "of" in got and len(got) <= 16
     assert N.fallback_keywords("a") == [("a", 0.9, "token")] and N.keyword_source([" Creep ", "creep"], "x") == ("provided", [("Creep", 1.0, "provided")])
 
 
@@ -79,3 +79,20 @@ def test_claim_risks_reads_whole_cited_chunks(spark, tmp_path):
     spark.createDataFrame([(r, 1, k, c, t) for r, k, c, t in chunks], "row_id long, library_id long, item_key string, chunk_id int, text string").write.parquet(f"{tmp_path}/chunks.parquet")
     got = {r["note"]: r["risks"] for r in PN.claim_risks(spark, str(tmp_path)).collect()}
     assert "hedge-dropped" in got[1] and "hedge-dropped" in got[2]
+
+
+@pytest.mark.parametrize(
+    ("wording", "text"),
+    [
+        (N.ABSOLUTE, "ensuring that"), (N.ABSOLUTE, "it maximises the"), (N.ABSOLUTE, "can  not be"), (N.DIRECTION, "by enhancing it"), (N.DIRECTION, "the degradation of"), (N.RELATION, "coinciding planes"),
+        (N.HEDGE, "is a bottleneck"), (N.HEDGE, "hard to say"), (N.HEDGE, "possibilities"), (N.HEDGE, "to some extent"), (N.COMMITTED, "not a unique"), (N.COMMITTED, "a proposed explanation"), (N.CONDITION, "held at 600 K"),
+        (N.CONDITION, "at a $T$"), (N.CONDITION, "for a thin specimen"), (N.CONDITION, "with a grain of"), (N.NEGATION, "fails to"), (N.NEGATION, "未采用"),
+    ],
+)
+def test_wording(spark, wording, text):
+    assert spark.createDataFrame([(text,)], "t string").filter(N.says(F.col("t"), wording)).count() == 1
+
+
+@pytest.mark.parametrize(("wording", "text"), [(N.NEGATION, "non-equilibrium"), (N.COMMITTED, "generally often"), (N.HEDGE, "mayor"), (N.CONDITION, "at the surface"), (N.DIRECTION, "droplet")])
+def test_wording_that_says_nothing(spark, wording, text):
+    assert spark.createDataFrame([(text,)], "t string").filter(N.says(F.col("t"), wording)).count() == 0
