@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stacklight.functions import text as T
 from stacklight.operators.ranking import ranked
+from stacklight.session import cut
 
 # Words and units that make no lexical signal.
 NO_SIGNAL = (
@@ -44,25 +45,34 @@ def concept_edges(readings: DataFrame, group: str, doc: str, concept: str, cliqu
     r = readings.select(F.col(group).alias("g"), F.col(doc).alias("d"), F.col(concept).alias("c")).dropna().distinct()
     n = r.groupBy("g").agg(F.count_distinct("d").alias("n"))
     df = r.groupBy("g", "c").agg(F.count(F.lit(1)).alias("df")).filter((F.col("df") >= 2) & (F.col("df") <= clique))
-    k = r.join(df, ["g", "c"]).join(F.broadcast(n), "g").withColumn("idf", F.log((F.col("n") + 1) / (F.col("df") + 1)))
+    k = r.join(df, ["g", "c"]).join(n, "g").withColumn("idf", F.log((F.col("n") + 1) / (F.col("df") + 1)))
     left = k.select("g", "c", F.col("d").alias("a"), "idf")
     pairs = left.join(k.select("g", "c", F.col("d").alias("b")), ["g", "c"]).filter("a < b")
     return pairs.groupBy("g", "a", "b").agg(F.round(F.sum("idf"), 6).alias("score"), F.count(F.lit(1)).alias("shared")).withColumn("strength", F.least(F.lit(3.0), 1 + F.col("score")))
 
 
 def shared_rare_terms(pairs: DataFrame, texts: DataFrame, keep: int = 3) -> DataFrame:
-    """pairs(g, a, b), texts(g, d, text) -> the ``keep`` rarest usable terms of each pair; (score, term, rank)."""
-    words = texts.select("g", "d", F.explode(F.array_distinct(T.query_tokens(F.col("text")))).alias("t")).filter(usable_term(F.col("t"))).distinct()
+    """pairs(g, a, b), texts(g, d, chunk_id, text) -> the ``keep`` rarest usable terms of each pair with the first chunk on both sides
+    that holds them; (g, a, b, t, score, rank, a_chunk, b_chunk).
+
+    Terms are folded to the first chunk of each document; one in a single document can't be shared and goes, like one in more than
+    a quarter of all. Only documents that are asked meet, and terms travel as numbers until they are chosen."""
+    words = texts.select("g", "d", "chunk_id", F.explode(F.array_distinct(T.query_tokens(F.col("text")))).alias("t")).groupBy("g", "d", "t").agg(F.min("chunk_id").alias("chunk"))
     n = texts.groupBy("g").agg(F.count_distinct("d").alias("n"))
-    df = words.groupBy("g", "t").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n), "g").filter(F.col("df") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.25)))
-    rare = words.join(df, ["g", "t"])
-    # Only terms of the asked pairs meet: first those of a, then the same term of b.
-    of_a = pairs.join(rare.withColumnRenamed("d", "a"), ["g", "a"])
-    both = of_a.join(rare.select("g", F.col("d").alias("b"), "t"), ["g", "b", "t"])
-    idf = F.log((F.col("n") + 1) / (F.col("df") + 1))
-    score = F.round(F.least(F.lit(1.0), idf / (F.log(F.col("n") + 1.0) * 0.85)), 6)
+    df = words.groupBy("g", "t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").join(n, "g")
+    df = df.filter((F.col("df") <= F.floor(F.col("n") * 0.25)) & usable_term(F.col("t")))
+    score = F.round(F.least(F.lit(1.0), F.log((F.col("n") + 1) / (F.col("df") + 1)) / (F.log(F.col("n") + 1.0) * 0.85)), 6)
+    asked = pairs.select("g", F.col("a").alias("d")).union(pairs.select("g", F.col("b"))).distinct()
+    rare = cut(words.join(df.select("g", "t", score.alias("score")), ["g", "t"]).join(asked, ["g", "d"], "left_semi"))
+    terms = rare.groupBy("g", "d").agg(F.collect_list(F.xxhash64("t")).alias("hs"))  # the terms of one document
+    hs = terms
+    both = pairs.join(hs.select("g", F.col("d").alias("a"), F.col("hs").alias("x")), ["g", "a"]).join(hs.select("g", F.col("d").alias("b"), F.col("hs").alias("y")), ["g", "b"])
+    shared = both.select("g", "a", "b", F.explode(F.array_intersect("x", "y")).alias("h"))
+    hit = rare.select("g", F.xxhash64("t").alias("h"), "t", "score").distinct()
     w = Window.partitionBy("g", "a", "b").orderBy(F.desc("score"), "t")
-    return both.select("g", "a", "b", F.col("t"), score.alias("score")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
+    top = shared.join(hit, ["g", "h"]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
+    sides = {s: rare.select("g", F.col("d").alias(s), "t", F.col("chunk").alias(f"{s}_chunk")) for s in ("a", "b")}
+    return top.join(sides["a"], ["g", "a", "t"]).join(sides["b"], ["g", "b", "t"]).select("g", "a", "b", "t", "score", "rank", "a_chunk", "b_chunk")
 
 
 def one_hop(scores: DataFrame, edges: DataFrame, damp: float = 0.72) -> DataFrame:
@@ -136,19 +146,37 @@ def document_groups(members: DataFrame, doc: list[str], claim: str) -> DataFrame
     return one.join(numbers, claim).select(*doc, claim, "supporters", "colour")
 
 
-def relocate(excerpts: DataFrame, chunks: DataFrame, doc: list[str], least: float = 0.72) -> DataFrame:
+def relocate(excerpts: DataFrame, chunks: DataFrame, doc: list[str], least: float = 0.72, block: int = 1024) -> DataFrame:
     """excerpts(key, doc, excerpt) -> (key, row_id, overlap, how): the chunk with the same hash, else the one of the same
-    document that overlaps most, if by ``least``."""
-    # Spaces are made regular and character pairs taken once per text, not once per pair of texts.
+    document that overlaps most, if by ``least``: 1 where it contains the excerpt, else the share of its character pairs.
+
+    A document's chunks are cut into blocks that each meet all of its excerpts; of an excerpt a block gives its best chunk only."""
     e = excerpts.withColumn("excerpt", T.squeeze(F.col("excerpt"))).withColumn("h", F.sha2("excerpt", 256))
-    c = chunks.select(*doc, "row_id", T.squeeze(F.col("text")).alias("text")).withColumn("h", F.sha2("text", 256))
-    same = e.join(c.select(*doc, "h", "row_id"), [*doc, "h"]).groupBy("key").agg(F.min("row_id").alias("row_id")).select("key", "row_id", F.lit(1.0).alias("overlap"), F.lit("hash").alias("how"))
-    left = e.join(same, "key", "left_anti").drop("h").withColumn("x", T.bigram_codes(F.col("excerpt")))
-    pairs = left.join(c.drop("h").withColumn("y", T.bigram_codes(F.col("text"))), doc)
-    inside = (F.length("excerpt") > 0) & F.contains("text", F.col("excerpt"))
-    share = F.when(inside, F.lit(1.0)).when(F.length("excerpt") < 2, F.lit(0.0)).otherwise(F.size(F.array_intersect("x", "y")) / F.size("x"))
-    rest = pairs.select("key", "row_id", F.round(share, 6).alias("overlap"))
-    near = rest.filter(F.col("overlap") >= least).groupBy("key").agg(F.max(F.struct("overlap", (-F.col("row_id")).alias("m"))).alias("b")).select("key", (-F.col("b.m")).alias("row_id"), "b.overlap", F.lit("overlap").alias("how"))
+    c = chunks.select(*doc, "row_id", T.squeeze(F.col("text")).alias("text"))
+    same = e.join(c.select(*doc, F.sha2("text", 256).alias("h"), "row_id"), [*doc, "h"]).groupBy("key").agg(F.min("row_id").alias("row_id")).select("key", "row_id", F.lit(1.0).alias("overlap"), F.lit("hash").alias("how"))
+    left = e.join(same, "key", "left_anti").filter(F.length("excerpt") > 0)
+    n = c.groupBy(*doc).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    ask = left.join(n, doc).select(*[F.col(k).alias(f"e_{k}") for k in doc], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("e_block"), "key", "excerpt")
+    hay = c.join(n, doc).join(left.select(*doc).distinct(), doc, "left_semi").withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int"))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        pairs = lambda s: {s[i : i + 2] for i in range(len(s) - 1)}
+        rows = sorted(zip(right["row_id"], right["text"]))
+        sets = [pairs(t) for _, t in rows]
+        out = []
+        for key, x in zip(left["key"], left["excerpt"]):
+            own, top = pairs(x), (0.0, None)
+            for (row, text), have in zip(rows, sets):
+                share = 1.0 if x in text else len(own & have) / len(own) if own else 0.0
+                if share > top[0]:
+                    top = (share, row)
+            if round(top[0], 6) >= least:
+                out.append((key, top[1], round(top[0], 6)))
+        return pd.DataFrame(out, columns=["key", "row_id", "overlap"])
+
+    kind = excerpts.schema["key"].dataType.simpleString()
+    near = ask.groupBy(*[f"e_{k}" for k in doc], "e_block").cogroup(hay.groupBy(*doc, "block")).applyInPandas(best, f"key {kind}, row_id long, overlap double")
+    near = near.groupBy("key").agg(F.max(F.struct("overlap", (-F.col("row_id")).alias("m"))).alias("b")).select("key", (-F.col("b.m")).alias("row_id"), "b.overlap", F.lit("overlap").alias("how"))
     return same.unionByName(near)
 
 

@@ -35,9 +35,9 @@ def concept_edges_orders(spark, d):
 
 
 def shared_rare_terms(spark, d):
-    pairs = G.concept_edges(_readings(spark, d), "library_id", "item_key", "concept_id").filter("shared >= 2").select("g", "a", "b")
-    texts = L.live_chunks(table(spark, d, "chunks")).filter(F.length("text") > 0).select(F.col("library_id").alias("g"), F.col("item_key").alias("d"), "text")
-    return G.shared_rare_terms(pairs, texts).select("g", "a", "b", "t", "score", "rank")
+    pairs = G.concept_edges(_readings(spark, d), "library_id", "item_key", "concept_id").select("g", "a", "b")
+    texts = L.live_chunks(table(spark, d, "chunks")).filter(F.length("text") > 0).select(F.col("library_id").alias("g"), F.col("item_key").alias("d"), "chunk_id", "text")
+    return G.shared_rare_terms(pairs, texts)
 
 
 def usable_terms(spark, d):
@@ -47,7 +47,7 @@ def usable_terms(spark, d):
 
 def graph_links(spark, d):
     """Edges between papers with the most specific concept they share."""
-    r, e = _readings(spark, d), G.concept_edges(_readings(spark, d), "library_id", "item_key", "concept_id").filter("score >= 4")
+    r, e = _readings(spark, d), G.concept_edges(_readings(spark, d), "library_id", "item_key", "concept_id")
     df = r.groupBy("library_id", "concept_id").agg(F.count(F.lit(1)).alias("df"))
     x = e.join(r.select(F.col("library_id").alias("g"), F.col("item_key").alias("a"), "concept_id"), ["g", "a"]).join(r.select(F.col("library_id").alias("g"), F.col("item_key").alias("b"), "concept_id"), ["g", "b", "concept_id"])
     x = x.join(df.withColumnRenamed("library_id", "g"), ["g", "concept_id"])
@@ -65,14 +65,6 @@ def one_hop(spark, d):
     return G.one_hop(t, e.select("a", "b")).select(F.col("node").alias("concept_id"), "score", "hop")
 
 
-def wiki_search(spark, d):
-    """Concepts by direct hit or one hop, then papers by their best concept."""
-    words = ["creep", "weld"]
-    t = table(spark, d, "wiki_concept_terms").select(F.col("concept_id").alias("node"), G.graph_score(F.concat_ws(" ", "name_en", "name_zh", "abbreviation"), words).alias("score")).filter("score > 0").groupBy("node").agg(F.max("score").alias("score"))
-    r = _readings(spark, d)
-    return r.join(t.withColumnRenamed("node", "concept_id"), "concept_id").groupBy(*KEY).agg(F.round(F.max("score"), 6).alias("score"), F.count(F.lit(1)).alias("concepts"))
-
-
 def primary_term(spark, d):
     return G.primary_terms(table(spark, d, "wiki_concept_terms")).select("concept_id", "term_id", "completeness")
 
@@ -198,7 +190,7 @@ def concepts_markdown(spark, d):
     return p.select("concept_id", F.concat(F.lit("- **"), "name_en", F.lit("**"), F.when(F.length("name_zh") > 0, F.concat(F.lit(" / "), "name_zh")).otherwise(""), F.when(F.length("abbreviation") > 0, F.concat(F.lit(" ("), "abbreviation", F.lit(")"))).otherwise("")).alias("line"))
 
 
-QUERIES = [concept_edges, concept_edges_orders, shared_rare_terms, usable_terms, graph_links, doc_groups, one_hop, wiki_search, primary_term, concept_match, name_classes, concept_text, term_reconciliation, merge_verdict, evidence_overview, summary_claims, link_status, link_stats, neighbors, relocate, link_scan, link_scores, representatives, concepts_markdown]
+QUERIES = [concept_edges, concept_edges_orders, shared_rare_terms, usable_terms, graph_links, doc_groups, one_hop, primary_term, concept_match, name_classes, concept_text, term_reconciliation, merge_verdict, evidence_overview, summary_claims, link_status, link_stats, neighbors, relocate, link_scan, link_scores, representatives, concepts_markdown]
 
 _q = lambda xs: ", ".join("'" + x + "'" for x in xs)
 _R = "r AS (SELECT DISTINCT s.library_id, string_split(item_key, ':')[-1] AS item_key, concept_id FROM wiki_concept_term_sources s JOIN wiki_concept_terms USING (term_id) WHERE s.library_id IS NOT NULL AND item_key <> '')"
@@ -231,17 +223,16 @@ reps AS (SELECT library_id, item_key, r.id, r.pos FROM (SELECT library_id, item_
 SQL = {
     "concept_edges": f"{_E} SELECT g AS library_id, a, b, score, shared, least(3.0, 1 + score) AS strength FROM ed",
     "concept_edges_orders": f"WITH rr AS (SELECT DISTINCT 1 AS g, l_orderkey AS d, l_partkey AS c FROM lineitem), {_EDGE("rr", 40)} SELECT a, b, score, shared FROM ed WHERE shared >= 2",
-    "shared_rare_terms": f"""{_E}, {duck.LIVE}, tx AS (SELECT library_id AS g, item_key AS d, text FROM chunks_ WHERE length(text) > 0), w0 AS (SELECT DISTINCT g, d, unnest({_QT('text')}) AS t FROM tx), wd AS (SELECT * FROM w0 WHERE {_USE}),
-n2 AS (SELECT g, count(DISTINCT d) AS n FROM tx GROUP BY g), f2 AS (SELECT g, t, count(*) AS df FROM wd GROUP BY ALL), ra AS (SELECT g, d, t, n, df FROM wd JOIN f2 USING (g, t) JOIN n2 USING (g) WHERE df <= greatest(1, floor(n * 0.25))),
-bo AS (SELECT e.g, e.a, e.b, x.t, round(least(1.0, ln((x.n + 1) / (x.df + 1)) / (ln(x.n + 1.0) * 0.85)), 6) AS score FROM ed e JOIN ra x ON x.g = e.g AND x.d = e.a JOIN ra y ON y.g = e.g AND y.d = e.b AND y.t = x.t WHERE shared >= 2)
-SELECT *, row_number() OVER (PARTITION BY g, a, b ORDER BY score DESC, t) AS rank FROM bo QUALIFY rank <= 3""",
+    "shared_rare_terms": f"""{_E}, {duck.LIVE}, tx AS (SELECT library_id AS g, item_key AS d, chunk_id, text FROM chunks_ WHERE length(text) > 0), w0 AS (SELECT g, d, t, min(chunk_id) AS chunk FROM (SELECT g, d, chunk_id, unnest({_QT('text')}) AS t FROM tx) GROUP BY ALL), wd AS (SELECT * FROM w0 WHERE {_USE}),
+n2 AS (SELECT g, count(DISTINCT d) AS n FROM tx GROUP BY g), f2 AS (SELECT g, t, count(*) AS df FROM wd GROUP BY ALL), ra AS (SELECT g, d, t, chunk, n, df FROM wd JOIN f2 USING (g, t) JOIN n2 USING (g) WHERE df <= greatest(1, floor(n * 0.25))),
+bo AS (SELECT e.g, e.a, e.b, x.t, round(least(1.0, ln((x.n + 1) / (x.df + 1)) / (ln(x.n + 1.0) * 0.85)), 6) AS score, x.chunk AS a_chunk, y.chunk AS b_chunk FROM ed e JOIN ra x ON x.g = e.g AND x.d = e.a JOIN ra y ON y.g = e.g AND y.d = e.b AND y.t = x.t)
+SELECT g, a, b, t, score, row_number() OVER (PARTITION BY g, a, b ORDER BY score DESC, t) AS rank, a_chunk, b_chunk FROM bo QUALIFY rank <= 3""",
     "usable_terms": f"SELECT DISTINCT t FROM (SELECT unnest({_QT('text')}) AS t FROM documents) WHERE {_USE}",
-    "graph_links": f"""{_E}, f1 AS (SELECT library_id, concept_id, count(*) AS df FROM r GROUP BY ALL), j AS (SELECT e.g, e.a, e.b, x.concept_id, df FROM ed e JOIN r x ON x.library_id = e.g AND x.item_key = e.a JOIN r y ON y.library_id = e.g AND y.item_key = e.b AND y.concept_id = x.concept_id JOIN f1 ON f1.library_id = e.g AND f1.concept_id = x.concept_id WHERE score >= 4)
+    "graph_links": f"""{_E}, f1 AS (SELECT library_id, concept_id, count(*) AS df FROM r GROUP BY ALL), j AS (SELECT e.g, e.a, e.b, x.concept_id, df FROM ed e JOIN r x ON x.library_id = e.g AND x.item_key = e.a JOIN r y ON y.library_id = e.g AND y.item_key = e.b AND y.concept_id = x.concept_id JOIN f1 ON f1.library_id = e.g AND f1.concept_id = x.concept_id)
 SELECT g AS library_id, a, b, arg_min(concept_id, (df, concept_id)) AS concept_id, count(*) AS common FROM j GROUP BY ALL""",
     "doc_groups": f"WITH {_R}, n AS (SELECT concept_id, count(DISTINCT (library_id, item_key)) AS supporters FROM r GROUP BY 1), o AS (SELECT library_id, item_key, concept_id, supporters FROM r JOIN n USING (concept_id) QUALIFY row_number() OVER (PARTITION BY library_id, item_key ORDER BY supporters, concept_id) = 1) SELECT *, dense_rank() OVER (ORDER BY concept_id) - 1 AS colour FROM o",
     "one_hop": f"""WITH {_R}, rr AS (SELECT DISTINCT 0 AS g, concept_id AS d, library_id || ':' || item_key AS c FROM r), {_EDGE('rr', 30)}, s AS (SELECT DISTINCT concept_id AS node FROM wiki_concept_terms WHERE contains(lower(name_en), 'creep')),
 al AS (SELECT node, 1.0::double AS score, 0 AS hop FROM s UNION ALL SELECT b, 0.72, 1 FROM ed JOIN s ON s.node = a UNION ALL SELECT a, 0.72, 1 FROM ed JOIN s ON s.node = b) SELECT node AS concept_id, round(max(score), 6) AS score, arg_min(hop, -score) AS hop FROM al GROUP BY 1""",
-    "wiki_search": f"WITH {_R}, t AS (SELECT concept_id, max(((CASE WHEN contains(x, 'creep') THEN 1 ELSE 0 END) + (CASE WHEN contains(x, 'weld') THEN 1 ELSE 0 END)) / 2) AS score FROM (SELECT concept_id, lower(concat_ws(' ', name_en, name_zh, abbreviation)) AS x FROM wiki_concept_terms) GROUP BY 1) SELECT library_id, item_key, round(max(score), 6) AS score, count(*) AS concepts FROM r JOIN t USING (concept_id) WHERE score > 0 GROUP BY ALL",
     "primary_term": f"WITH {_PT} SELECT concept_id, term_id, completeness FROM pt",
     "concept_match": f"WITH {_CM} SELECT * FROM cm",
     "name_classes": f"""WITH n AS (SELECT DISTINCT unnest([canonical_name, alias_text, abbr]) AS n FROM wiki_concept_inputs), k AS (SELECT n, CASE WHEN regexp_matches(n, '[{T.HAN}]') THEN 'zh' WHEN regexp_matches(n, '^[A-Z][A-Z0-9-]{{1,9}}$') THEN 'abbreviation' ELSE 'en' END AS kind, length(regexp_replace(regexp_replace(n, '[ \\t\\n\\x0B\\f\\r]', '', 'g'), '[A-Za-z0-9]+', 'a', 'g')) AS u FROM n WHERE n <> '') SELECT kind, count(*) AS n, sum(u)::bigint AS units FROM k GROUP BY 1""",
