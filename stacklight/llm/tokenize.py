@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stacklight.llm.common import keep_columns
+from stacklight.llm.common import cut, keep_columns
 from stacklight.sources.tables import spread
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -69,10 +69,13 @@ def encode_table(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = f"id {kind.simpleString()}, ids array<int>"
     is_long = F.length("text") > chunk
     short = docs.filter(~is_long).mapInArrow(whole, schema)
-    pieces = _pieces(docs.filter(is_long), chunk, overlap, edge, kind.simpleString())
+    long = cut(docs.filter(is_long))
+    if long.isEmpty():
+        return short.withColumnRenamed("id", id_col)
+    pieces = _pieces(long, chunk, overlap, edge, kind.simpleString())
     encoded = pieces.mapInArrow(lambda it: _encode_pieces(it, name, folder), f"id {kind.simpleString()}, start long, ids array<int>")
-    long = encoded.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return short.unionByName(long).withColumnRenamed("id", id_col)
+    joined = encoded.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return short.unionByName(joined).withColumnRenamed("id", id_col)
 
 
 def _encode_pieces(batches: Iterator[pa.RecordBatch], name: str, folder: str) -> Iterator[pa.RecordBatch]:
@@ -89,10 +92,16 @@ def boundaries(text: str) -> list[int]:
 
 def _pieces(docs: DataFrame, chunk: int, overlap: int, edge: int, kind: str) -> DataFrame:
     """(id, start, text): the pieces of long texts between stitches."""
-    last = F.floor((F.length("text") - 1) / F.lit(chunk))
-    cuts = docs.select("id", F.col("text"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k"))
-    chunks = cuts.select("id", "k", F.substring(F.col("text"), (F.col("k") * chunk + 1).cast("int"), F.lit(chunk + overlap)).alias("text"), (F.col("k") == last).alias("is_last"))
-    chunks = chunks.repartition("id", "k")
+
+    def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One row at a time, so that a text is cut in one pass and never held twice."""
+        for pdf in batches:
+            for i, text in zip(pdf["id"], pdf["text"]):
+                n = (len(text) - 1) // chunk
+                for k in range(n + 1):
+                    yield pd.DataFrame({"id": [i], "k": [k], "text": [text[k * chunk : (k + 1) * chunk + overlap]], "is_last": [k == n]})
+
+    chunks = docs.mapInPandas(chunked, f"id {kind}, k long, text string, is_last boolean").repartition("id", "k")
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Boundaries of the chunk in the overlap with the chunk before (head) and after (tail), in the text's offsets."""
@@ -111,10 +120,28 @@ def _pieces(docs: DataFrame, chunk: int, overlap: int, edge: int, kind: str) ->
     broken = stitch.filter(F.col("at").isNull()).groupBy("id").agg(F.min("k").alias("from_k"))
     good = stitch.join(broken, "id", "left").filter(F.col("at").isNotNull() & (F.col("from_k").isNull() | (F.col("k") < F.col("from_k"))))
     starts = good.groupBy("id").agg(F.array_sort(F.collect_list("at")).alias("ats"))
-    spans = docs.join(starts, "id", "left").select("id", "text", F.concat(F.array(F.lit(0).cast("long")), F.coalesce("ats", F.array().cast("array<bigint>"))).alias("ats"))
-    one = spans.select("id", "text", "ats", F.posexplode("ats").alias("j", "start"))
-    end = F.coalesce(F.try_element_at("ats", F.col("j") + 2), F.length("text").cast("long"))
-    return one.select("id", "start", F.substring(F.col("text"), (F.col("start") + 1).cast("int"), (end - F.col("start")).cast("int")).alias("text")).repartition("id", "start")
+    spans = docs.join(starts, "id", "left").select("id", "text", F.coalesce("ats", F.array().cast("array<bigint>")).alias("ats"))
+
+    def sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i, text, ats in zip(pdf["id"], pdf["text"], pdf["ats"]):
+                cuts = [0, *(int(a) for a in ats), len(text)]
+                for a, z in zip(cuts, cuts[1:]):
+                    yield pd.DataFrame({"id": [i], "start": [a], "text": [text[a:z]]})
+
+    return spans.mapInPandas(sliced, f"id {kind}, start long, text string").repartition("id", "start")
+
+
+def count_tokens(enc, text: str, chunk: int = CHUNK) -> int:
+    """The number of ids of a text; a long one is encoded in runs of whole pre-tokens, so that memory doesn't grow with it."""
+    if len(text) <= chunk:
+        return len(enc.encode_ordinary(text))
+    total = start = 0
+    for m in _splitter().finditer(text):
+        if m.end() - start >= chunk:
+            total += len(enc.encode_ordinary(text[start : m.end()]))
+            start = m.end()
+    return total + len(enc.encode_ordinary(text[start:]))
 
 
 def token_counts(rows: DataFrame, *keep: str, text_col: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
@@ -124,7 +151,7 @@ def token_counts(rows: DataFrame, *keep: str, text_col: str = "text", name: str
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(name, folder)
         for b in batches:
-            n = pa.array([len(enc.encode_ordinary(t)) for t in b.column(text_col).to_pylist()], pa.int64())
+            n = pa.array([count_tokens(enc, t) for t in b.column(text_col).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], n], [*keep, "n_tokens"])
 
     kinds = ", ".join(f"`{k}` {src.schema[k].dataType.simpleString()}" for k in keep)
