@@ -34,7 +34,7 @@ EPS = 1e-9
 
 
 def source_label(c: Column) -> Column:
-    return F.lower(F.trim(c))
+    return F.lower(F.btrim(c, F.lit(" \t\r\n")))
 
 
 def allot(available: dict[str, int], targets: dict[str, tuple[float, int]], budget: int | None = None) -> dict[str, float]:
@@ -90,9 +90,9 @@ def _uniform(*cols: Column) -> Column:
 
 
 def pivotal_rounding(rows: DataFrame, bucket: int = BUCKET, seed: int = SEED) -> DataFrame:
-    """rows(source, doc_id, size, p) -> (source, doc_id, size, chosen int). The tree has log_bucket(rows) levels."""
+    """rows(source, doc_id, size, base, p) -> (source, doc_id, size, base, chosen int). The tree has log_bucket(rows) levels."""
     done, level = None, 0
-    current = rows.select("source", "doc_id", "size", "p")
+    current = rows.select("source", "doc_id", "size", "base", "p")
     while True:
         counts = {r["source"]: r["n"] for r in current.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per target source
         last = all(n <= bucket for n in counts.values())
@@ -109,11 +109,11 @@ def pivotal_rounding(rows: DataFrame, bucket: int = BUCKET, seed: int = SEED) ->
             if final:
                 open_ = (p > 0) & (p < 1)
                 p[open_] = (pdf["u"].to_numpy()[::-1][open_[::-1]] < p[open_]).astype(float)
-            return pd.DataFrame({"source": pdf["source"], "doc_id": pdf["doc_id"], "size": pdf["size"], "p": p})
+            return pd.DataFrame({"source": pdf["source"], "doc_id": pdf["doc_id"], "size": pdf["size"], "base": pdf["base"], "p": p})
 
         keyed = current.select("*", b.alias("bucket"), _uniform(F.col("doc_id"), F.lit(seed), F.lit(level), F.lit("u")).alias("u"))
         kind = rows.schema["doc_id"].dataType.simpleString()
-        ran = cut(keyed.groupBy("source", "bucket").applyInPandas(run, f"source string, doc_id {kind}, size long, p double"))
+        ran = cut(keyed.groupBy("source", "bucket").applyInPandas(run, f"source string, doc_id {kind}, size long, base int, p double"))
         whole = ran.filter((F.col("p") <= 0) | (F.col("p") >= 1))
         done = whole if done is None else done.unionByName(whole)
         if last:
@@ -121,7 +121,7 @@ def pivotal_rounding(rows: DataFrame, bucket: int = BUCKET, seed: int = SEED) ->
         current, level = ran.filter((F.col("p") > 0) & (F.col("p") < 1)), level + 1
     if done is None:
         done = current
-    return done.select("source", "doc_id", "size", F.col("p").cast("int").alias("chosen"))
+    return done.select("source", "doc_id", "size", "base", F.col("p").cast("int").alias("chosen"))
 
 
 def mixture(documents: DataFrame, targets: DataFrame, budget: int | None = None, name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, bucket: int = BUCKET, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -142,9 +142,10 @@ def mixture(documents: DataFrame, targets: DataFrame, budget: int | None = None,
         x = F.create_map(*[v for s, r in rate.items() for v in (F.lit(s), F.lit(float(r)))])[F.col("source")]
         at = counted.filter(F.col("source").isin([*rate])).withColumn("x", x).withColumn("base", F.floor(F.col("x") + EPS).cast("int"))
         at = at.withColumn("p", F.greatest(F.lit(0.0), F.col("x") - F.col("base")))
-        fraction = at.filter(F.col("p") > EPS).select("source", "doc_id", F.col("n_tokens").alias("size"), "p")
-        chosen = pivotal_rounding(fraction, bucket, seed).select("doc_id", "chosen")
-        mixed = at.join(chosen, "doc_id", "left").select("doc_id", "source", "n_tokens", (F.col("base") + F.coalesce("chosen", F.lit(0))).alias("copies")).filter("copies > 0")
+        # Certain copies travel with the fraction, so nothing is joined afterwards.
+        rounded = pivotal_rounding(at.filter(F.col("p") > EPS).select("source", "doc_id", F.col("n_tokens").alias("size"), "base", "p"), bucket, seed)
+        mixed = rounded.select("doc_id", "source", F.col("size").alias("n_tokens"), (F.col("base") + F.col("chosen")).alias("copies"))
+        mixed = mixed.unionByName(at.filter(F.col("p") <= EPS).select("doc_id", "source", "n_tokens", F.col("base").alias("copies"))).filter("copies > 0")
     else:
         mixed = counted.select("doc_id", "source", "n_tokens", F.lit(0).alias("copies")).filter("copies > 0")
     reached = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"), F.count(F.lit(1)).alias("documents_used"), F.max("copies").alias("most_copies"))

@@ -269,6 +269,12 @@ def test_tokens(spark, chunk):
     assert tokenize.encode_table(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", TEXTS)
+def test_counting_in_runs(text):
+    enc = tokenize.encoder()
+    assert all(tokenize.count_tokens(enc, text or "", n) == len(enc.encode_ordinary(text or "")) for n in (1, 7, 100, 10_000))
+
+
 def test_tokens_equal_the_other_library():
     from tokenizers import Tokenizer
 
