@@ -22,9 +22,21 @@ CORE = "A-Za-z0-9À-ɏͰ-Ͽ"
 LATIN_TOKEN = rf"[{CORE}]+(?:['\-_./][{CORE}]+)*'*"
 
 
+def _compatible() -> tuple[str, str]:
+    """Characters of the basic plane whose compatibility form is one other character, and these forms; built from the rule."""
+    pairs = [(c, n) for c in map(chr, [*range(0xA0, 0xD800), *range(0xE000, 0x10000)]) if len(n := unicodedata.normalize("NFKC", c)) == 1 and n != c and c not in DASHES + PRIMES]
+    return "".join(c for c, _ in pairs), "".join(n for _, n in pairs)
+
+
+# What folding replaces, character by character: compatibility forms, dashes, primes.
+_from, _to = _compatible()
+_to = _to.translate(str.maketrans({**dict.fromkeys(DASHES, "-"), **dict.fromkeys(PRIMES, "'")}))
+FOLD_FROM, FOLD_TO = _from + DASHES + PRIMES, _to + "-" * len(DASHES) + "'" * len(PRIMES)
+
+
 def fold(text: Column) -> Column:
-    """Dashes, primes and case folded (no compatibility forms: see ``nfkc``)."""
-    return F.lower(F.translate(text, DASHES + PRIMES, "-" * len(DASHES) + "'" * len(PRIMES)))
+    """Compatibility forms of one character, dashes, primes and case folded (forms of several characters: see ``nfkc``)."""
+    return F.lower(F.translate(text, FOLD_FROM, FOLD_TO))
 
 
 def has_han(text: Column) -> Column:
@@ -178,19 +190,6 @@ def quality(text: Column) -> Column:
     return F.when(F.length(F.trim(text)) == 0, 0).otherwise(F.greatest(score, F.lit(0)))
 
 
-def html_to_text(html: Column) -> Column:
-    """Scripts, styles and comments dropped; breaks and blocks to line ends; list items to bullets; tags off; entities back."""
-    t = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</(?:script|style|noscript)>|<!--.*?-->", "")
-    t = F.regexp_replace(t, r"(?i)<br\s*/?>", "\n")
-    t = F.regexp_replace(t, r"(?i)<li\b[^>]*>", "\n- ")
-    t = F.regexp_replace(t, r"(?i)</?(?:p|div|section|article|ul|ol|table|tr|h[1-6]|blockquote)\b[^>]*>", "\n\n")
-    t = F.regexp_replace(t, r"<[^>]+>", "")
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(a), F.lit(b))
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" *\n *", "\n")
-    return F.btrim(F.regexp_replace(t, r"\n{3,}", "\n\n"), F.lit(" \n"))
-
-
 def pdf_clean(text: Column) -> Column:
     """Hyphenated line ends joined, single line ends unwrapped, odd spaces made plain."""
     t = F.regexp_replace(text, "[\\u00a0\\u2000-\\u200b]", " ")

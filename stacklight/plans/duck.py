@@ -3,8 +3,7 @@
 from stacklight.functions import text as T
 
 Q = "''"
-PAIRS = T.DASHES + T.PRIMES
-FOLDED = "-" * len(T.DASHES) + Q * len(T.PRIMES)
+PAIRS, FOLDED = T.FOLD_FROM.replace("'", Q), T.FOLD_TO.replace("'", Q)
 
 
 def fold(x: str) -> str:

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import functions as F
 
 from stacklight.functions import text as T
+from stacklight.operators import measures as X
+from stacklight.operators import pages as H
 from stacklight.operators import sections as S
 from stacklight.operators import textprep as P
 from stacklight.plans import duck
@@ -26,9 +28,15 @@ def text_quality(spark, d):
 
 
 def html_to_text(spark, d):
-    """Texts wrapped as pages and read back: headings, lists, entities and scripts."""
-    page = F.concat(F.lit("<html><head><style>p{a:b}</style><script>var x = 1;</script></head><body><h1>"), F.col("doc_id").cast("string"), F.lit("</h1><ul><li>one</li><li>two &amp; three</li></ul><p>"), F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</p><!-- end --></body></html>"))
-    return _docs(spark, d).select("doc_id", F.md5(T.html_to_text(page)).alias("digest"), F.length(T.html_to_text(page)).alias("n"))
+    """Texts wrapped as pages and read back: headings, emphasis, lists, entities and scripts."""
+
+    def f(s):
+        from html import escape
+
+        page = f"<html><head><style>p{{a:b}}</style><script>var x = 1;</script></head><body><h1>Title</h1><ol><li>one</li><li>two &amp; <b>three</b></li></ol><p>{escape(s)}</p><!-- end --></body></html>"
+        return [(H.page_text(page),)]
+
+    return P.table_of(_docs(spark, d), ["doc_id"], "text", f, "page string")
 
 
 def pdf_cleanup(spark, d):
@@ -44,7 +52,8 @@ def token_estimate(spark, d):
 
 
 def redact_paths(spark, d):
-    t = F.concat(F.lit("see /home/ann/a b.txt, C:\\\\Users\\\\ann\\\\x.pdf and https://example.org/Users/ann/1 or /data/p"), F.col("doc_id").cast("string"), F.lit("/a.pdf; and/or 10.1/x"))
+    """The whole text behind a sentence that names local paths and addresses."""
+    t = F.concat(F.lit("see /home/ann/a b.txt, C:\\\\Users\\\\ann\\\\x.pdf and https://example.org/Users/ann/1 or /data/p"), F.col("doc_id").cast("string"), F.lit("/a.pdf; and/or 10.1/x "), F.translate("text", "/:\\", "   "))
     return _docs(spark, d).select("doc_id", T.redact(t).alias("t"))
 
 
@@ -152,14 +161,17 @@ def containment(spark, d):
 
 
 def measurements(spark, d):
-    return _docs(spark, d).select("doc_id", F.array_join(T.measurements(F.col("text")), "|").alias("values"))
+    return P.table_of(_docs(spark, d), ["doc_id"], "text", lambda s: [("|".join(X.measured_values(s)),)], "values string")
 
 
 def measurement_landing(spark, d):
     """Distinct values of a text, and how many of them its second half has."""
-    half = F.substring(F.col("text"), (F.length("text") / 2).cast("int") + 1, F.length("text"))
-    m = T.measurements(F.col("text"))
-    return _docs(spark, d).select("doc_id", F.size(m).alias("n"), F.size(F.array_intersect(m, T.measurements(half))).alias("landed"))
+
+    def f(s):
+        whole, half = X.measured_values(s), set(X.measured_values(s[len(s) // 2 :]))
+        return [(len(whole), sum(v in half for v in whole))]
+
+    return P.table_of(_docs(spark, d), ["doc_id"], "text", f, "n int, landed int")
 
 
 def citations(spark, d):
@@ -186,7 +198,7 @@ SELECT doc_id, CASE WHEN length(trim(t, ' ')) = 0 THEN 0 ELSE greatest(0, 100 -
 SELECT doc_id, CASE WHEN r > 0 AND h / r > 0.3 THEN 'zh' ELSE 'en' END AS chunk_lang, CASE WHEN starts_with(g, 'zh') THEN 'zh' WHEN starts_with(g, 'en') THEN 'en' WHEN h = 0 THEN 'en' WHEN h * 2 >= a THEN 'zh' ELSE 'en' END AS document_lang FROM c""",
     "token_estimate": f"WITH {_D} SELECT doc_id, ceil({_han('text')} * 1.5 + (length(text) - {_han('text')}) / 4)::bigint AS tokens FROM d",
     "pdf_cleanup": f"WITH {_D} SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\\x{{00a0}}\\x{{2000}}-\\x{{200b}}]', ' ', 'g'), '(\\w)-\\n(\\w)', '\\1\\2', 'g'), '([^\\n])\\n([^\\n])', '\\1 \\2', 'g'), '[ \\t]+', ' ', 'g'), ' ')) AS digest FROM d",
-    "redact_paths": f"WITH {_D} SELECT doc_id, 'see [local path] b.txt, [local path] and https://example.org/Users/ann/1 or [local path]; and/or 10.1/x' AS t FROM d",
+    "redact_paths": f"WITH {_D} SELECT doc_id, 'see [local path] b.txt, [local path] and https://example.org/Users/ann/1 or [local path]; and/or 10.1/x ' || translate(text, '/:\\', '   ') AS t FROM d",
     "text_hash": f"WITH {_D} SELECT doc_id, sha256({_sq}) AS sha, md5(text) AS md5 FROM d",
     "grep_counts": f"WITH {_D}, g AS (SELECT *, instr(lower(text), 'viscosity') AS k FROM d WHERE contains(lower(text), 'viscosity')) SELECT doc_id, (length(text) - length(replace(lower(text), 'viscosity', ''))) // 9 AS hits, (CASE WHEN k > 51 THEN '...' ELSE '' END) || substr(text, greatest(k - 50, 1), least(k - 1, 50) + 59) AS snippet FROM g",
     "bigram_overlap": f"""WITH {_D}, e AS (SELECT doc_id, substr(text, 1, 80) AS a, substr(text, length(text) // 2 + 1) AS b FROM d WHERE length(text) > 200),
@@ -200,4 +212,10 @@ SELECT library_id, item_key, round(sum(least(n, coalesce(m, 0))) / sum(n), 6) AS
     "boilerplate_chunks": """SELECT row_id FROM (SELECT row_id, text, regexp_replace(string_split(trim(text), chr(10))[1], '^\\s*(?:>+\\s*)?(?:#{1,6}\\s*)?(?:[-*+]\\s+)?(?:\\d+[.)]\\s+)?[*_~`\\s]*', '') AS line FROM chunks WHERE length(text) > 0)
 WHERE regexp_matches(line, '""" + T.BOILERPLATE + """') OR (len(regexp_extract_all(text, '\\[\\d{1,3}\\]')) >= 5 AND len(regexp_extract_all(text, '\\[\\d{1,3}\\]')) / (greatest(length(text), 1) / 200) >= 3)
  OR (len(regexp_extract_all(text, '\\(?(?:19|20)\\d{2}[)a-z]?')) >= 6 AND len(regexp_extract_all(text, '(?i)et al\\.?')) >= 3)""",
+    "fulltext_grep": f"""WITH {_D}, g AS (SELECT doc_id, text, string_split(lower(text), 'viscosity') AS ps FROM d WHERE contains(lower(text), 'viscosity')),
+k AS (SELECT doc_id, text, len(ps) - 1 AS hits, unnest(range(0, least(10, len(ps) - 1))) AS k, ps FROM g), p AS (SELECT *, (list_sum(list_transform(ps[1:k + 1], lambda x: length(x))) + 9 * k)::int AS position FROM k)
+SELECT doc_id, hits, k, position, substr(text, greatest(0, position - 200) + 1, position + 209 - greatest(0, position - 200)) AS context FROM p""",
+    "repeated_lines": f"""WITH {_D}, l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM d), u AS (SELECT doc_id, unnest(list_transform(ls, lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)))) AS x FROM l), r AS (SELECT doc_id, list(x) AS xs FROM (SELECT doc_id, x FROM u WHERE length(x) BETWEEN 6 AND 99 GROUP BY ALL HAVING count(*) > 3) GROUP BY 1),
+k AS (SELECT doc_id, text, ls, list_filter(ls, lambda x: NOT list_contains(coalesce(xs, []), trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)))) AS kept FROM l LEFT JOIN r USING (doc_id))
+SELECT doc_id, CASE WHEN len(kept) < 0.9 * len(ls) THEN length(text) - length(array_to_string(kept, chr(10))) ELSE 0 END AS removed FROM k""",
 }

@@ -15,6 +15,8 @@ from stacklight.operators import graph as G
 from stacklight.operators import lexical as L
 from stacklight.operators import links as K
 from stacklight.operators import maintenance as M
+from stacklight.operators import measures as ME
+from stacklight.operators import pages as PG
 from stacklight.operators import sections as SE
 from stacklight.operators import structured as S
 from stacklight.operators import textprep as P
@@ -258,7 +260,7 @@ def test_text_helpers(spark):
     assert one(spark, T.redact(F.lit("at /home/u/x.pdf, https://h/home/u and C:\\a\\b"))) == "at [local path], https://h/home/u and [local path]"
     assert one(spark, T.citations(F.lit("[chunk:12], chunks 14-16、18; chunks 9-3; 第7段"))) == [7, 12, 14, 15, 16, 18]
     assert one(spark, T.measurements(F.lit("at 007 MPa and 3.5 mm, 12 mAx"))) == ["7MPa", "3.5mm"]
-    assert one(spark, T.html_to_text(F.lit("<style>x</style><p>a &amp; b</p><ul><li>c</ul><!-- d -->"))) == "a & b\n\n- c"
+    assert PG.page_text("<style>x</style><p>a &amp; b</p><ul><li>c</ul><!-- d -->") == "a & b\n\n• c"
     assert one(spark, T.bigram_overlap(F.lit("abcd"), F.lit("xxabcdxx"))) == 1 and one(spark, T.bigram_overlap(F.lit("abcd"), F.lit("abxcd"))) == pytest.approx(2 / 3)
     for head, skip in (("References", True), ("致谢", True), ("## References", True), ("Referencesx", False), ("ordinary prose", False)):
         assert one(spark, T.boundary(F.lit(head + "\nx"))) is skip
@@ -414,3 +416,26 @@ def test_text_window_walks_the_whole_text(spark, tmp_path):
     spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(registry.queries()["text_window"](spark, str(tmp_path)).collect(), key=lambda r: r["stop"])
     assert len(got) > 2 and "".join(r["part"] for r in got) == text and got[-1]["stop"] == len(text)
+
+
+def test_pages():
+    html = "<style>x</style><h2 class='a'>He<b>ad</b></h2><p>a &amp; <em>b</em><br/>c</p><ul><li>x<li>y</ul><ol><li>one</li><li>two<ol><li>in</li></ol></li></ol><!-- no --><script>if (a < b) {}</script>end"
+    assert PG.page_text(html) == "## He**ad**\n\na & *b*\nc\n\n• x\n• y\n\n1. one\n2. two\n\n1. in\n\nend"
+    assert PG.page_text(html, markdown=False).startswith("Head\n\na & b") and PG.page_text("") == "" and PG.page_text("<p>open") == "open"
+    assert PG.wrapped("aa bb cc\ndddddd e", 5) == "aa bb\ncc\ndddddd\ne"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("at 1750 K and 0.1 MPa", ["1750", "0.1"]), ("$3 5 0 ~ ^ { \\circ } \\mathrm { C }$", ["350"]), ("Pressure (MPa) 0.1(atm) 25 50 75 in", ["0.1", "25", "50", "75"]), ("| a | 12 | 3.5 |", ["12", "3.5"]),
+        ("8.56 ± 0.2 wt. % of it", ["8.56"]), ("007 s, 12 mAx, 5 kgx, in 2019", ["7"]), ("$0. 1$ m / s", ["0.1"]), ("costs $5 and 3 h", ["3"]), ("", []), ("10 \\mu m wide", []),
+    ],
+)
+def test_measured_values(text, want):
+    assert ME.measured_values(text) == want
+
+
+def test_compatibility_forms(spark):
+    assert one(spark, T.fold(F.col("t")), t="Ｔｉ－６Ａｌ　ﾃｽﾄ ℃ ª ″") == "ti-6al テスト ℃ a '" 
+    assert one(spark, T.fold(F.col("t")), t="ＧＲＡＩＮ") == L.fold("ＧＲＡＩＮ")
