@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stacklight.plans import fusion, graph, lexical, maintenance, notes, streaming, structured, textprep, vectors, wiki
+from stacklight.plans import extras, fusion, graph, lexical, maintenance, notes, streaming, structured, textprep, vectors, wiki
 
-MODULES = (lexical, vectors, fusion, structured, textprep, graph, notes, wiki, maintenance, streaming)
+MODULES = (lexical, vectors, fusion, structured, textprep, graph, notes, wiki, extras, maintenance, streaming)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
