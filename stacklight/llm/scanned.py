@@ -8,8 +8,9 @@ decisions are joins and aggregates over all rows:
 * folio: a page number in a line of its own, which a series of numbers is not, or at an end of a header;
 * hyphen: a word parted at a line end whose joined form is more frequent in the corpus than its hyphenated form;
 * glyph: words are grouped by their confusable-glyph skeleton; a word far rarer than the most frequent form of its group
-  is misread. Han characters have no word groups: a confusable character is misread if its neighbours go far more often
-  with its counterpart. A second pass gives only words that could be doubted or contested ones: it is told by two bit sets
+  is misread. Han characters have no word groups: which of them are taken for which is learnt from all texts (a character that
+  mostly stands where another is far more frequent) and known for a few look-alikes; such a character is misread if its
+  neighbours go far more often with its counterpart. A second pass gives only words that could be doubted or contested ones: it is told by two bit sets
   of bounded size, which let all of these words through and few others; the others go in the joins that follow.
 
 Cases: null and empty texts have no noise; a text without line breaks can have glyph noise only; repeated rows are judged
@@ -22,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,7 @@ from stacklight.sources.tables import spread
 # Glyphs that scanners confuse. Every form is spelled out to the same strokes, so that "m" and "rn", or "u" and
 # "ii", become one string wherever they stand.
 STROKES = (("ç", "c"), ("e", "c"), ("f", "t"), ("1", "l"), ("i", "l"), ("|", "l"), ("!", "l"), ("0", "o"), ("5", "s"), ("6", "b"), ("8", "b"), ("q", "g"), ("9", "g"), ("m", "rrl"), ("n", "rl"), ("w", "vv"), ("d", "cl"), ("u", "ll"), ("h", "ll"))
+# Look-alikes that are asked about in any corpus, however small.
 HAN = (("品", "晶"), ("科", "料"), ("粕", "粒"), ("摸", "模"), ("簿", "薄"), ("折", "析"), ("末", "未"), ("己", "已"), ("日", "曰"), ("土", "士"), ("人", "入"), ("干", "千"), ("抉", "快"), ("侯", "候"), ("戊", "戌"))
 
 BITS_A_WORD, BITS_MOST = 12, 1 << 27
@@ -43,12 +46,15 @@ KNOWN = 300_000
 """Words that a worker remembers to have looked up."""
 RARER = 8
 """A form is misread if another form of its group is at least so many times as frequent."""
+HAN_SHARE, HAN_CONTEXTS = 0.25, 3
+"""Share of a character's places, and distinct neighbourhoods, where another must be ``RARER`` times as frequent, for it to be taken for that one."""
 RECUR = 3
 """Rows in which a header's key has to stand where neither title nor journal is known to match."""
 
 _strokes = str.maketrans(dict(STROKES))
-_han_fold = str.maketrans(dict(HAN))
-_han_pair = {a: b for x, y in HAN for a, b in ((x, y), (y, x))}
+_fold = str.maketrans({**dict(STROKES), **dict(HAN)})
+_table = np.array([c.isspace() for c in map(chr, range(1 << 16))])
+_is_han = np.array([0x3400 <= c < 0x4DC0 or 0x4E00 <= c < 0xA000 or 0xF900 <= c < 0xFB00 for c in range(1 << 16)])
 
 _ALNUM = "0-9a-zª-ɏͰ-ԯ"  # lower case; Han has no words
 _WORD = re.compile(rf"[{_ALNUM}]+(?:[-‐][{_ALNUM}]+)*")
@@ -73,8 +79,9 @@ def skeleton(word: str) -> str:
 
 def header_key(line: str) -> str:
     """Digits, marks and spaces masked, glyphs folded. An author group before a journal is dropped."""
-    kept = "".join(t for t in _RUN.findall(_ET_AL.sub("", line).lower()) if not t.isdigit())
-    return skeleton(kept.translate(_han_fold))
+    if "/" in line:
+        line = _ET_AL.sub("", line)
+    return "".join(t for t in _RUN.findall(line.lower()) if not t.isdigit()).translate(_fold)
 
 
 def split_folio(line: str) -> tuple[str, bool]:
@@ -136,7 +143,7 @@ def parse(text: str) -> tuple[list[int], list[tuple[int, str, bool]], list[tuple
 
 _LINE_MARK = re.compile(r"[-‐¬\xad][ \t\xa0]*\n\s*")
 _STARTS = re.compile(r"[^\W_]+")
-_HAN_ANY = re.compile("[" + "".join(_han_pair) + "]")
+_HAN_ANY = re.compile("[㐀-䶿一-鿿豈-﫿]")
 
 
 def words(text: str) -> list[str]:
@@ -154,19 +161,45 @@ def words(text: str) -> list[str]:
     return found + [p for w in found if "-" in w or "‐" in w for p in re.split("[-‐]", w)]
 
 
-def neighbours(text: str) -> list[tuple[int, str, str, str]]:
-    """(line, before, character, after) of the Han characters that have a counterpart; line breaks don't part neighbours."""
-    if not _HAN_ANY.search(text):
+def neighbours(text: str, asked: re.Pattern) -> list[tuple[int, str, str, str]]:
+    """(line, before, character, after) of the asked Han characters; line breaks and spaces don't part neighbours."""
+    if not asked.search(text):
         return []
-    flat, at, line = [], [], 0
-    for c in text:
-        if c == "\n":
+    out, line, lines = [], 0, text.split("\n")
+    bare = ["".join(x.split()) for x in lines]
+    flat = "".join(bare)
+    ends = list(accumulate(map(len, bare)))
+    for m in asked.finditer(flat):
+        i = m.start()
+        while ends[line] <= i:
             line += 1
-        elif not c.isspace():
-            flat.append(c)
-            at.append(line)
-    n = len(flat)
-    return [(at[i], flat[i - 1] if i else "", c, flat[i + 1] if i + 1 < n else "") for i, c in enumerate(flat) if c in _han_pair]
+        out.append((line, flat[i - 1 : i], m[0], flat[i + 1 : i + 2]))
+    return out
+
+
+def triples(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, count) of the runs of three Han characters; the key holds their numbers in 21 bits each."""
+    codes = np.frombuffer("\0".join(texts).encode("utf-32-le", "surrogatepass"), "u4")
+    codes = codes[(codes >= 1 << 16) | ~_table[codes & 0xFFFF]]
+    han = (codes < 1 << 16) & _is_han[codes & 0xFFFF]
+    at = np.flatnonzero(han[:-2] & han[1:-1] & han[2:]) if len(codes) > 2 else np.zeros(0, int)
+    c = codes.astype("i8")
+    return np.unique(c[at] << 42 | c[at + 1] << 21 | c[at + 2], return_counts=True)
+
+
+def han_pairs(found: DataFrame) -> list[tuple[str, str]]:
+    """(seen, meant): the known look-alikes both ways, and what is learnt: at most one for each character there is."""
+    t = found.filter("kind = 'han'").groupBy(F.col("row_id").alias("key")).agg(F.sum("n").alias("n"))
+    mask = F.lit((1 << 21) - 1)
+    part = lambda k: F.shiftright("key", k).bitwiseAND(mask)
+    t = t.select(part(42).alias("before"), part(21).alias("seen"), part(0).alias("after"), "n")
+    top = t.groupBy("before", "after").agg(F.max(F.struct("n", "seen")).alias("m")).select("before", "after", F.col("m.n").alias("top_n"), F.col("m.seen").alias("meant"))
+    rare = t.join(top.filter(F.col("top_n") >= RARER), ["before", "after"]).filter(F.col("n") * RARER <= F.col("top_n"))
+    g = rare.groupBy("seen", "meant").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= HAN_CONTEXTS)
+    g = g.join(t.groupBy("seen").agg(F.sum("n").alias("all")), "seen").filter(F.col("m") >= HAN_SHARE * F.col("all"))
+    best = g.groupBy("seen").agg(F.max_by("meant", F.struct("m", "meant")).alias("meant"))
+    learnt = {(chr(r["seen"]), chr(r["meant"])) for r in best.collect()}  # as many rows as Han characters at most
+    return sorted(learnt | {p for x, y in HAN for p in ((x, y), (y, x))})
 
 
 def _wordlike(w: str) -> bool:
@@ -187,7 +220,6 @@ def facts(chunks: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for i, lib, item, text in zip(pdf["row_id"], pdf["library_id"], pdf["item_key"], pdf["text"]):
                 counts.update(words(text))
-                out += [("han", i, k, x, y, z, 1) for k, x, y, z in neighbours(text)]
                 if "\n" in text:
                     folios, heads, parted = parse(text)
                     out += [("folio", i, k, None, None, None, 1) for k in folios]
@@ -195,6 +227,9 @@ def facts(chunks: DataFrame) -> DataFrame:
                     out += [("parted", i, k, skeleton(x + y), skeleton(f"{x}-{y}"), m, 1) for k, x, m, y in parted]
                     out += [("halves", i, k, skeleton(x + y), (x + y).lower(), None, 1) for k, x, m, y in parted]
             yield pd.DataFrame(out, columns=["kind", "row_id", "line", "a", "b", "c", "n"])
+            keys, n = triples(pdf["text"].tolist())
+            if len(keys):
+                yield pd.DataFrame({"kind": "han", "row_id": keys, "line": -1, "a": None, "b": None, "c": None, "n": n})
             if len(counts) > 200_000:
                 yield _counted(counts)
                 counts.clear()
@@ -253,21 +288,18 @@ def asked_rows(head: DataFrame) -> DataFrame:
     return rows.filter(F.col("rows") >= RECUR).select("library_id", "item_key", "key")
 
 
-def misread_han(found: DataFrame) -> DataFrame:
+def misread_han(both: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(row_id, line, before, seen, after, meant) of the Han characters whose neighbours go with the counterpart."""
-    z = found.filter("kind = 'han'").select("row_id", "line", F.col("a").alias("before"), F.col("b").alias("seen"), F.col("c").alias("after"))
+    z = both.filter("kind = 'han'").select("row_id", "line", "before", F.col("word").alias("seen"), "after")
     seen = z.groupBy("before", "seen", "after").agg(F.count(F.lit(1)).alias("n"))
     left, right = seen.groupBy("before", "seen").agg(F.sum("n").alias("n")), seen.groupBy("seen", "after").agg(F.sum("n").alias("n"))
-    other = F.lit(None)
-    for x, y in HAN:
-        other = F.when(F.col("seen") == x, y).when(F.col("seen") == y, x).otherwise(other)
-    ask = seen.select("before", "seen", "after", other.alias("meant"))
+    ask = seen.join(z.sparkSession.createDataFrame(pairs, "seen string, meant string"), "seen").select("before", "seen", "after", "meant")
     for side, keys in (("l", ["before"]), ("r", ["after"])):
         t = left if side == "l" else right
         for name in ("seen", "meant"):
             ask = ask.join(t.select(*keys, F.col("seen").alias(name), F.col("n").alias(f"{side}_{name}")), [*keys, name], "left")
     total = lambda name: F.coalesce(f"l_{name}", F.lit(0)) + F.coalesce(f"r_{name}", F.lit(0))
-    bad = ask.filter(total("meant") >= RARER * total("seen")).select("before", "seen", "after", "meant")
+    bad = ask.filter(total("meant") >= RARER * total("seen")).groupBy("before", "seen", "after").agg(F.max_by("meant", F.struct(total("meant"), "meant")).alias("meant"))
     return z.join(bad, ["before", "seen", "after"])
 
 
@@ -316,7 +348,12 @@ PLACES = (0, 18, 37)
 
 
 def misread_words(chunks: DataFrame, groups: DataFrame) -> DataFrame:
-    """(row_id, line, word, meant): the second pass, over words that can be doubted ones.
+    return misread(chunks, groups, [])[0]
+
+
+def misread(chunks: DataFrame, groups: DataFrame, pairs: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """((row_id, line, word, meant), (row_id, line, before, seen, after, meant)): the second pass, over words that can be doubted ones
+    and Han characters that can be taken for others.
 
     The meant form is the most frequent of the group; where a group has several frequent forms, the one that stands most
     often beside the same words."""
@@ -328,18 +365,20 @@ def misread_words(chunks: DataFrame, groups: DataFrame) -> DataFrame:
     src = spread(keep_columns(chunks, "row_id", "text").filter(F.length("text") > 0), "row_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Words that can be doubted with the words beside them; and, under row -1, how often a form that can be contested has a
-        word before (line 0) or after it (line 1)."""
+        """Words that can be doubted and Han characters of a pair with what stands beside them; and how often a form that can be
+        contested has a word before (line 0) or after it (line 1)."""
         odd_words, rival_words = map(Sieve, sent.value)
+        asked = re.compile(f"[{''.join(sorted({c for p in pairs for c in p}))}]" if pairs else "(?!)")
         for pdf in batches:
             out: list[tuple] = []
             n: Counter = Counter()
             for i, text in zip(pdf["row_id"], pdf["text"]):
                 have = set(words(text))
-                if asked := rival_words(have):
+                out += [("han", i, k, c, x, y, 1) for k, x, c, y in neighbours(text, asked)]
+                if contested_ := rival_words(have):
                     t = ["", *_WORD.findall(text.lower()), ""]
                     for k, w in enumerate(t):
-                        if w in asked:
+                        if w in contested_:
                             n[w, 0, t[k - 1]] += 1
                             n[w, 1, t[k + 1]] += 1
                 if odd := odd_words(have):
@@ -348,18 +387,18 @@ def misread_words(chunks: DataFrame, groups: DataFrame) -> DataFrame:
                             t = ["", *_WORD.findall(line.lower()), ""]
                             for w in found:
                                 at = t.index(w, 1) if w in t else 0
-                                out.append((i, k, w, t[at - 1] if at else "", t[at + 1] if at else "", 0))
-            out += [(-1, side, w, x, None, c) for (w, side, x), c in n.items()]
-            yield pd.DataFrame(out, columns=["row_id", "line", "word", "before", "after", "n"])
+                                out.append(("odd", i, k, w, t[at - 1] if at else "", t[at + 1] if at else "", 0))
+            out += [("rival", -1, side, w, x, None, c) for (w, side, x), c in n.items()]
+            yield pd.DataFrame(out, columns=["kind", "row_id", "line", "word", "before", "after", "n"])
 
-    both = cut(src.mapInPandas(run, "row_id long, line int, word string, before string, after string, n long"))
-    seen = both.filter("after is not null").drop("n").join(doubted, "word")
-    side = lambda k, c, v: both.filter((F.col("after").isNull()) & (F.col("line") == k)).groupBy(F.col("word").alias("form"), F.col("before").alias(c)).agg(F.sum("n").alias(v))
+    both = cut(src.mapInPandas(run, "kind string, row_id long, line int, word string, before string, after string, n long"))
+    seen = both.filter("kind = 'odd'").drop("kind", "n").join(doubted, "word")
+    side = lambda k, c, v: both.filter((F.col("kind") == "rival") & (F.col("line") == k)).groupBy(F.col("word").alias("form"), F.col("before").alias(c)).agg(F.sum("n").alias(v))
     ask = seen.join(contested, "skeleton").select("word", "before", "after", "form", F.col("n").alias("form_n")).distinct()
     scored = ask.join(side(0, "before", "b"), ["form", "before"], "left").join(side(1, "after", "a"), ["form", "after"], "left")
     support = F.coalesce("b", F.lit(0)) + F.coalesce("a", F.lit(0))
     chosen = scored.groupBy("word", "before", "after").agg(F.max_by("form", F.struct(support, "form_n", "form")).alias("fitting"))
-    return seen.join(chosen, ["word", "before", "after"], "left").select("row_id", "line", "word", F.coalesce("fitting", "meant").alias("meant"))
+    return seen.join(chosen, ["word", "before", "after"], "left").select("row_id", "line", "word", F.coalesce("fitting", "meant").alias("meant")), misread_han(both, pairs)
 
 
 def parted_words(found: DataFrame, groups: DataFrame) -> DataFrame:
@@ -390,13 +429,14 @@ def noise(chunks: DataFrame, items: DataFrame) -> dict[str, DataFrame]:
     head = cut(headers(found, items))
     lines = head.select("row_id", "line")
     parted = cut(parted_words(found, groups))
+    words_, han = misread(chunks, groups, han_pairs(found))
     return {
         "header": head,
         "folio": found.filter("kind = 'folio'").select("row_id", "line").unionByName(head.filter("numbered = 1").select("row_id", "line")).distinct(),
         "hyphen": parted,
         "halves": misread_halves(found, groups, parted),
-        "word": misread_words(chunks, groups).join(lines, ["row_id", "line"], "left_anti"),
-        "han": misread_han(found).join(lines, ["row_id", "line"], "left_anti"),
+        "word": words_.join(lines, ["row_id", "line"], "left_anti"),
+        "han": han.join(lines, ["row_id", "line"], "left_anti"),
     }
 
 

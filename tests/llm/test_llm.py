@@ -366,6 +366,17 @@ def test_spans(spark, hot, per_shard, chars, segment):
     assert spans.found_pairs(own, pairs).count() == 0
 
 
+def test_han_pairs_are_learnt(spark):
+    """A pair that no list has, told by the places of the one where the other is far more frequent."""
+    texts = [f"{a}钢板{b}" * 3 for a in "在把用" for b in "上下中" for _ in range(4)] + ["在钡板上的", "把钡\n板下的", "用 钡板中"] + ["氯化钡水"]
+    chunks = spark.createDataFrame([(i, 1, "K", t) for i, t in enumerate(texts)], "row_id long, library_id long, item_key string, text string")
+    found = scanned.facts(chunks)
+    pairs = scanned.han_pairs(found)
+    assert ("钡", "钢") in pairs and set(pairs) - {p for x, y in scanned.HAN for p in ((x, y), (y, x))} == {("钡", "钢")}
+    _, han = scanned.misread(chunks, scanned.word_groups(found), pairs)
+    assert {(r["row_id"], r["line"], r["meant"]) for r in han.collect()} == {(36, 0, "钢"), (37, 0, "钢"), (38, 0, "钢")}
+
+
 def test_bit_set_lets_all_its_words_through(spark):
     words = [f"wörd{i}" for i in range(5000)] + ["晶粒", "", "a"]
     sieve = scanned.Sieve(scanned.bit_set(spark.createDataFrame([(w,) for w in words], "word string")))
