@@ -114,7 +114,7 @@ def fingerprints(docs: DataFrame, least: int = LEAST, phrase: int = PHRASE, segm
 
         def flush(ids: list, texts: list[str], shifts: list[int]) -> pd.DataFrame:
             t, h, at = winnow(texts)
-            return pd.DataFrame({"id": np.array(ids, "i8")[t], "h": h, "pos": np.array(shifts, "i8")[t] + at})
+            return pd.DataFrame({"id": np.array(ids, "i8")[t], "h": h, "pos": (np.array(shifts, "i8")[t] + at).astype("i4")})
 
         for pdf in batches:
             held, size = ([], [], []), 0
@@ -130,7 +130,7 @@ def fingerprints(docs: DataFrame, least: int = LEAST, phrase: int = PHRASE, segm
             if size:
                 yield flush(*held)
 
-    return docs.mapInPandas(run, "id long, h long, pos long")
+    return docs.mapInPandas(run, "id long, h long, pos int")
 
 
 def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
@@ -144,8 +144,9 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def passages(prints: DataFrame) -> DataFrame:
     """(id, hs, ps): of each text the fingerprints that another text has too, and their places; at most those of one text.
 
-    Counts are added up before the shuffle; the join by fingerprint splits a hot one by AQE, for each has one row on its side."""
-    recurring = prints.groupBy("h").agg(F.min("id").alias("src"), F.max("id").alias("last")).filter("src < last").select("h")
+    Counts are added up before the shuffle; the join by fingerprint splits a hot one by AQE, for each has one row on its side. A
+    text longer than a segment can have a fingerprint twice and so recur with itself; it is compared with no other text then."""
+    recurring = prints.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("h")
     return prints.join(recurring, "h").groupBy("id").agg(F.collect_list(F.struct("h", "pos")).alias("at")).select("id", F.col("at.h").alias("hs"), F.col("at.pos").alias("ps"))
 
 
