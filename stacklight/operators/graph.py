@@ -131,9 +131,12 @@ def reconcile(left: Column, right: Column, left_origin: Column, right_origin: Co
     )
 
 
-def link_status(counts: dict[str, Column]) -> Column:
-    """open, resolved, dismissed or stale from the counts of pending, accepted, rejected and stale signals."""
-    return F.when(counts["pending"] > 0, "open").when(counts["accepted"] > 0, "resolved").when(counts["rejected"] > 0, "dismissed").when(counts["stale"] > 0, "stale").otherwise("open")
+def link_status(counts: dict[str, Column], deleted: Column | None = None) -> Column:
+    """source_deleted for good where an end is gone; else open, resolved, dismissed or stale from the counts of pending, accepted,
+    rejected and stale signals."""
+    return (
+        F.when(F.lit(False) if deleted is None else deleted, "source_deleted").when(counts["pending"] > 0, "open").when(counts["accepted"] > 0, "resolved").when(counts["rejected"] > 0, "dismissed").when(counts["stale"] > 0, "stale").otherwise("open")
+    )
 
 
 def document_groups(members: DataFrame, doc: list[str], claim: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stacklight.functions import text as T
+from stacklight.session import cut
 
 MAX_PATTERN, MAX_INPUT = 128, 10_000
 # Field weights of the simple relevance; named colours of annotations.
@@ -138,35 +139,46 @@ def annotation_relevance(content: Column, comment: Column, q: str) -> Column:
 # --- trees ---
 
 
-def descendants(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
-    """(root, node, depth): every node below each root, itself included, once; cycles end. edges(node, parent).
+def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node, depth): every node below each root, itself included, once, to any depth; cycles end. edges(node, parent).
 
-    One join per level over the frontier only; each level is cut by its distinct rows."""
-    seen = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"))
-    frontier = seen
-    for depth in range(1, most + 1):
+    One join per level over the frontier only, which is written so that no plan grows with the depth."""
+    seen = frontier = cut(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct())
+    depth = 0
+    while not frontier.isEmpty():
+        depth += 1
         step = frontier.select("root", F.col("node").alias("parent")).join(edges.select("node", "parent"), "parent").select("root", "node", F.lit(depth).alias("depth")).distinct()
-        frontier = step.join(seen.select("root", "node"), ["root", "node"], "left_anti").cache()
-        if frontier.isEmpty():
-            frontier.unpersist()
-            break
-        seen = seen.unionByName(frontier)
+        frontier = cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti"))
+        seen = seen.unionByName(frontier) if depth % 16 else cut(seen.unionByName(frontier))
     return seen
 
 
-def paths(nodes: DataFrame, most: int = 64) -> DataFrame:
-    """(node, path): names from the root down joined by "/"; nodes(node, parent, name). Stops at a cycle."""
+def paths(nodes: DataFrame) -> DataFrame:
+    """(node, path): names from the root down joined by "/", to any depth; nodes(node, parent, name). Stops at a cycle."""
     p = nodes.select("node", F.col("parent").alias("up"), F.col("name").alias("path"), F.array("node").alias("seen"))
     above = nodes.select(F.col("node").alias("up"), F.col("parent").alias("next"), F.col("name").alias("n"))
-    for _ in range(most):
-        if p.filter("up is not null").isEmpty():
-            break
+    while not p.filter("up is not null").isEmpty():
         j = p.join(above, "up", "left")
-        loop = F.array_contains("seen", F.col("up"))
-        p = j.select("node", F.when(~F.coalesce(loop, F.lit(False)) & F.col("n").isNotNull(), F.col("next")).alias("up"), F.when(~F.coalesce(loop, F.lit(False)) & F.col("n").isNotNull(), F.concat_ws("/", "n", "path")).otherwise(F.col("path")).alias("path"), F.when(F.col("up").isNotNull(), F.array_append("seen", F.col("up"))).otherwise(F.col("seen")).alias("seen"))
+        go = ~F.coalesce(F.array_contains("seen", F.col("up")), F.lit(False)) & F.col("n").isNotNull()
+        p = cut(j.select("node", F.when(go, F.col("next")).alias("up"), F.when(go, F.concat_ws("/", "n", "path")).otherwise(F.col("path")).alias("path"), F.when(F.col("up").isNotNull(), F.array_append("seen", F.col("up"))).otherwise(F.col("seen")).alias("seen")))
     return p.select("node", "path")
 
 
+def resolved(paths_: DataFrame, asked: str) -> list:
+    """The nodes of a path, case aside: one, none, or an error where several have it."""
+    found = [r["node"] for r in paths_.filter(F.lower("path") == asked.strip("/ ").lower()).orderBy("node").limit(2).collect()]
+    if len(found) > 1:
+        raise ValueError(f"several collections have the path {asked}")
+    return found
+
+
+def scope(below: DataFrame, items: DataFrame, library: DataFrame, most: int = 5000) -> DataFrame:
+    """The items below some collections, once each; of the whole library where there are none or more than ``most``."""
+    mine = below.join(items, "node").select("item").distinct()
+    n = mine.limit(most + 1).count()
+    return mine if 0 < n <= most else library.select("item").distinct()
+
+
 # --- plans ---
 
 
@@ -198,3 +210,14 @@ def move_plan(asked: DataFrame, existing: DataFrame, membership: DataFrame, targ
     m = membership.groupBy(*keys).agg(F.bool_or(F.col("collection") == target).alias("inside"), F.count_if(F.col("collection") != target).alias("leaves"))
     state = F.when(F.col("found").isNull(), "missing").when(F.col("inside"), "already").otherwise("moves")
     return one.join(found, keys, "left").join(m, keys, "left").select(*keys, state.alias("state"), F.coalesce("leaves", F.lit(0)).alias("leaves"))
+
+
+def merge_gains(plan: DataFrame, attachments: DataFrame, group: list[str]) -> DataFrame:
+    """plan(group, row, master, tags array), attachments(group, row) -> (group, trashed, moved, gained): rows that go, attachments that move
+    to the master, and tags that the master gains. Groups with several masters or none raise."""
+    g = plan.groupBy(*group).agg(F.count_if("master").alias("masters"), F.count_if(~F.col("master")).alias("trashed"))
+    g = g.withColumn("trashed", F.when(F.col("masters") == 1, F.col("trashed")).otherwise(F.raise_error(F.lit("a group needs one master"))))
+    moved = attachments.join(plan.filter(~F.col("master")).select(*group, "row"), [*group, "row"], "left_semi").groupBy(*group).agg(F.count(F.lit(1)).alias("moved"))
+    tags = plan.select(*group, "master", F.explode("tags").alias("t")).groupBy(*group, "t").agg(F.bool_or("master").alias("has"))
+    gained = tags.filter(~F.col("has")).groupBy(*group).agg(F.count(F.lit(1)).alias("gained"))
+    return g.join(moved, group, "left").join(gained, group, "left").select(*group, "trashed", F.coalesce("moved", F.lit(0)).alias("moved"), F.coalesce("gained", F.lit(0)).alias("gained"))

@@ -133,7 +133,9 @@ def link_status(spark, d):
     s = table(spark, d, "wiki_reading_sessions").distinct()
     n = {k: F.count_if(F.col("session_state") == v) for k, v in (("pending", "reading"), ("accepted", "finished"), ("rejected", "abandoned"), ("stale", "answered"))}
     g = s.groupBy(*KEY).agg(*[c.alias(k) for k, c in n.items()])
-    return g.select(*KEY, G.link_status({k: F.col(k) for k in n}).alias("status"))
+    gone = table(spark, d, "items").dropna(subset=KEY).groupBy(*KEY).agg(F.bool_and(F.coalesce("in_trash", F.lit(False))).alias("trash"))
+    g = g.join(gone, KEY, "left")
+    return g.select(*KEY, G.link_status({k: F.col(k) for k in n}, F.coalesce("trash", F.lit(True))).alias("status"))
 
 
 def link_stats(spark, d):
@@ -242,7 +244,9 @@ SELECT concept_id, array_to_string(list_concat([canonical_name], list_filter(coa
     "merge_verdict": "WITH n AS (SELECT DISTINCT concept_id, unnest([lower(name_en), lower(name_zh), lower(abbreviation)]) AS name FROM wiki_concept_terms) SELECT name, count(*) AS concepts, min(concept_id) AS target, CASE WHEN count(*) > 1 THEN 'ambiguous' ELSE 'ok' END AS verdict FROM n WHERE name <> '' GROUP BY 1",
     "evidence_overview": """SELECT concept_id, count(*) AS readings, count(*) FILTER (write_path = 'concept') AS by_concept, count(*) FILTER (write_path = 'attach') AS by_attach, max(CASE write_path WHEN 'concept' THEN 2 WHEN 'attach' THEN 1 ELSE 0 END) AS deepest,
  count(DISTINCT CASE WHEN item_key <> '' THEN (library_id, item_key) END) AS keys, string_agg(DISTINCT write_path, ',' ORDER BY write_path) AS roles FROM (SELECT DISTINCT * FROM wiki_concept_term_sources) JOIN wiki_concept_terms USING (term_id) GROUP BY 1""",
-    "link_status": "SELECT library_id, item_key, CASE WHEN count(*) FILTER (session_state = 'reading') > 0 THEN 'open' WHEN count(*) FILTER (session_state = 'finished') > 0 THEN 'resolved' WHEN count(*) FILTER (session_state = 'abandoned') > 0 THEN 'dismissed' WHEN count(*) FILTER (session_state = 'answered') > 0 THEN 'stale' ELSE 'open' END AS status FROM (SELECT DISTINCT * FROM wiki_reading_sessions) GROUP BY ALL",
+    "link_status": """WITH g AS (SELECT library_id, item_key, CASE WHEN count(*) FILTER (session_state = 'reading') > 0 THEN 'open' WHEN count(*) FILTER (session_state = 'finished') > 0 THEN 'resolved' WHEN count(*) FILTER (session_state = 'abandoned') > 0 THEN 'dismissed' WHEN count(*) FILTER (session_state = 'answered') > 0 THEN 'stale' ELSE 'open' END AS s
+ FROM (SELECT DISTINCT * FROM wiki_reading_sessions) GROUP BY ALL), i AS (SELECT DISTINCT library_id, item_key FROM items WHERE library_id IS NOT NULL AND item_key IS NOT NULL AND NOT coalesce(in_trash, false))
+SELECT g.library_id, g.item_key, CASE WHEN i.item_key IS NULL THEN 'source_deleted' ELSE s END AS status FROM g LEFT JOIN i ON g.library_id = i.library_id AND g.item_key = i.item_key""",
     "link_stats": "WITH g AS (SELECT count(*) FILTER (session_state = 'reading') AS reading, count(*) FILTER (session_state = 'answered') AS answered, count(*) FILTER (session_state = 'finished') AS finished, count(*) FILTER (session_state = 'abandoned') AS abandoned, count(*) FILTER (session_state = 'closed') AS closed FROM (SELECT DISTINCT * FROM wiki_reading_sessions)) SELECT *, round(CASE WHEN finished + abandoned > 0 THEN abandoned / (finished + abandoned) ELSE 0 END, 6) AS rejected_rate FROM g",
     "neighbors": f"WITH {duck.LIVE}, a AS (SELECT DISTINCT library_id, item_key, unnest(query_chunk_ids) AS chunk_id FROM similar_snapshots), j AS (SELECT c.library_id, c.item_key, c.chunk_id, min(abs(c.chunk_id - a.chunk_id)) AS distance FROM chunks_ c JOIN a ON a.library_id = c.library_id AND a.item_key = c.item_key AND abs(c.chunk_id - a.chunk_id) <= 2 GROUP BY ALL) SELECT * FROM j WHERE distance > 0",
     "relocate": """WITH c AS (SELECT row_id, library_id, item_key, text FROM chunks WHERE length(text) > 80), e AS (SELECT row_id AS key, library_id, item_key, trim(regexp_replace(substr(text, 20, 60), '[ \\t\\n\\f\\r]+', ' ', 'g'), ' ') AS a FROM c WHERE row_id % 50 = 0),

@@ -133,6 +133,32 @@ def collection_browse(spark, d):
     return total.join(own.withColumnRenamed("node", "root"), "root", "left").select(F.col("root").alias("node"), F.coalesce("own", F.lit(0)).alias("own"), "total", "subcollections")
 
 
+def collection_by_path(spark, d):
+    """A collection resolved by its path, case aside, and the items below it; the library where that is empty or too large."""
+    nodes, items = _nodes(spark, d)
+    roots = nodes.filter(F.col("node").isin(*S.resolved(S.paths(nodes), "europe/FRANCE")))
+    return S.scope(S.descendants(nodes.filter("parent is not null"), roots), items, items)
+
+
+def quick_search(spark, d):
+    """Words in title, publication or tags, a kind, a year, papers with text and with notes, not in the trash."""
+    i = _items(spark, d)
+    has = table(spark, d, "chunks").dropna(subset=KEY).select(*KEY).distinct()
+    noted = table(spark, d, "documents").filter(F.lower(F.trim("source")).isin("note", "annotation")).dropna(subset=KEY).select(*KEY).distinct().withColumn("noted", F.lit(True))
+    q = S.matches(F.col("title"), "surface") | S.matches(F.col("publication_title"), "surface") | S.matches(F.array_join("tags", ", "), "surface")
+    i = i.filter(q & S.matches(F.col("item_lang"), "en", "exact") & ~F.coalesce("in_trash", F.lit(False)) & (F.col("pub_year") >= 1990))
+    return i.join(has, KEY, "left_semi").join(noted, KEY, "left").select(*KEY, F.coalesce("noted", F.lit(False)).alias("noted"))
+
+
+def merge_gains(spark, d):
+    """What merging the exported rows of a paper moves: its documents come with the row they were added to last before."""
+    i = table(spark, d, "items").dropna(subset=KEY).select(*KEY, F.unix_micros("date_modified").alias("row"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags")).groupBy(*KEY, "row").agg(F.max("tags").alias("tags"))
+    n = i.groupBy(*KEY).agg(F.max("row").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    plan = i.join(n, KEY).select(*KEY, "row", "tags", (F.col("row") == F.col("last")).alias("master"))
+    a = table(spark, d, "documents").dropna(subset=KEY).join(n, KEY).join(i.select(*KEY, "row"), KEY).filter((F.col("row") <= F.unix_micros("added_at")) | (F.col("row") < F.col("last"))).groupBy(*KEY, "doc_id").agg(F.min("row").alias("row"))
+    return S.merge_gains(plan, a, KEY)
+
+
 def collection_paths(spark, d):
     return S.paths(_nodes(spark, d)[0])
 
@@ -208,7 +234,7 @@ def library_groups(spark, d):
     return s.groupBy(lib.alias("library")).agg(F.count_distinct(F.element_at(F.split("item_key", ":"), -1)).alias("papers"))
 
 
-QUERIES = [field_predicates, year_range, instant_range, numeric_range, substring_fields, candidate_scan, keyword_union, tag_modes, matched_tag_stats, simple_relevance, relevance_stats, sort_page, search_library, item_projection, json_envelope, collection_scope, collection_browse, collection_paths, name_search, annotation_search, annotation_filter, keyword_freq, merge_plan, merge_summary, move_plan, union_docs, scope_intersect, exclude_items, library_groups]
+QUERIES = [field_predicates, year_range, instant_range, numeric_range, substring_fields, candidate_scan, keyword_union, tag_modes, matched_tag_stats, simple_relevance, relevance_stats, sort_page, search_library, item_projection, json_envelope, collection_scope, collection_browse, collection_by_path, quick_search, merge_gains, collection_paths, name_search, annotation_search, annotation_filter, keyword_freq, merge_plan, merge_summary, move_plan, union_docs, scope_intersect, exclude_items, library_groups]
 
 _I = f"WITH {duck.NEWEST}"
 _L = lambda c: f"lower(coalesce({c}, ''))"
@@ -258,4 +284,12 @@ SELECT library_id, item_key, epoch_us(date_modified) AS modified, complete, r =
     "scope_intersect": "SELECT library_id, item_key FROM vectors_f32 INTERSECT SELECT library_id, item_key FROM items",
     "exclude_items": "SELECT DISTINCT c.library_id, c.item_key FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM items i WHERE in_trash AND i.library_id = c.library_id AND i.item_key = c.item_key)",
     "library_groups": "SELECT CASE WHEN contains(item_key, ':') THEN split_part(item_key, ':', 1)::bigint ELSE library_id END AS library, count(DISTINCT string_split(item_key, ':')[-1]) AS papers FROM wiki_concept_term_sources WHERE item_key <> '' GROUP BY 1",
+    "collection_by_path": "SELECT DISTINCT c_custkey AS item FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE lower(r_name) = 'europe' AND lower(n_name) = 'france' UNION SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM nation JOIN region ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey WHERE lower(r_name) = 'europe' AND lower(n_name) = 'france')",
+    "quick_search": f"""WITH {duck.NEWEST} SELECT library_id, item_key, (library_id, item_key) IN (SELECT (library_id, item_key) FROM documents WHERE lower(trim(source)) IN ('note', 'annotation') AND library_id IS NOT NULL AND item_key IS NOT NULL) AS noted FROM items_
+WHERE (contains(lower(coalesce(title, '')), 'surface') OR contains(lower(coalesce(publication_title, '')), 'surface') OR contains(lower(coalesce(array_to_string(tags, ', '), '')), 'surface')) AND lower(item_lang) = 'en' AND NOT coalesce(in_trash, false) AND pub_year >= 1990
+ AND (library_id, item_key) IN (SELECT (library_id, item_key) FROM chunks WHERE library_id IS NOT NULL AND item_key IS NOT NULL)""",
+    "merge_gains": """WITH i AS (SELECT library_id, item_key, epoch_us(date_modified) AS row_, max(coalesce(tags, [])) AS tags FROM items WHERE library_id IS NOT NULL AND item_key IS NOT NULL GROUP BY ALL), n AS (SELECT library_id, item_key, max(row_) AS last FROM i GROUP BY ALL HAVING count(*) > 1),
+p AS (SELECT i.*, row_ = last AS master FROM i JOIN n USING (library_id, item_key)), a AS (SELECT d.library_id, d.item_key, doc_id, min(row_) AS row_ FROM documents d JOIN p ON p.library_id = d.library_id AND p.item_key = d.item_key WHERE row_ <= epoch_us(added_at) OR NOT master GROUP BY ALL),
+t AS (SELECT library_id, item_key, t FROM (SELECT library_id, item_key, master, unnest(tags) AS t FROM p) GROUP BY ALL HAVING NOT bool_or(master)), g AS (SELECT library_id, item_key, count(*) AS gained FROM t GROUP BY ALL), m AS (SELECT library_id, item_key, count(*) AS moved FROM a JOIN p USING (library_id, item_key, row_) WHERE NOT master GROUP BY ALL)
+SELECT library_id, item_key, count(*) FILTER (NOT master) AS trashed, coalesce(any_value(moved), 0) AS moved, coalesce(any_value(gained), 0) AS gained FROM p LEFT JOIN m USING (library_id, item_key) LEFT JOIN g USING (library_id, item_key) GROUP BY ALL""",
 }
