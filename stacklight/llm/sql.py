@@ -25,6 +25,8 @@ z AS (
 
 _TRIM = "trim(text, chr(32) || chr(9) || chr(12) || chr(13) || chr(10))"
 
+_WINDOWS = "WITH a AS (SELECT doc_id, i, substr(text, i, 100) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 98)) AS i FROM documents WHERE length(text) >= 100)), w AS (SELECT DISTINCT doc_id, s FROM a)"
+
 ORACLE = {
     "p2_found": f"""
 SELECT row_id FROM (SELECT row_id, {_TRIM} AS t FROM chunks)
@@ -34,4 +36,11 @@ WHERE length(t) + length(regexp_replace(t, '[\\x{{0}}-\\x{{FFFF}}]', '', 'g')) >
     "p3_pairs": f"""WITH {_READINGS} SELECT library_id, concept_a, concept_b, n_ab, n_a, n_b, n_papers,
   round(n_ab::double * n_papers::double / (n_a::double * n_b::double), 6) AS lift,
   round(CASE WHEN n_ab < n_a THEN (1 - n_b::double / n_papers::double) / (1 - n_ab::double / n_a::double) END, 6) AS conviction FROM z""",
+    "p5_found": """WITH v AS (SELECT id, min(vector) AS vector FROM vectors_f32 WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 GROUP BY 1),
+n AS (SELECT id, list_transform(vector, lambda x: x::double / sqrt(list_dot_product(vector::double[], vector::double[]))) AS u FROM v), p AS (SELECT a.id AS x, b.id AS y, list_dot_product(a.u, b.u) AS c FROM n a JOIN n b ON a.id <> b.id),
+k AS (SELECT x, y FROM p WHERE c >= 0.90 QUALIFY row_number() OVER (PARTITION BY x ORDER BY round(c, 9) DESC, y) <= 3) SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM k""",
+    "p8_found": f"{_WINDOWS} SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM w a JOIN w b ON a.s = b.s AND a.doc_id < b.doc_id",
+    "p8_shared": f"""{_WINDOWS}, r AS (SELECT s FROM w GROUP BY 1 HAVING count(*) > 1), c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 100)) AS p FROM a JOIN r USING (s)) GROUP BY 1),
+o AS (SELECT text, min(doc_id) AS class_id FROM documents WHERE length(text) >= 100 GROUP BY 1), j AS (SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(length(text), 0)::bigint AS n_chars, coalesce(n, 0)::bigint AS shared_chars FROM documents LEFT JOIN o USING (text) LEFT JOIN c USING (doc_id))
+SELECT *, CASE WHEN n_chars > 0 THEN shared_chars / n_chars ELSE 0 END AS share FROM j""",
 }

@@ -1,6 +1,7 @@
 """The registered queries on the smallest tables: SQL where there is one, brute force elsewhere."""
 
 import os
+import random
 from collections import defaultdict
 from itertools import combinations
 
@@ -10,7 +11,7 @@ import pandas as pd
 import pytest
 
 from stacklight.llm import queries as Q
-from stacklight.llm import nearest, splitting, tokenize
+from stacklight.llm import canonical, nearest, splitting, tokenize
 
 DATA = "/root/testdata/sf0.001"
 
@@ -52,6 +53,28 @@ def test_p1(spark):
             assert got.set_index("input_id")["concept_id"][k] == low[n.lower()]
 
 
+def test_p1_on_altered_names(spark):
+    """Listed names altered in known ways lead to their concepts; names of other meanings lead to none."""
+    rng = random.Random(4)
+    t = pd.read_parquet(f"{DATA}/wiki_concept_terms.parquet")
+    listed = {n.lower() for n in t["name_en"] if n}
+    en = [(n, c) for n, c in zip(t["name_en"], t["concept_id"]) if n and n.count(" ") and n.isascii()]
+
+    def typo(n):
+        k = rng.randrange(2, len(n) - 2)
+        return rng.choice([n[:k] + n[k + 1 :], n[:k] + rng.choice("aeiorst") + n[k:], n[:k] + rng.choice("aeiorst") + n[k + 1 :], n[:k] + n[k + 1] + n[k] + n[k + 2 :]])
+
+    ways = [str.upper, typo, lambda n: f"effect of {n}", lambda n: f"{n} process", lambda n: n.replace(" ", "_"), lambda n: "".join(chr(ord(c) + 0xFEE0) if c != " " else "　" for c in n), lambda n: f"{n.split(' ', 1)[1]} ({n.split(' ', 1)[0]})", lambda n: f"“{n}”;"]
+    rows = [(way(n), c) for k, (n, c) in enumerate(en) for way in rng.sample(ways, 3)]
+    firsts, seconds = [n.split(" ", 1)[0] for n, _ in en], [n.split(" ", 1)[1] for n, _ in en]
+    rows += [(x, -1) for x in {f"{rng.choice(firsts)} {rng.choice(seconds)}" for _ in range(300)} if x not in listed]
+    rows += [("ordinary unrelated index", -1), ("of the", -1), ("molybdenum groove", -1)]
+    src = spark.createDataFrame([(i, n, None, None) for i, (n, _) in enumerate(rows)], "input_id long, canonical_name string, alias_text string, abbr string")
+    got = {r["input_id"]: r["concept_id"] for r in canonical.map_names(src, spark.read.parquet(f"{DATA}/wiki_concept_terms.parquet")).collect()}
+    right = [got[i] == c for i, (_, c) in enumerate(rows)]
+    assert len(got) == len(rows) and np.mean(right) >= 0.97 and np.mean([ok for ok, (_, c) in zip(right, rows) if c == -1]) >= 0.97
+
+
 def test_p4_against_proofs(spark):
     text = Q.p4_text(spark, DATA).toPandas().set_index("row_id")["clean_text"]
     proofs = pd.read_parquet(f"{DATA}/scan_proofs.parquet")
