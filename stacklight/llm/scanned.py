@@ -59,6 +59,7 @@ _is_han = np.array([0x3400 <= c < 0x4DC0 or 0x4E00 <= c < 0xA000 or 0xF900 <= c
 _ALNUM = "0-9a-zª-ɏͰ-ԯ"  # lower case; Han has no words
 _WORD = re.compile(rf"[{_ALNUM}]+(?:[-‐][{_ALNUM}]+)*")
 _PARTED = re.compile(r"([^\W\d_]+)([-‐¬\xad])[ \t\xa0]*$")
+_END_MARKS = ("-", "‐", "¬", "\xad")
 _START = re.compile(r"[ \t]*([^\W\d_]+)")
 _NUMBER = r"(?:[0-9lIO]{0,3}[0-9][0-9lIO]{0,3}|[ivxlc]{1,8}|[IVXLC]{1,8})"
 _FOLIO = re.compile(rf"\s*(?:{_NUMBER}|[-–—]\s*{_NUMBER}\s*[-–—]|\[\s*{_NUMBER}\s*\]|\(\s*{_NUMBER}\s*\)|(?:[Pp]age|[Pp]\.|[Ss]eite|第)\s*{_NUMBER}\s*页?(?:\s*(?:of|/)\s*{_NUMBER})?)\s*$")
@@ -130,7 +131,8 @@ def parse(text: str) -> tuple[list[int], list[tuple[int, str, bool]], list[tuple
     if len(lines) > 1:
         skip = {*folios, *(k for k, _, _ in heads)}
         for k, x in enumerate(lines[:-1]):
-            m = _PARTED.search(x)
+            # Most lines end otherwise, and the search goes over the whole line.
+            m = _PARTED.search(x) if x.rstrip(" \t\xa0")[-1:] in _END_MARKS else None
             if m:
                 j = k + 1
                 while j < len(lines) - 1 and (not lines[j].strip() or j in skip and not (j == k + 1 and _START.match(lines[j]) and lines[j].lstrip()[:1].islower() and j not in folios)):
