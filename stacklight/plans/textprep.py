@@ -97,8 +97,8 @@ def front_matter(spark, d):
 
 
 def nonbody_chunks(spark, d):
-    c = spread(table(spark, d, "chunks").filter(F.length("text") > 0), "row_id")
-    return P.table_of(c, ["row_id"], "text", lambda s: [(True,)] if S.no_body(s) else [], "skip boolean")
+    """Chunks of documents that are no body."""
+    return P.table_of(_docs(spark, d), ["doc_id"], "text", lambda s: [(k,) for k, c in enumerate(P.chunks(s)) if S.no_body(c)], "chunk_id int")
 
 
 def boilerplate_chunks(spark, d):
@@ -106,6 +106,12 @@ def boilerplate_chunks(spark, d):
     return c.filter(T.boundary(F.col("text")) | T.reference_list(F.col("text"))).select("row_id")
 
 
+def boilerplate_paragraphs(spark, d):
+    """Paragraphs of documents that open a section without body or are a list of references."""
+    p = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n\n+")).alias("k", "p")).filter(F.length(F.trim("p")) > 0)
+    return p.filter(T.boundary(F.col("p")) | T.reference_list(F.col("p"))).select("doc_id", "k")
+
+
 def fulltext_grep(spark, d):
     def f(s):
         n, hits = P.grep(s, "viscosity")
@@ -179,7 +185,7 @@ def citations(spark, d):
     return _docs(spark, d).select("doc_id", F.array_join(F.transform(T.citations(t), lambda x: x.cast("string")), ",").alias("cited"))
 
 
-QUERIES = [text_quality, html_to_text, pdf_cleanup, lang_detect, token_estimate, redact_paths, sentence_split, paragraph_split, chunk_documents, filter_body, front_matter, nonbody_chunks, boilerplate_chunks, fulltext_grep, grep_counts, text_window, smart_truncate, repeated_lines, text_hash, bigram_overlap, containment, measurements, measurement_landing, citations]
+QUERIES = [text_quality, html_to_text, pdf_cleanup, lang_detect, token_estimate, redact_paths, sentence_split, paragraph_split, chunk_documents, filter_body, front_matter, nonbody_chunks, boilerplate_chunks, boilerplate_paragraphs, fulltext_grep, grep_counts, text_window, smart_truncate, repeated_lines, text_hash, bigram_overlap, containment, measurements, measurement_landing, citations]
 
 _D = "d AS (SELECT doc_id, text, lang FROM documents WHERE length(text) > 0)"
 _CT = "coalesce(len(regexp_extract_all({x}, '{p}')), 0)"
@@ -219,3 +225,7 @@ SELECT doc_id, hits, k, position, substr(text, greatest(0, position - 200) + 1,
 k AS (SELECT doc_id, text, ls, list_filter(ls, lambda x: NOT list_contains(coalesce(xs, []), trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)))) AS kept FROM l LEFT JOIN r USING (doc_id))
 SELECT doc_id, CASE WHEN len(kept) < 0.9 * len(ls) THEN length(text) - length(array_to_string(kept, chr(10))) ELSE 0 END AS removed FROM k""",
 }
+# The same tests over paragraphs of documents.
+SQL["boilerplate_paragraphs"] = SQL["boilerplate_chunks"].replace("SELECT row_id FROM (SELECT row_id, text,", "SELECT doc_id, k FROM (SELECT doc_id, k, text,").replace(
+    "FROM chunks WHERE length(text) > 0)", "FROM (SELECT doc_id, unnest(ps) AS text, unnest(range(len(ps)))::int AS k FROM (SELECT doc_id, string_split_regex(text, '\\n\\n+') AS ps FROM documents WHERE length(text) > 0)) WHERE length(trim(text, ' ')) > 0)"
+)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stacklight.functions import text as T
+from stacklight.operators.pages import page_text
 
 # File endings by kind of source, in the order in which one stands for a paper.
 KINDS = (("cached", r"\.cache\.txt$"), ("text", r"\.(?:txt|md)$"), ("html", r"\.html?$"))
@@ -16,7 +19,13 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     kind = F.coalesce(*[F.when(F.rlike(F.lower("path"), F.lit(p)), n) for n, p in KINDS])
     rows = raw.select("path", F.element_at(F.split("path", "/"), -2).alias("paper"), kind.alias("kind"), "text").filter("kind is not null")
-    return rows.withColumn("text", F.when(F.col("kind") == "html", T.html_to_text(F.col("text"))).otherwise(F.col("text")))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(text=[page_text(t, markdown=False) for t in pdf["text"]])
+
+    pages = rows.filter("kind = 'html'").mapInPandas(read, "path string, paper string, kind string, text string")
+    return rows.filter("kind <> 'html'").unionByName(pages)
 
 
 def preferred(rows: DataFrame) -> DataFrame:
