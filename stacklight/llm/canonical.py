@@ -37,6 +37,8 @@ LEAST, GRAM = 0.27, 3
 """Jaccard similarity of a candidate over runs of ``GRAM`` characters; two misspellings in a name of twelve letters leave that."""
 BAND = 0.75
 """Candidates of at least this part of the best similarity go on to the exact check."""
+EDITS = 0.34
+"""Misspellings for each letter of a name, and two at least."""
 RECUR, RECUR_SHARE = 3, 0.05
 """Listed concepts around which a word group must stand to be no part of names, and the share of those of the commonest such group."""
 MAX_LIST = 200_000
@@ -194,7 +196,7 @@ def distance(a: str, b: str) -> int:
 
 def allowed(length: int) -> int:
     """Misspellings that a name of ``length`` letters can have at most."""
-    return max(2, round(0.34 * length))
+    return max(2, round(EDITS * length))
 
 
 class Lexicon:
@@ -335,9 +337,10 @@ def _grams(d: DataFrame, key: str, n: int) -> DataFrame:
     return han.select(key, "han", F.explode(runs).alias("t")).select(key, F.concat("han", F.lit("|"), "t").alias("t"))
 
 
-def similar(left: DataFrame, right: DataFrame, least: float = LEAST, gram: int = GRAM) -> DataFrame:
+def similar(left: DataFrame, right: DataFrame, least: float = LEAST, gram: int = GRAM, edits: bool = False) -> DataFrame:
     """left(v), right(name), both distinct -> (v, name, jaccard) of all pairs with a Jaccard similarity of ``least`` or more
-    between their sets of runs of ``gram`` characters.
+    between their sets of runs of ``gram`` characters; with ``edits`` only of pairs whose lengths differ by no more misspellings
+    than a name can have.
 
     Only the rare prefixes are joined; a candidate must fit in length, and what can still be shared after the joined position
     must suffice. Pairs are then compared exactly, once each."""
@@ -351,11 +354,13 @@ def similar(left: DataFrame, right: DataFrame, least: float = LEAST, gram: int =
     def prefix(d: DataFrame, key: str, p: str) -> DataFrame:
         n = F.size("s")
         size = (n - F.ceil(F.lit(least) * n) + 1).cast("int")
-        return d.select(key, n.alias(f"{p}n"), F.posexplode(F.slice("s", F.lit(1), size)).alias(f"{p}i", "t"))
+        return d.select(key, n.alias(f"{p}n"), F.length(key).alias(f"{p}c"), F.posexplode(F.slice("s", F.lit(1), size)).alias(f"{p}i", "t"))
 
     ls, rs = cut(ordered(l, "v")), cut(ordered(r, "name"))
     hits = prefix(ls, "v", "l").join(prefix(rs, "name", "r"), "t")
     fits = (F.col("rn") >= F.lit(least) * F.col("ln")) & (F.col("ln") >= F.lit(least) * F.col("rn"))
+    if edits:
+        fits = fits & (F.abs(F.col("lc") - F.col("rc")) <= F.greatest(F.lit(2), F.ceil(EDITS * F.col("rc"))))
     need = F.lit(least / (1 + least)) * (F.col("ln") + F.col("rn"))
     room = F.least(F.col("ln") - F.col("li"), F.col("rn") - F.col("ri"))
     # Only the first common prefix token of a pair meets the positional filter: later ones would refuse it wrongly.
@@ -427,7 +432,7 @@ def map_names(inputs: DataFrame, terms: DataFrame, least: float = LEAST) -> Data
 
     judged = cut(v.select("v").distinct().mapInPandas(judge, "v string, refused boolean"))
     # A longer reading has more misspellings than the exact check allows any name.
-    near = similar(judged.filter(~F.col("refused") & (F.length("v") <= lexicon.longest + allowed(lexicon.longest))).select("v"), names.select("name"), least)
+    near = similar(judged.filter(~F.col("refused") & (F.length("v") <= lexicon.longest + allowed(lexicon.longest))).select("v"), names.select("name"), least, edits=True)
     near = near.withColumn("top", F.max("jaccard").over(Window.partitionBy("v"))).filter(F.col("jaccard") >= BAND * F.col("top")).select("v", "name", "jaccard")
     meant = v.join(near.mapInPandas(verify, "v string, concept_id long, cost int, jaccard double"), "v").select("s", "concept_id", "cost")
     # The least misspelt reading; of those the concepts that share it.
