@@ -26,6 +26,27 @@ def read(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     return b.select(*keys, "at", F.coalesce(F.lower("b.type"), F.lit("text")).alias("kind"), F.coalesce("b.page_idx", F.lit(0)).alias("page"), F.col("b.text_level").alias("level"), text.alias("text")).filter((F.length("text") > 0) & ~F.col("kind").isin(*NOISE))
 
 
+# The forms of a structured result, best first; the last two are lists of blocks by page.
+FORMATS = ("content_list_v2", "content_list", "model")
+PAGED = "array<array<struct<type:string,level:int,text:string,content:struct<text:string,level:int>>>>"
+
+
+def read_best(files: DataFrame, keys: list[str], name: str, column: str) -> DataFrame:
+    """files(keys, name, column) -> (keys, format, at, kind, page, level, text): of each document the blocks of the best form that it has;
+    pages of the paged forms are counted from 0. A best form that isn't JSON raises, for a worse one would hide it."""
+    low = F.lower(name)
+    order = F.coalesce(*[F.when(F.rlike(low, F.lit(rf"(?:^|[_/\\]){f}\.json$")), k) for k, f in enumerate(FORMATS)])
+    best = files.select(*keys, F.col(column).alias("body"), order.alias("o"), F.col(name).alias("n")).filter("o is not null").groupBy(*keys).agg(F.min_by("body", F.struct("o", "n")).alias("body"), F.min("o").alias("o"))
+    best = best.withColumn("body", F.when(F.get_json_object("body", "$").isNotNull(), F.col("body")).otherwise(F.raise_error(F.lit("a structured result isn't JSON"))))
+    fmt = F.array(*map(F.lit, FORMATS))[F.col("o")]
+    flat = best.filter("o = 1").select(*keys, fmt.alias("format"), F.posexplode(F.from_json("body", SCHEMA)).alias("at", "b"))
+    flat = flat.select(*keys, "format", "at", "b.type", F.col("b.page_idx").alias("page"), F.col("b.text_level").alias("level"), F.coalesce("b.text", "b.table_body").alias("text"))
+    paged = best.filter("o <> 1").select(*keys, fmt.alias("format"), F.posexplode(F.from_json("body", PAGED)).alias("page", "bs"))
+    paged = paged.select(*keys, "format", "page", F.posexplode("bs").alias("k", "b")).select(*keys, "format", (F.col("page") * 100_000 + F.col("k")).alias("at"), "b.type", "page", F.coalesce("b.content.level", "b.level").alias("level"), F.coalesce("b.content.text", "b.text").alias("text"))
+    both = flat.unionByName(paged).select(*keys, "format", "at", F.coalesce(F.lower("type"), F.lit("text")).alias("kind"), F.coalesce("page", F.lit(0)).alias("page"), "level", "text")
+    return both.filter((F.length("text") > 0) & ~F.col("kind").isin(*NOISE))
+
+
 def table_rows(html: str) -> str:
     rows = re.findall(r"<tr\b.*?</tr>", html, re.S | re.I)
     cells = [[re.sub(r"<[^>]+>", "", c).strip() for c in re.findall(r"<t[dh]\b[^>]*>(.*?)</t[dh]>", r, re.S | re.I)] for r in rows]

@@ -63,6 +63,21 @@ def structured_blocks(spark, d):
     return B.assemble(B.read(docs.select("doc_id", F.to_json(cells).alias("body")), ["doc_id"], "body"), ["doc_id"])
 
 
+def structured_sources(spark, d):
+    """Documents given in up to three forms of JSON: the best that each has, with its blocks by page."""
+    docs = table(spark, d, "documents").filter("length(text) > 0")
+    parts = F.filter(F.split("text", "\n\n+"), lambda p: F.length(p) > 0)
+    flat = F.to_json(F.transform(parts, lambda p, i: F.struct(F.lit("text").alias("type"), F.floor(i / 4).cast("int").alias("page_idx"), p.alias("text"))))
+    paged = F.to_json(F.array(F.transform(parts, lambda p: F.struct(F.lit("paragraph").alias("type"), F.struct(p.alias("text")).alias("content")))))
+    files = docs.select("doc_id", F.explode(F.array(
+        F.when(F.col("doc_id") % 3 == 0, F.struct(F.lit("a_content_list_v2.json").alias("name"), paged.alias("body"))),
+        F.when(F.col("doc_id") % 2 == 0, F.struct(F.lit("a_content_list.json").alias("name"), flat.alias("body"))),
+        F.struct(F.lit("model.json").alias("name"), paged.alias("body")),
+    )).alias("f")).filter("f is not null").select("doc_id", "f.name", "f.body")
+    b = B.read_best(files, ["doc_id"], "name", "body")
+    return b.groupBy("doc_id", "format").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("text")).alias("chars"), F.max("page").alias("last_page"))
+
+
 def document_hybrid(spark, d):
     """Chunks of each search's paper: by words and by the likeness to the search's chunks, fused for each search."""
     s = table(spark, d, "similar_snapshots").select("snapshot_id", *KEY, "query_chunk_ids")
@@ -87,7 +102,7 @@ def quantised_or_float(spark, d):
     return out.select("id", F.coalesce(F.col("q").cast("double"), F.col("f")).alias("value"), F.col("q").isNotNull().alias("quantised"))
 
 
-QUERIES = [note_sentences, claim_risks, risk_flags, term_excerpts, typed_chunks, structured_blocks, document_hybrid, quantised_or_float]
+QUERIES = [note_sentences, claim_risks, risk_flags, term_excerpts, typed_chunks, structured_blocks, structured_sources, document_hybrid, quantised_or_float]
 
 _says = lambda w: f"regexp_matches(text, '{N.pattern(w)}')"
 _lex = lambda k, w: f"SELECT snapshot_id, chunk_id, '{k}' AS probe, {w} AS weight, {PL._strength(k)} AS s FROM mine"
@@ -104,4 +119,6 @@ se0 AS (SELECT snapshot_id, chunk_id, round(max({PV._COS}), 6) AS score FROM q J
 al AS (SELECT snapshot_id, chunk_id, 'keyword' AS br, row_number() OVER (PARTITION BY snapshot_id ORDER BY score DESC, chunk_id) AS rank FROM kw0 UNION ALL SELECT snapshot_id, chunk_id, 'semantic', row_number() OVER (PARTITION BY snapshot_id ORDER BY score DESC, chunk_id) FROM se0 WHERE score >= 0.2),
 fu AS (SELECT snapshot_id, chunk_id, round(sum(1.0::double / (60 + rank)), 9) AS rrf, count(*) AS sources, min(rank) AS best_rank, string_agg(br, '+' ORDER BY br) AS matched_by FROM al GROUP BY ALL)
 SELECT snapshot_id, chunk_id, round(rrf, 6) AS rrf, matched_by, row_number() OVER (PARTITION BY snapshot_id ORDER BY rrf DESC, sources DESC, best_rank, chunk_id) AS rank FROM fu""",
+    "structured_sources": """WITH p AS (SELECT doc_id, list_filter(string_split_regex(text, '\\n\\n+'), lambda x: length(x) > 0) AS ps FROM documents WHERE length(text) > 0)
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'content_list_v2' WHEN doc_id % 2 = 0 THEN 'content_list' ELSE 'model' END AS format, len(ps) AS blocks, list_sum(list_transform(ps, lambda x: length(x)))::bigint AS chars, CASE WHEN doc_id % 3 <> 0 AND doc_id % 2 = 0 THEN (len(ps) - 1) // 4 ELSE 0 END AS last_page FROM p WHERE len(ps) > 0""",
 }

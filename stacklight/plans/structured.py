@@ -159,6 +159,12 @@ def merge_gains(spark, d):
     return S.merge_gains(plan, a, KEY)
 
 
+def collection_names(spark, d):
+    """Collections and libraries whose name holds a word, case aside."""
+    nodes, _ = _nodes(spark, d)
+    return nodes.filter(S.matches(F.col("name"), "an")).select("node", "name")
+
+
 def collection_paths(spark, d):
     return S.paths(_nodes(spark, d)[0])
 
@@ -234,7 +240,7 @@ def library_groups(spark, d):
     return s.groupBy(lib.alias("library")).agg(F.count_distinct(F.element_at(F.split("item_key", ":"), -1)).alias("papers"))
 
 
-QUERIES = [field_predicates, year_range, instant_range, numeric_range, substring_fields, candidate_scan, keyword_union, tag_modes, matched_tag_stats, simple_relevance, relevance_stats, sort_page, search_library, item_projection, json_envelope, collection_scope, collection_browse, collection_by_path, quick_search, merge_gains, collection_paths, name_search, annotation_search, annotation_filter, keyword_freq, merge_plan, merge_summary, move_plan, union_docs, scope_intersect, exclude_items, library_groups]
+QUERIES = [field_predicates, year_range, instant_range, numeric_range, substring_fields, candidate_scan, keyword_union, tag_modes, matched_tag_stats, simple_relevance, relevance_stats, sort_page, search_library, item_projection, json_envelope, collection_scope, collection_browse, collection_by_path, quick_search, merge_gains, collection_names, collection_paths, name_search, annotation_search, annotation_filter, keyword_freq, merge_plan, merge_summary, move_plan, union_docs, scope_intersect, exclude_items, library_groups]
 
 _I = f"WITH {duck.NEWEST}"
 _L = lambda c: f"lower(coalesce({c}, ''))"
@@ -292,4 +298,5 @@ WHERE (contains(lower(coalesce(title, '')), 'surface') OR contains(lower(coalesc
 p AS (SELECT i.*, row_ = last AS master FROM i JOIN n USING (library_id, item_key)), a AS (SELECT d.library_id, d.item_key, doc_id, min(row_) AS row_ FROM documents d JOIN p ON p.library_id = d.library_id AND p.item_key = d.item_key WHERE row_ <= epoch_us(added_at) OR NOT master GROUP BY ALL),
 t AS (SELECT library_id, item_key, t FROM (SELECT library_id, item_key, master, unnest(tags) AS t FROM p) GROUP BY ALL HAVING NOT bool_or(master)), g AS (SELECT library_id, item_key, count(*) AS gained FROM t GROUP BY ALL), m AS (SELECT library_id, item_key, count(*) AS moved FROM a JOIN p USING (library_id, item_key, row_) WHERE NOT master GROUP BY ALL)
 SELECT library_id, item_key, count(*) FILTER (NOT master) AS trashed, coalesce(any_value(moved), 0) AS moved, coalesce(any_value(gained), 0) AS gained FROM p LEFT JOIN m USING (library_id, item_key) LEFT JOIN g USING (library_id, item_key) GROUP BY ALL""",
+    "collection_names": "SELECT * FROM (SELECT 'r' || r_regionkey AS node, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, n_name FROM nation) WHERE contains(lower(name), 'an')",
 }

@@ -96,3 +96,15 @@ def test_wording(spark, wording, text):
 @pytest.mark.parametrize(("wording", "text"), [(N.NEGATION, "non-equilibrium"), (N.COMMITTED, "generally often"), (N.HEDGE, "mayor"), (N.CONDITION, "at the surface"), (N.DIRECTION, "droplet")])
 def test_wording_that_says_nothing(spark, wording, text):
     assert spark.createDataFrame([(text,)], "t string").filter(N.says(F.col("t"), wording)).count() == 0
+
+
+def test_best_structured_source(spark):
+    files = [
+        (1, "x_content_list.json", '[{"type": "text", "page_idx": 3, "text": "flat"}]'), (1, "x_content_list_v2.json", '[[{"type": "title", "content": {"text": "best", "level": 2}}], [{"type": "page_number", "text": "7"}, {"type": "paragraph", "text": "next"}]]'),
+        (2, "model.json", '[[{"type": "text", "text": "m"}, {"type": "text", "text": ""}]]'), (3, "other.json", "[]"), (4, "content_list.json", "[]"),
+    ]
+    df = spark.createDataFrame(files, "d int, name string, body string")
+    got = sorted(tuple(r) for r in B.read_best(df, ["d"], "name", "body").select("d", "format", "page", "kind", "text").collect())
+    assert got == [(1, "content_list_v2", 0, "title", "best"), (1, "content_list_v2", 1, "paragraph", "next"), (2, "model", 0, "text", "m")]
+    with pytest.raises(Exception, match="isn't JSON"):
+        B.read_best(spark.createDataFrame([(1, "model.json", "[{")], "d int, name string, body string"), ["d"], "name", "body").collect()
