@@ -352,11 +352,12 @@ def similar(left: DataFrame, right: DataFrame, least: float = LEAST, gram: int =
         return d.join(tokens, "t").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("s")).select(key, F.col("s.t").alias("s"))
 
     def prefix(d: DataFrame, key: str, p: str) -> DataFrame:
+        """Rows of numbers only: strings meet again where pairs are compared."""
         n = F.size("s")
         size = (n - F.ceil(F.lit(least) * n) + 1).cast("int")
-        return d.select(key, n.alias(f"{p}n"), F.length(key).alias(f"{p}c"), F.posexplode(F.slice("s", F.lit(1), size)).alias(f"{p}i", "t"))
+        return d.select(f"{p}id", n.alias(f"{p}n"), F.length(key).alias(f"{p}c"), F.posexplode(F.slice("s", F.lit(1), size)).alias(f"{p}i", "t"))
 
-    ls, rs = cut(ordered(l, "v")), cut(ordered(r, "name"))
+    ls, rs = (cut(ordered(d, key).withColumn(f"{p}id", F.monotonically_increasing_id())) for d, key, p in ((l, "v", "l"), (r, "name", "r")))
     hits = prefix(ls, "v", "l").join(prefix(rs, "name", "r"), "t")
     fits = (F.col("rn") >= F.lit(least) * F.col("ln")) & (F.col("ln") >= F.lit(least) * F.col("rn"))
     if edits:
@@ -364,8 +365,11 @@ def similar(left: DataFrame, right: DataFrame, least: float = LEAST, gram: int =
     need = F.lit(least / (1 + least)) * (F.col("ln") + F.col("rn"))
     room = F.least(F.col("ln") - F.col("li"), F.col("rn") - F.col("ri"))
     # Only the first common prefix token of a pair meets the positional filter: later ones would refuse it wrongly.
-    pairs = hits.filter(fits).groupBy("v", "name").agg(F.min(F.struct("li", "ri", "ln", "rn")).alias("m")).select("v", "name", "m.*").filter(room >= need - 1e-9)
-    both = pairs.select("v", "name").join(ls.withColumnRenamed("s", "a"), "v").join(rs.withColumnRenamed("s", "b"), "name")
+    # Both positions are one number, so that the aggregation is by hash.
+    first = F.min(F.shiftleft(F.col("li").cast("long"), 32) + F.col("ri")).alias("m")
+    pairs = hits.filter(fits).groupBy("lid", "rid").agg(first, F.min("ln").alias("ln"), F.min("rn").alias("rn"))
+    pairs = pairs.select("lid", "rid", "ln", "rn", F.shiftright("m", 32).alias("li"), F.col("m").bitwiseAND(F.lit((1 << 32) - 1)).alias("ri")).filter(room >= need - 1e-9)
+    both = pairs.select("lid", "rid").join(ls.withColumnRenamed("s", "a"), "lid").join(rs.withColumnRenamed("s", "b"), "rid")
     shared = F.size(F.array_intersect("a", "b"))
     j = shared / (F.size("a") + F.size("b") - shared)
     return both.select("v", "name", j.alias("jaccard")).filter(F.col("jaccard") >= least - 1e-9)
