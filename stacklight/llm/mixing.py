@@ -18,8 +18,6 @@ get no copy; ``max_repeats`` below 1 or null means never used; repeated target r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
