@@ -41,8 +41,22 @@ def stream_rate(spark, d):
     return R.latest(spark, f"{p}/out")
 
 
-QUERIES = [stream_refresh, stream_rate]
+def stream_sessions(spark, d):
+    """Sessions of each user's events, parted by gaps of fifteen minutes."""
+    p = _place(spark)
+
+    def write(batch, number):
+        batch.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("uses").alias("most")).write.mode("overwrite").parquet(f"{p}/out/v{number}")
+
+    q = R.session_stream(_log(spark, d), "user_id", "ts").writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{p}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return R.latest(spark, f"{p}/out")
+
+
+QUERIES = [stream_refresh, stream_rate, stream_sessions]
 SQL = {
     "stream_refresh": B.SQL["refresh_coalesce"],
     "stream_rate": "SELECT user_id, epoch_us(date_trunc('hour', ts)) AS start, count(*) AS requests, round(sum(value), 4) AS tokens FROM events GROUP BY user_id, date_trunc('hour', ts)",
+    "stream_sessions": """WITH e AS (SELECT user_id, event_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 900000000 THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM e),
+g AS (SELECT user_id, s, count(*) AS uses FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(uses) AS most FROM g GROUP BY 1""",
 }

@@ -11,7 +11,6 @@ from stacklight.operators import measures as X
 from stacklight.operators import pages as H
 from stacklight.operators import sections as S
 from stacklight.operators import textprep as P
-from stacklight.plans import duck
 from stacklight.sources.tables import spread, table
 
 
