@@ -136,7 +136,7 @@ def collection_browse(spark, d):
 def collection_by_path(spark, d):
     """A collection resolved by its path, case aside, and the items below it; the library where that is empty or too large."""
     nodes, items = _nodes(spark, d)
-    roots = nodes.filter(F.col("node").isin(*S.resolved(S.paths(nodes), "europe/FRANCE")))
+    roots = nodes.filter(F.col("node").isin(*S.resolved(S.paths(nodes), "europe/Nation_3")))
     return S.scope(S.descendants(nodes.filter("parent is not null"), roots), items, items)
 
 
@@ -162,7 +162,7 @@ def merge_gains(spark, d):
 def collection_names(spark, d):
     """Collections and libraries whose name holds a word, case aside."""
     nodes, _ = _nodes(spark, d)
-    return nodes.filter(S.matches(F.col("name"), "an")).select("node", "name")
+    return nodes.filter(S.matches(F.col("name"), "ric")).select("node", "name")
 
 
 def collection_paths(spark, d):
@@ -290,7 +290,7 @@ SELECT library_id, item_key, epoch_us(date_modified) AS modified, complete, r =
     "scope_intersect": "SELECT library_id, item_key FROM vectors_f32 INTERSECT SELECT library_id, item_key FROM items",
     "exclude_items": "SELECT DISTINCT c.library_id, c.item_key FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM items i WHERE in_trash AND i.library_id = c.library_id AND i.item_key = c.item_key)",
     "library_groups": "SELECT CASE WHEN contains(item_key, ':') THEN split_part(item_key, ':', 1)::bigint ELSE library_id END AS library, count(DISTINCT string_split(item_key, ':')[-1]) AS papers FROM wiki_concept_term_sources WHERE item_key <> '' GROUP BY 1",
-    "collection_by_path": "SELECT DISTINCT c_custkey AS item FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE lower(r_name) = 'europe' AND lower(n_name) = 'france' UNION SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM nation JOIN region ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey WHERE lower(r_name) = 'europe' AND lower(n_name) = 'france')",
+    "collection_by_path": "SELECT DISTINCT c_custkey AS item FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE lower(r_name) = 'europe' AND lower(n_name) = 'nation_3' UNION SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM nation JOIN region ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey WHERE lower(r_name) = 'europe' AND lower(n_name) = 'nation_3')",
     "quick_search": f"""WITH {duck.NEWEST} SELECT library_id, item_key, (library_id, item_key) IN (SELECT (library_id, item_key) FROM documents WHERE lower(trim(source)) IN ('note', 'annotation') AND library_id IS NOT NULL AND item_key IS NOT NULL) AS noted FROM items_
 WHERE (contains(lower(coalesce(title, '')), 'surface') OR contains(lower(coalesce(publication_title, '')), 'surface') OR contains(lower(coalesce(array_to_string(tags, ', '), '')), 'surface')) AND lower(item_lang) = 'en' AND NOT coalesce(in_trash, false) AND pub_year >= 1990
  AND (library_id, item_key) IN (SELECT (library_id, item_key) FROM chunks WHERE library_id IS NOT NULL AND item_key IS NOT NULL)""",
@@ -298,5 +298,5 @@ WHERE (contains(lower(coalesce(title, '')), 'surface') OR contains(lower(coalesc
 p AS (SELECT i.*, row_ = last AS master FROM i JOIN n USING (library_id, item_key)), a AS (SELECT d.library_id, d.item_key, doc_id, min(row_) AS row_ FROM documents d JOIN p ON p.library_id = d.library_id AND p.item_key = d.item_key WHERE row_ <= epoch_us(added_at) OR NOT master GROUP BY ALL),
 t AS (SELECT library_id, item_key, t FROM (SELECT library_id, item_key, master, unnest(tags) AS t FROM p) GROUP BY ALL HAVING NOT bool_or(master)), g AS (SELECT library_id, item_key, count(*) AS gained FROM t GROUP BY ALL), m AS (SELECT library_id, item_key, count(*) AS moved FROM a JOIN p USING (library_id, item_key, row_) WHERE NOT master GROUP BY ALL)
 SELECT library_id, item_key, count(*) FILTER (NOT master) AS trashed, coalesce(any_value(moved), 0) AS moved, coalesce(any_value(gained), 0) AS gained FROM p LEFT JOIN m USING (library_id, item_key) LEFT JOIN g USING (library_id, item_key) GROUP BY ALL""",
-    "collection_names": "SELECT * FROM (SELECT 'r' || r_regionkey AS node, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, n_name FROM nation) WHERE contains(lower(name), 'an')",
+    "collection_names": "SELECT * FROM (SELECT 'r' || r_regionkey AS node, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, n_name FROM nation) WHERE contains(lower(name), 'ric')",
 }
