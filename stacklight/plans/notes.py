@@ -81,15 +81,19 @@ def structured_sources(spark, d):
 def document_hybrid(spark, d):
     """Chunks of each search's paper: by words and by the likeness to the search's chunks, fused for each search."""
     s = table(spark, d, "similar_snapshots").select("snapshot_id", *KEY, "query_chunk_ids")
-    mine = L.live_chunks(table(spark, d, "chunks")).filter("length(text) > 0").join(s.drop("query_chunk_ids"), KEY)
-    words = L.lexical_rank(mine.select("snapshot_id", "chunk_id", F.lit("chunkText").alias("field"), "text"), [("surface", 1.0), ("strength", 0.9)], (("chunkText", 6.0),), ("snapshot_id", "chunk_id"), ("snapshot_id",))
+    searches = s.select("snapshot_id", *KEY).distinct()
+    # The words of a paper are ranked once, not for each of its searches.
+    mine = L.live_chunks(table(spark, d, "chunks")).filter("length(text) > 0").join(searches.select(*KEY).distinct(), KEY, "left_semi")
+    own = [*KEY, "chunk_id"]
+    words = L.lexical_rank(mine.select(*own, F.lit("chunkText").alias("field"), "text"), [("surface", 1.0), ("strength", 0.9)], (("chunkText", 6.0),), tuple(own), tuple(KEY))
+    words = X.admitted(words.select(*own, "score"), own, 0.0, by=KEY).join(searches, KEY)
     paper = F.concat_ws(":", *KEY).alias("paper")
     v = V.usable(PV._vectors(spark, d), "vector", 64).select("id", *KEY, "chunk_id", "vector", paper)
     asked = v.join(s.select("snapshot_id", *KEY, F.explode("query_chunk_ids").alias("chunk_id")).distinct(), [*KEY, "chunk_id"])
-    hits = V.scan(v, asked.select(F.col("id").alias("query_id"), "vector", "paper").distinct(), ["chunk_id"], per=(["paper", "chunk_id"], 1), same="paper")
-    near = hits.join(asked.select("snapshot_id", F.col("id").alias("query_id")), "query_id").groupBy("snapshot_id", "chunk_id").agg(F.round(F.max("score"), 6).alias("score"))
+    near = V.scan_own(v, asked.select(F.col("snapshot_id").alias("search"), "paper", "vector"), "paper", ["chunk_id"], 0.2)
+    near = near.select(F.col("search").alias("snapshot_id"), "chunk_id", F.round("score", 6).alias("score"))
     by, keys = ["snapshot_id"], ["snapshot_id", "chunk_id"]
-    branches = {"keyword": (X.admitted(words.select(*keys, "score"), keys, 0.0, by=by), 1.0), "semantic": (X.admitted(near, keys, 0.2, by=by), 1.0)}
+    branches = {"keyword": (words, 1.0), "semantic": (X.admitted(near, keys, 0.2, by=by), 1.0)}
     return X.rrf(branches, keys, by=by).select(*keys, F.round("rrf", 6).alias("rrf"), "matched_by", "rank")
 
 
